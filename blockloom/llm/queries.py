@@ -6,10 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from blockloom.llm import packing, tokens
+from blockloom.llm import packing, repeated, tokens, unify
 from blockloom.session import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unify.look_alike_pairs(table(spark, sf_dir, "translations"))
+
+
+def p1_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unify.unified_translations(table(spark, sf_dir, "translations"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated.repeated_lines(table(spark, sf_dir, "translations"), table(spark, sf_dir, "meta"))
+
+
+def p5_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated.without_repeated_lines(table(spark, sf_dir, "translations"), table(spark, sf_dir, "meta"))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_documents(table(spark, sf_dir, "documents"))
 
@@ -19,6 +35,10 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_unified": p1_unified,
+    "p5_found": p5_found,
+    "p5_texts": p5_texts,
     "p8_ids": p8_ids,
     "p9_containers": p9_containers,
 }
