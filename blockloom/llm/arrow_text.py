@@ -57,3 +57,20 @@ def row_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     total = np.zeros(len(values) + 1, dtype=np.float64 if values.dtype.kind == "f" else np.int64)
     np.cumsum(values, out=total[1:])
     return total[offsets[1:]] - total[offsets[:-1]]
+
+
+def hash_runs(points: np.ndarray, offsets: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of the code points of each run between the offsets, as int64; runs must cover all points."""
+    size = np.diff(offsets)
+    place = np.arange(len(points), dtype=np.uint64) - np.repeat(offsets[:-1], size).astype(np.uint64)
+    x = points.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x += (place + np.uint64(seed + 1)) * np.uint64(0xC2B2AE3D27D4EB4F)
+    x ^= x >> np.uint64(31)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(29)
+    total = np.zeros(len(points) + 1, dtype=np.uint64)
+    np.cumsum(x, out=total[1:])
+    out = total[offsets[1:]] - total[offsets[:-1]]
+    out ^= size.astype(np.uint64) * np.uint64(0x94D049BB133111EB)
+    out ^= out >> np.uint64(32)
+    return out.view(np.int64)

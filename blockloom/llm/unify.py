@@ -6,7 +6,8 @@ A token stage repairs look-alike letters script-aware: the dominant script of a
 look-alike; only tokens of mixed scripts (or tokens made of look-alikes wholly, in a value of another script) are
 substituted, and only if the result is a word of the corpus vocabulary, which is counted over all values.
 
-Values without a suspicious character never leave the JVM.  Defined results: null stays null; blank values become blank
+One vectorised pass over code points hashes every value and every word and finds the values with a suspicious character;
+only those are worked on as strings.  Defined results: null stays null; blank values become blank
 values; empty tables give empty tables; repeated rows are each repaired; extra columns are ignored.
 """
 
@@ -15,12 +16,14 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cache, lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from blockloom.llm.arrow_text import code_points, hash_runs, pieces, row_sums
 from blockloom.session import cut
 
 # Letters of other scripts that look like Latin ones.
@@ -47,14 +50,10 @@ COMBINING = r"\u0300-\u036F\u20D0-\u20FF\u3099\u309A"
 FOREIGN = r"\u0251\u0261\u0131\u0370-\u03FF\u0400-\u058F"
 KATAKANA = "ァ-ヺー"
 _OTHERS = "".join(TO_KATAKANA)
-SUSPICIOUS = (
-    f"[{INVISIBLE}{SPACES}{HYPHENS}{COMPATIBLE}{COMBINING}{FOREIGN}]"
-    f"|[{KATAKANA}][{_OTHERS}]|[{_OTHERS}][{KATAKANA}]"
-    f"|(?:^|[^{KATAKANA}])[{''.join(TO_KANJI)}{''.join(TO_HIRAGANA)}](?:$|[^{KATAKANA}])"
-)
 _FULL = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
 _HALF = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F))
-WORDS = r"[A-Za-zÀ-ɏ]+|[ァ-ヺー]+|[ぁ-ん]+|[一-鿿々]+"
+#: Kinds of letters that make words: runs of one kind.
+WORD_KINDS = ("A-Za-zÀ-ɏ", KATAKANA, "ぁ-ん", "一-鿿々")
 
 _invisible = re.compile(f"[{INVISIBLE}\U000e0000-\U000e0fff]")
 _compatible = re.compile(f"[{COMPATIBLE}]+")
@@ -104,85 +103,194 @@ def token_repairs(s: str) -> list[tuple[str, str]]:
 
 
 @lru_cache(maxsize=50_000)
-def _repair(s: str) -> tuple[str, list[dict]]:
+def repaired(s: str) -> tuple[str, tuple[tuple[str, str], ...]]:
     base = unify_characters(s)
-    return base, [{"tok": a, "sub": b} for a, b in token_repairs(base)]
+    return base, tuple(token_repairs(base))
+
+
+@cache
+def _tables() -> dict[str, np.ndarray]:
+    """Properties of each code point of the basic plane; those beyond it have none but may be suspicious."""
+    every = [chr(c) if not 0xD800 <= c < 0xE000 else "\0" for c in range(0x10000)]
+    text = "".join(every)
+
+    def having(inside: str) -> np.ndarray:
+        out = np.zeros(0x10001, dtype=bool)
+        out[[m.start() for m in re.finditer(f"[{inside}]", text)]] = True
+        return out
+
+    odd = having(INVISIBLE + SPACES + HYPHENS + COMPATIBLE + COMBINING + FOREIGN)
+    word = np.zeros(0x10001, dtype=np.uint8)
+    for k, inside in enumerate(WORD_KINDS, 1):
+        word[having(inside)] = k
+    half = np.arange(0x10001, dtype=np.uint32)
+    half[0xFF01:0xFF5F] -= 0xFEE0
+    lower = half.copy()
+    for c in range(0x10000):
+        low = every[c].lower()
+        if len(low) == 1 and low != every[c]:
+            lower[c] = ord(low)
+    return {
+        "odd": odd,
+        "word": word,
+        "half": half,
+        "lower": lower,
+        "kata": having(KATAKANA),
+        "other": having(_OTHERS),
+        "alone": having("".join(TO_KANJI) + "".join(TO_HIRAGANA)),
+        "blank": having(r" \n\r\t"),
+    }
+
+
+def _suspicious(points: np.ndarray, low: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Bitmap of the rows that hold a suspicious character, or look-alikes of Japanese scripts side by side."""
+    t = _tables()
+    n = len(points)
+    flag = t["odd"][low] | ((points >= 0xE0000) & (points < 0xE1000))
+    inner = np.ones(n + 1, dtype=bool)
+    inner[offsets] = False  # no neighbour before
+    kata, other = t["kata"][low], t["other"][low]
+    before = np.zeros(n, dtype=bool)
+    before[1:] = kata[:-1] & inner[1:n]
+    after = np.zeros(n, dtype=bool)
+    after[:-1] = kata[1:] & inner[1:n]
+    flag |= other & (before | after)
+    flag |= t["alone"][low] & ~before & ~after
+    return row_sums(flag.astype(np.int64), offsets) > 0
+
+
+def word_hashes(points: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Distinct hashes of the lower-case words of the marked rows."""
+    t = _tables()
+    low = t["lower"][np.minimum(points, 0x10000)]
+    kind = t["word"][np.minimum(points, 0x10000)]
+    n = len(points)
+    if not n:
+        return np.zeros(0, dtype=np.int64)
+    start = np.ones(n, dtype=bool)
+    start[1:] = kind[1:] != kind[:-1]
+    start[offsets[:-1][np.diff(offsets) > 0]] = True
+    begin = np.flatnonzero(start)
+    of_row = np.searchsorted(offsets, begin, side="right") - 1
+    hashes = hash_runs(low, np.append(begin, n))
+    return np.unique(hashes[(kind[begin] > 0) & rows[of_row]])
+
+
+def text_hash(texts: list[str]) -> np.ndarray:
+    return hash_runs(*code_points(pa.array(texts, pa.string())))
+
+
+_PAIRS = pa.list_(pa.struct([("tok", pa.string()), ("sub", pa.string()), ("word", pa.int64())]))
+_SEEN = "row_id long, page long, is_text boolean, canon long, canon2 int, value long, base string, pairs array<struct<tok:string,sub:string,word:long>>, word long"
+_SCHEMA = pa.schema(
+    [("row_id", pa.int64()), ("page", pa.int64()), ("is_text", pa.bool_()), ("canon", pa.int64()), ("canon2", pa.int32()), ("value", pa.int64()), ("base", pa.string()), ("pairs", _PAIRS), ("word", pa.int64())]
+)
 
 
-_PAIRS = pa.list_(pa.struct([("tok", pa.string()), ("sub", pa.string())]))
+def _scan_field(part: pa.RecordBatch, name: str) -> Iterator[pa.RecordBatch]:
+    column = part.column(name)
+    present = np.asarray(column.is_valid())
+    points, offsets = code_points(column)
+    t = _tables()
+    low = np.minimum(points, 0x10000).astype(np.uint32)
+    odd = _suspicious(points, low, offsets) & present
+    half = np.where(points < 0x10000, t["half"][low], points)
+    visible = row_sums((~t["blank"][low]).astype(np.int64), offsets) > 0
+    canon, second, value = hash_runs(half, offsets), hash_runs(half, offsets, 7), hash_runs(points, offsets)
+    base: list[str | None] = [None] * len(present)
+    pairs: list[list[dict] | None] = [None] * len(present)
+    at = np.flatnonzero(odd)
+    if len(at):
+        texts = column.take(pa.array(at)).to_pylist()
+        done = [repaired(s) for s in texts]
+        subs = [sub.lower() for _, p in done for _, sub in p]
+        word = iter(text_hash(subs).tolist() if subs else [])
+        for i, (b, p) in zip(at.tolist(), done):
+            base[i] = b
+            pairs[i] = [{"tok": tok, "sub": sub, "word": next(word)} for tok, sub in p]
+            visible[i] = bool(b.strip(" \n\r\t"))
+        bases = [base[i] for i in at.tolist()]
+        canon[at], second[at] = text_hash(bases), hash_runs(*code_points(pa.array(bases, pa.string())), 7)
+    keep = pa.array(present & visible)
+    n = len(present)
+    yield pa.RecordBatch.from_arrays(
+        [
+            part.column("row_id"), part.column("page"), pa.array(np.full(n, name == "text")), pa.array(canon), pa.array((second >> 32).astype(np.int32)),
+            pa.array(value), pa.array(base, pa.string()), pa.array(pairs, _PAIRS), pa.nulls(n, pa.int64()),
+        ],
+        schema=_SCHEMA,
+    ).filter(keep)
+    words = word_hashes(points, offsets, present & ~odd)
+    nulls = [pa.nulls(len(words), f.type) for f in _SCHEMA]
+    yield pa.RecordBatch.from_arrays([*nulls[:-1], pa.array(words)], schema=_SCHEMA)
+
+
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in pieces(batch, 2, 3):
+            yield from _scan_field(part, "text")
+            yield from _scan_field(part, "translation")
+
+
+def scan(translations: DataFrame) -> DataFrame:
+    """One pass: a row with hashes per visible value, for suspicious ones also their form; and rows of distinct words."""
+    src = translations.select(
+        F.col("row_id").cast("long"),
+        F.when(F.col("manual").isNotNull() & F.col("page_idx").isNotNull(), F.xxhash64("manual", "page_idx")).alias("page"),
+        F.col("text").cast("string"),
+        F.col("translation").cast("string"),
+    )
+    return cut(src.mapInArrow(_scan, _SEEN))
 
 
-def _character_stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _rehash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        done = [_repair(s) for s in batch.column("value").to_pylist()]
-        columns = [batch.column(n) for n in batch.schema.names if n != "value"]
-        names = [n for n in batch.schema.names if n != "value"]
-        columns += [batch.column("value"), pa.array([b for b, _ in done], pa.string()), pa.array([t for _, t in done], _PAIRS)]
-        yield pa.RecordBatch.from_arrays(columns, names=[*names, "value", "base", "pairs"])
-
-
-def unfold(translations: DataFrame) -> DataFrame:
-    """(row_id, manual, page_idx, field, value) of the values that are not null."""
-    fields = F.expr("stack(2, 'text', CAST(text AS STRING), 'translation', CAST(translation AS STRING)) AS (field, value)")
-    return translations.select("row_id", "manual", "page_idx", fields).where("value IS NOT NULL")
-
-
-def vocabulary(values: DataFrame) -> DataFrame:
-    """Distinct words of all values without suspicious characters, in lower case."""
-    words = values.where(~F.col("odd")).select(F.explode(F.regexp_extract_all("value", F.lit(WORDS), F.lit(0))).alias("word"))
-    return words.groupBy(F.lower("word").alias("word")).agg(F.count("*").alias("n"))
-
-
-def canonical_values(translations: DataFrame) -> DataFrame:
-    """(row_id, manual, page_idx, field, value, canon): each value in its one form."""
-    values = unfold(translations).withColumn("odd", F.col("value").rlike(SUSPICIOUS))
-    clean = values.where(~F.col("odd")).select("row_id", "manual", "page_idx", "field", "value", F.translate("value", _FULL, _HALF).alias("canon"))
-    kinds = ", ".join(f"{n} {t}" for n, t in unfold(translations).dtypes)
-    odd = values.where("odd").select("row_id", "manual", "page_idx", "field", "value")
-    odd = cut(odd.mapInArrow(_character_stage, f"{kinds}, base string, pairs array<struct<tok:string,sub:string>>"))
-    pairs = odd.select("row_id", "field", F.explode("pairs").alias("p")).select("row_id", "field", "p.tok", "p.sub")
-    wanted = pairs.select("tok", "sub", F.lower("sub").alias("word")).distinct()
-    known = wanted.join(vocabulary(values).select("word"), "word").select("tok", "sub")
-    accepted = pairs.join(known, ["tok", "sub"]).groupBy("row_id", "field").agg(F.collect_set(F.struct("tok", "sub")).alias("repairs"))
+        points, offsets = code_points(batch.column("form"))
+        second = (hash_runs(points, offsets, 7) >> 32).astype(np.int32)
+        yield pa.RecordBatch.from_arrays(
+            [*(batch.column(c) for c in ("row_id", "page", "is_text", "value", "form")), pa.array(hash_runs(points, offsets)), pa.array(second)],
+            names=["row_id", "page", "is_text", "value", "form", "canon", "canon2"],
+        )
+
+
+def repaired_values(seen: DataFrame) -> DataFrame:
+    """The suspicious values in their one form, with their hashes."""
+    odd = seen.where("base IS NOT NULL")
+    pairs = odd.where("size(pairs) > 0").select("row_id", "is_text", F.explode("pairs").alias("p")).select("row_id", "is_text", "p.*")
+    words = seen.where("word IS NOT NULL").select("word").distinct()
+    accepted = pairs.join(words, "word", "left_semi").groupBy("row_id", "is_text").agg(F.collect_set(F.struct("tok", "sub")).alias("repairs"))
     longest_first = F.expr("array_sort(repairs, (a, b) -> length(b.tok) - length(a.tok))")
-    repaired = odd.join(accepted, ["row_id", "field"], "left").select(
-        "row_id",
-        "manual",
-        "page_idx",
-        "field",
-        "value",
-        F.when(F.col("repairs").isNull(), F.col("base"))
-        .otherwise(F.aggregate(longest_first, F.col("base"), lambda acc, p: F.replace(acc, p["tok"], p["sub"])))
-        .alias("canon"),
+    form = F.when(F.col("repairs").isNull(), F.col("base")).otherwise(
+        F.aggregate(longest_first, F.col("base"), lambda acc, p: F.replace(acc, p["tok"], p["sub"]))
     )
-    return clean.unionByName(repaired)
+    joined = odd.join(accepted, ["row_id", "is_text"], "left").select("row_id", "page", "is_text", "value", form.alias("form"))
+    return joined.mapInArrow(_rehash, "row_id long, page long, is_text boolean, value long, form string, canon long, canon2 int")
 
 
 def look_alike_pairs(translations: DataFrame) -> DataFrame:
     """(row_a, row_b, field): rows of one page whose values differ as strings and have one canonical form.
 
     The pairs are the result asked for; groups are found by hashed keys with partial aggregation, and only rows of
-    groups with more than one form are joined.
+    groups with more than one form are joined.  Rows without manual or page are on no page.
     """
-    seen = canonical_values(translations).where(F.length(F.translate("canon", " \n\t\r", "")) > 0)
-    key = [F.col("manual"), F.col("page_idx"), F.col("field"), F.col("canon")]
-    seen = seen.where("manual IS NOT NULL AND page_idx IS NOT NULL").select(
-        F.xxhash64(*key).alias("k"),
-        F.hash(*key).alias("k2"),
-        F.xxhash64("value").alias("v"),
-        "row_id",
-        (F.col("field") == "text").alias("is_text"),
-    )
-    groups = seen.groupBy("k", "k2").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).where("lo <> hi").select("k", "k2")
-    several = cut(seen.join(groups, ["k", "k2"], "left_semi"))
+    seen = scan(translations)
+    key = ["page", "is_text", "canon", "canon2"]
+    plainly = seen.where("value IS NOT NULL AND base IS NULL").select(*key, "value", "row_id")
+    values = plainly.unionByName(repaired_values(seen).select(*key, "value", "row_id")).where("page IS NOT NULL")
+    groups = values.groupBy(*key).agg(F.min("value").alias("lo"), F.max("value").alias("hi")).where("lo <> hi").select(*key)
+    several = cut(values.join(groups, key, "left_semi"))
     a, b = several.alias("a"), several.alias("b")
-    met = a.join(b, F.expr("a.k = b.k AND a.k2 = b.k2 AND a.v <> b.v AND a.row_id < b.row_id"))
+    same = " AND ".join(f"a.{c} = b.{c}" for c in key)
+    met = a.join(b, F.expr(f"{same} AND a.value <> b.value AND a.row_id < b.row_id"))
     return met.select(
         F.col("a.row_id").alias("row_a"), F.col("b.row_id").alias("row_b"), F.when(F.col("a.is_text"), "text").otherwise("translation").alias("field")
     )
 
 
 def unified_translations(translations: DataFrame) -> DataFrame:
-    """(row_id, text, translation) with both values in their one form."""
-    canon = canonical_values(translations).groupBy("row_id").pivot("field", ["text", "translation"]).agg(F.first("canon"))
-    return translations.select("row_id").join(canon, "row_id", "left")
+    """(row_id, text, translation) with both values in their one form.  row_id must be unique."""
+    forms = repaired_values(scan(translations)).groupBy("row_id").agg(
+        F.max(F.when(F.col("is_text"), F.col("form"))).alias("new_text"), F.max(F.when(~F.col("is_text"), F.col("form"))).alias("new_translation")
+    )
+    unified = [F.coalesce(F.col(f"new_{c}"), F.translate(c, _FULL, _HALF)).alias(c) for c in ("text", "translation")]
+    return translations.select("row_id", "text", "translation").join(forms, "row_id", "left").select("row_id", *unified)
