@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from blockloom.llm import canonical, packing, repeated, tokens, unify
+from blockloom.llm import canonical, encoding, packing, repeated, tokens, unify
 from blockloom.session import table
 
 
@@ -18,6 +18,14 @@ def p1_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unify.unified_translations(table(spark, sf_dir, "translations"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding.garbled_values(table(spark, sf_dir, "translations")).select("row_id", "field")
+
+
+def p3_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding.garbled_values(table(spark, sf_dir, "translations"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical.match_values(*(table(spark, sf_dir, t) for t in ("meta", "product_list", "tag_list")))
 
@@ -41,6 +49,8 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_unified": p1_unified,
+    "p3_found": p3_found,
+    "p3_restored": p3_restored,
     "p4_found": p4_found,
     "p5_found": p5_found,
     "p5_texts": p5_texts,
