@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from blockloom.llm.arrow_text import code_points, pieces
 
 _PRIMES = [np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1)]
+_INTS = [int(x) for x in _PRIMES]
 SHIFT = 0x2F0B4C47
 
 
@@ -32,17 +33,28 @@ def gram_keys(points: np.ndarray, order: int, bits: int) -> np.ndarray:
     return (key >> np.uint32(32 - bits)).astype(np.int64)
 
 
-def separated(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Code points of all rows with a line break before and after each, and the n + 1 offsets of the first break."""
+def separated(column: pa.Array, mark: int = 0x0A) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all rows with a mark before and after each, and the n + 1 offsets of the marks."""
     points, offsets = code_points(column)
     n = len(offsets) - 1
-    out = np.full(len(points) + n + 1, 0x0A, dtype=np.uint32)
+    out = np.full(len(points) + n + 1, mark, dtype=np.uint32)
     at = np.arange(len(points)) + np.repeat(np.arange(1, n + 1), np.diff(offsets))
     out[at] = points
     return out, offsets + np.arange(n + 1)
 
 
-def tables(values: DataFrame, orders: dict[int, int], prepare=None) -> dict[int, np.ndarray]:
+def gram_key(chars: tuple[int, ...], bits: int) -> int:
+    """Bucket of one n-gram, the same as gram_keys gives."""
+    key = len(chars) * SHIFT & 0xFFFFFFFF
+    for i, c in enumerate(chars):
+        key = (key + c * _INTS[i]) & 0xFFFFFFFF
+        key ^= key >> 15
+        key = key * _INTS[(i + 1) % 5] & 0xFFFFFFFF
+    key ^= key >> 16
+    return key >> (32 - bits)
+
+
+def tables(values: DataFrame, orders: dict[int, int], prepare=None, mark: int = 0x0A) -> dict[int, np.ndarray]:
     """Counts by order; ``orders`` maps an order to its bits (16 for order 1 are the code points themselves).
 
     ``values`` has text columns only; ``prepare`` may change the code points before they are counted.
@@ -58,7 +70,7 @@ def tables(values: DataFrame, orders: dict[int, int], prepare=None) -> dict[int,
         for batch in batches:
             for part in pieces(batch, *range(batch.num_columns)):
                 for column in part.columns:
-                    points, _ = separated(column)
+                    points, _ = separated(column, mark)
                     if prepare is not None:
                         points = prepare(points)
                     for order, bits in orders.items():

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from blockloom.llm import canonical, encoding, packing, repeated, tokens, unify
+from blockloom.llm import canonical, encoding, packing, repeated, scan_noise, tokens, unify
 from blockloom.session import table
 
 
@@ -38,6 +38,15 @@ def p5_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated.without_repeated_lines(table(spark, sf_dir, "translations"), table(spark, sf_dir, "meta"))
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    noisy = scan_noise.noisy_values(table(spark, sf_dir, "translations"), table(spark, sf_dir, "meta"))
+    return noisy.select("row_id", "field", "noise").distinct()
+
+
+def p7_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_noise.repaired_values(table(spark, sf_dir, "translations"), table(spark, sf_dir, "meta"))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_documents(table(spark, sf_dir, "documents"))
 
@@ -54,6 +63,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_found": p4_found,
     "p5_found": p5_found,
     "p5_texts": p5_texts,
+    "p7_found": p7_found,
+    "p7_repaired": p7_repaired,
     "p8_ids": p8_ids,
     "p9_containers": p9_containers,
 }
