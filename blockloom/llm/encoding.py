@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blockloom.llm.arrow_text import code_points, pieces, row_sums
-from blockloom.llm.ngrams import gram_keys, tables
+from blockloom.llm.ngrams import gram_key, tables
 
 SINGLE = ("latin-1", "cp1252", "mac_roman", "cp1251", "koi8_r", "cp437", "cp850", "iso8859_15")
 MULTI = ("cp932", "gbk", "big5", "cp949", "euc_jp")
@@ -34,6 +34,8 @@ ORDERS = {1: 16, 2: BITS}
 #: Least share of the corpus of a character that is put in.
 RARE = 3e-7
 BEAM = 24
+#: Share of the most signs of a true encoding that a wrong encoding must show.
+NEAR = 0.7
 LOSS = "�"
 _ALLOWED = set("©®°±×²³¹·’“”—…※™①②③④⑤⑥⑦⑧⑨★")
 
@@ -93,7 +95,7 @@ class Model:
         self.one, self.two = counts[1].astype(np.float64), counts[2].astype(np.float64)
         self.total = self.one.sum() + 1.0
         self.share = (self.one + 0.01) / self.total
-        self.kept: dict[tuple[int, int], float] = {}
+        self.kept: dict[str, float] = {}
         at = np.flatnonzero(self.one >= max(2.0, RARE * self.total))
         garbage = {ch for ch in multi_signs(False) if "一" <= ch <= "鿿"}
         self.common = {chr(c) for c in at.tolist() if c >= 0x80 and not 0xD800 <= c < 0xE000 and not (0x80 <= c < 0xA0) and chr(c) != LOSS and not 0xE000 <= c < 0xF900 and chr(c) not in garbage}
@@ -108,15 +110,14 @@ class Model:
         self.filled: dict[tuple, list[str]] = {}
 
     def log(self, a: str, b: str) -> float:
-        key = (min(ord(a), 0xFFFF), min(ord(b), 0xFFFF))
-        got = self.kept.get(key)
+        got = self.kept.get(a + b)
         if got is None:
-            bucket = gram_keys(np.array([*key, 0x0A], dtype=np.uint32), 2, BITS)[0]
-            both = min(self.two[bucket], self.one[key[0]], self.one[key[1]])
+            key = (min(ord(a), 0xFFFF), min(ord(b), 0xFFFF))
+            both = min(self.two[gram_key(key, BITS)], self.one[key[0]], self.one[key[1]])
             got = math.log((both + 2.0 * self.share[key[1]]) / (self.one[key[0]] + 2.0))
             if len(self.kept) > 500_000:
                 self.kept.clear()
-            self.kept[key] = got
+            self.kept[a + b] = got
         return got
 
     def score(self, text: str) -> float:
@@ -200,6 +201,7 @@ def read_again(model: Model, text: str, wrong: str, true: str, lossy: bool = Fal
     """Viterbi search: log-likelihood and text of the best reading, whether bytes were lost, characters restored."""
     data, source = to_bytes(text, wrong)
     n = len(data)
+    single, kept = wrong in SINGLE, model.kept
     # states: position -> last character -> (score, back pointer)
     best: list[dict[str, tuple[float, tuple]]] = [{} for _ in range(n + 1)]
     best[0]["\n"] = (0.0, ())
@@ -222,7 +224,10 @@ def read_again(model: Model, text: str, wrong: str, true: str, lossy: bool = Fal
                 ch = _pairs(data, true, i)
                 if ch and ch in model.common:
                     steps.append((ch, 2, 0.0, 1))
-            if whole[i]:
+            # without lost bytes, three bytes of one-byte characters that make a common character leave no choice
+            if not lossy and single and len(steps) == 1 and steps[0][1] == 3 and steps[0][0] in model.common:
+                pass
+            elif whole[i]:
                 k = 1
                 while i + k < n and source[i + k] == source[i]:
                     k += 1
@@ -235,7 +240,10 @@ def read_again(model: Model, text: str, wrong: str, true: str, lossy: bool = Fal
             target = best[i + k]
             for last, (score, back) in states.items():
                 now = ch or last
-                value = score - price + (model.log(last, ch) if ch else 0.0)
+                value = score - price
+                if ch:
+                    log = kept.get(last + ch)
+                    value += model.log(last, ch) if log is None else log
                 if now not in target or target[now][0] < value:
                     target[now] = (value, (back, ch, made, price > 0))
     if not best[n]:
@@ -299,8 +307,10 @@ class Signs:
                 hits[config] += 1
         least = {"utf-8": 1, "cp932": 2, "euc_jp": 2}
         found = {c: n for c, n in hits.items() if n >= least[c[1]]}
-        most = max(found.values(), default=0)
-        return sorted((c for c, n in found.items() if c[1] == "utf-8" or 3 * n >= most), key=lambda c: (-found[c], c))
+        most = {true: max(n for c, n in found.items() if c[1] == true) for true in {c[1] for c in found}}
+        # a wrong encoding that explains much less than another of the same true one isn't it
+        near = [c for c, n in found.items() if n >= NEAR * most[c[1]]]
+        return sorted(near, key=lambda c: (-found[c] * (3 if c[1] == "utf-8" else 1), c))
 
 
 def restore(model: Model, text: str) -> tuple[str, bool] | None:
@@ -322,6 +332,8 @@ def restore(model: Model, text: str) -> tuple[str, bool] | None:
                 if lossy or true != "utf-8" or not (wrong in MULTI or LOSS in found) or (best and not (wrong, true) in model.signs.suspects(best[1]) and LOSS not in best[1]):
                     break
                 lossy = True
+            if best and not best[2] and best[0] > own + 4 * GAIN and not model.signs.suspects(best[1]):
+                break  # nothing is left to restore
         if best is None:
             break
         found, lost = best[1], lost | best[2]
