@@ -50,6 +50,11 @@ CAPITALS = re.compile(r"^\s*(?=(?:[^A-Z]*[A-Z]){6})[A-Z0-9][A-Z0-9 .&'’()\[\]_
 SENTENCE = re.compile(r"[。．.!?！？]")
 LOWER = re.compile(r"[a-zぁ-ヿ]")
 DIVIDED = re.compile(r"(?<=[A-Za-zÀ-ɏ])([-‐‑¬\xad])[ 　]*$")
+#: What a value with any noise of lines holds, at least.
+HINT = re.compile(
+    r"(?m)(?<=[A-Za-zÀ-ɏ])[-‐‑¬\xad][ 　]*$|^[^\w\n]*\d{1,4}[^\w\n]*$|^\s*\d{1,4}\s*(?:[/／]\s*\d{1,4}|ページ|頁)\s*$|^\s*[Pp](?:age|AGE|g|G)?\.?\s*\d"
+    r"|^\s*第\s*\d+\s*[章部編節][\s　]|^\s*Chapter \d+(?:\s{2}|\s*[:：.])|^\s*[~〜～]\s|(?:説明書|マニュアル)\s*$|\s[|｜]\s|^[^a-zぁ-ヿ一-鿿\n]*[A-Z][^a-zぁ-ヿ一-鿿\n]*$"
+)
 WORD_END, WORD_BEGIN = re.compile(r"[^\s]*$"), re.compile(r"^[^\s]*")
 
 
@@ -298,11 +303,6 @@ def char_model(translations: DataFrame) -> dict[int, np.ndarray]:
     return tables(translations.select(F.col("text").cast("string"), F.col("translation").cast("string")), ORDERS, flow, END)
 
 
-def _maybe_lines(value: str) -> bool:
-    """Whether a value can have noise of lines at all."""
-    return "\n" in value and any(kind for kind in line_kinds(value.split("\n"))) or bool(DIVIDED.search(value.replace("\n", "\x00").split("\x00")[0])) or any(DIVIDED.search(x) for x in value.split("\n")[:-1])
-
-
 def scan(translations: DataFrame) -> DataFrame:
     """(row_id, field, noise, line_no) of each trace of the scanned page, lines repeated in a source included."""
     src = translations.select(F.col("row_id").cast("long"), F.col("text").cast("string"), F.col("translation").cast("string"))
@@ -336,7 +336,7 @@ def _suspects(model: Model, column: pa.Array) -> Iterator[tuple[int, str, bool]]
     at = at[at < len(column)]
     known = set(marked.tolist())
     for i, value in zip(at.tolist(), column.take(pa.array(at, pa.int64())).to_pylist()):
-        if value is not None and (i in known or _maybe_lines(value)):
+        if value is not None and (i in known or HINT.search(value)):
             yield i, value, i in known
 
 
