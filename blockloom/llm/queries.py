@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from blockloom.llm import canonical, encoding, packing, repeated, scan_noise, tokens, unify
+from blockloom.llm import canonical, encoding, packing, pairs, repeated, scan_noise, tokens, unify
 from blockloom.session import table
 
 
@@ -18,6 +18,10 @@ def p1_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unify.unified_translations(table(spark, sf_dir, "translations"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.defective_pairs(table(spark, sf_dir, "translations"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.garbled_values(table(spark, sf_dir, "translations")).select("row_id", "field")
 
@@ -58,6 +62,7 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_unified": p1_unified,
+    "p2_found": p2_found,
     "p3_found": p3_found,
     "p3_restored": p3_restored,
     "p4_found": p4_found,
