@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from blockloom.llm import canonical, encoding, packing, pairs, repeated, scan_noise, tokens, unify
+from blockloom.llm import canonical, encoding, packing, pairs, personal, repeated, scan_noise, tokens, unify
 from blockloom.session import table
 
 
@@ -59,6 +59,14 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill_containers(table(spark, sf_dir, "documents"))
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.personal_mentions(table(spark, sf_dir, "documents"))
+
+
+def p10_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.without_personal(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_unified": p1_unified,
@@ -72,6 +80,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_repaired": p7_repaired,
     "p8_ids": p8_ids,
     "p9_containers": p9_containers,
+    "p10_found": p10_found,
+    "p10_redacted": p10_redacted,
 }
 
 #: SQL of those queries that SQL can express.
