@@ -1,26 +1,414 @@
-"""Queries of the core operators."""
+"""Queries of the core operators over whole tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from blockloom.operators import nested
+from blockloom.functions import geometry, rules, text
+from blockloom.functions.wrap import fit_text
+from blockloom.operators import blocks as B
+from blockloom.operators import catalog, cleanup, edits, events, nested, web
+from blockloom.plans.oracles import ORACLES
 from blockloom.session import table
+from blockloom.sources import manuals, providers
 
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 
-def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nested.flatten_manuals(table(spark, sf_dir, "manual_raw"), values=False)
+SITE, BLOG, SEARCH_TERM, SELECTED = "Depot", "blog.example/posts", "driver", ["jubilee", "mecha"]
+DEBOUNCE, THROTTLE_S = "2 hours", 7200
 
 
-def p6_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nested.flatten_manuals(table(spark, sf_dir, "manual_raw"))
+def query(make: Query) -> Query:
+    QUERIES[make.__name__] = make
+    return make
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "p6_found": p6_found,
-    "p6_tables": p6_tables,
-}
+def _blocks(spark: SparkSession, d: str) -> DataFrame:
+    return B.latest_blocks(table(spark, d, "translations"))
 
-ORACLES: dict[str, str] = {}
+
+def _index(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.corpus_index(_blocks(spark, d), table(spark, d, "meta"))
+
+
+@query
+def corpus_index(spark: SparkSession, d: str) -> DataFrame:
+    return _index(spark, d)
+
+
+@query
+def corpus_stats(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.corpus_stats(_index(spark, d))
+
+
+@query
+def latest_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return _blocks(spark, d).select("row_id", "manual", "page_idx", "block_idx")
+
+
+@query
+def block_explode(spark: SparkSession, d: str) -> DataFrame:
+    return B.lines_as_blocks(table(spark, d, "documents")).select("doc_id", F.col("block_idx").cast("long"), "text")
+
+
+@query
+def noise_filter(spark: SparkSession, d: str) -> DataFrame:
+    return B.keep_readable(table(spark, d, "translations").select("row_id", "text"))
+
+
+@query
+def rule_cleanup(spark: SparkSession, d: str) -> DataFrame:
+    return cleanup.drop_by_rule(table(spark, d, "translations").select("row_id", "translation"))
+
+
+@query
+def rule_counts(spark: SparkSession, d: str) -> DataFrame:
+    return cleanup.rule_counts(table(spark, d, "translations"))
+
+
+@query
+def cleanup_stats(spark: SparkSession, d: str) -> DataFrame:
+    return cleanup.stage_counts(table(spark, d, "translations"))
+
+
+@query
+def sample_first_100(spark: SparkSession, d: str) -> DataFrame:
+    return B.sample_blocks(_blocks(spark, d).select("row_id", "manual", "page_idx", "block_idx")).select("row_id", F.col("n").cast("long"))
+
+
+@query
+def batch_ids(spark: SparkSession, d: str) -> DataFrame:
+    return B.batches(_blocks(spark, d).select("row_id", "manual", "page_idx", "block_idx")).select("row_id", "batch", "pos")
+
+
+@query
+def block_ids(spark: SparkSession, d: str) -> DataFrame:
+    own = B.numbered(_blocks(spark, d).select("row_id", "manual", "page_idx", "block_idx"))
+    return own.select("row_id", F.concat(F.lit("b"), F.col("n").cast("string")).alias("block_id"))
+
+
+@query
+def page_assembly(spark: SparkSession, d: str) -> DataFrame:
+    pages = table(spark, d, "ocr_pages").where("page_num IS NOT NULL").select("manual", F.col("page_num").alias("page_idx")).distinct()
+    whole = B.assemble_pages(pages, _blocks(spark, d).select("manual", "page_idx", "block_idx", "text"))
+    return whole.select("manual", F.col("page_idx").cast("long"), F.size("blocks").cast("long").alias("n_blocks"), F.array_join(F.transform("blocks", lambda b: b["text"]), "|").alias("texts"))
+
+
+@query
+def zip_by_position(spark: SparkSession, d: str) -> DataFrame:
+    t = _blocks(spark, d)
+    a = B.batches(t.select("manual", "page_idx", "block_idx", "row_id"))
+    b = B.batches(t.where("translation IS NOT NULL").select("manual", "page_idx", "block_idx", F.col("row_id").alias("answer_id")))
+    keys = ["manual", "batch", "pos"]
+    return B.zip_by_position(a.select(*keys, "row_id"), b.select(*keys, "answer_id"), keys).select("row_id", "answer_id")
+
+
+def _removals(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "edits").where("op = 'delete'").select("manual", "page_idx", "block_idx")
+
+
+def _corrections(spark: SparkSession, d: str) -> DataFrame:
+    own = table(spark, d, "edits").where("op = 'update_text' AND translation IS NOT NULL")
+    return own.groupBy("manual", "page_idx", "block_idx").agg(F.max_by("translation", "edit_id").alias("new_translation"))
+
+
+def _small(spark: SparkSession, d: str) -> DataFrame:
+    return _blocks(spark, d).select("row_id", "manual", "page_idx", "block_idx", "translation")
+
+
+@query
+def remove_keys(spark: SparkSession, d: str) -> DataFrame:
+    return cleanup.remove_keys(_small(spark, d), _removals(spark, d)).select("row_id")
+
+
+@query
+def apply_corrections(spark: SparkSession, d: str) -> DataFrame:
+    return cleanup.correct(_small(spark, d), _corrections(spark, d)).select("row_id", "translation")
+
+
+@query
+def rekey_after_delete(spark: SparkSession, d: str) -> DataFrame:
+    return cleanup.rekey(cleanup.remove_keys(_small(spark, d), _removals(spark, d))).select("row_id", F.col("block_idx").cast("long"))
+
+
+@query
+def correct_and_remove(spark: SparkSession, d: str) -> DataFrame:
+    return cleanup.correct_and_remove(_small(spark, d), _removals(spark, d), _corrections(spark, d)).select("row_id", F.col("block_idx").cast("long"), "translation")
+
+
+@query
+def edit_fold(spark: SparkSession, d: str) -> DataFrame:
+    out = edits.fold(_blocks(spark, d), table(spark, d, "edits"))
+    x = F.get("bbox", F.lit(0)), F.get("bbox", F.lit(2))
+    return out.select("manual", F.col("page_idx").cast("long"), F.col("block_idx").cast("long"), "text", "translation", x[0].alias("x"), x[1].alias("w"))
+
+
+@query
+def edited_keys(spark: SparkSession, d: str) -> DataFrame:
+    return edits.edited_keys(table(spark, d, "edits"))
+
+
+@query
+def tag_rules(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "meta").select("meta_id", F.array_join(rules.tags_of(F.col("name"), F.col("source")), ",").alias("tags"))
+
+
+@query
+def tag_dictionary(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.tag_labels(table(spark, d, "meta"), table(spark, d, "tag_list"), "meta_id").withColumn("pos", F.col("pos").cast("long"))
+
+
+@query
+def facet_counts(spark: SparkSession, d: str) -> DataFrame:
+    used = catalog.latest_meta(table(spark, d, "meta")).select("manual", F.explode(F.array_distinct("tags")).alias("tag_id")).groupBy("tag_id").agg(F.count("*").alias("k"))
+    own = table(spark, d, "tag_list").join(used, "tag_id", "left").withColumn("n", F.coalesce("k", F.lit(0).cast("long")))
+    return own.select("tag_id", "n", catalog.count_label(F.col("n")).alias("shown"))
+
+
+@query
+def tag_filter_all(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.with_all_tags(table(spark, d, "meta"), SELECTED).select("meta_id")
+
+
+@query
+def tag_toggle(spark: SparkSession, d: str) -> DataFrame:
+    tags = F.coalesce("tags", F.array().cast("array<string>"))
+    return table(spark, d, "meta").select("meta_id", F.array_contains(catalog.toggle(tags, F.lit("jubilee")), "jubilee").alias("on"))
+
+
+@query
+def search(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.search(_index(spark, d), f" {SEARCH_TERM.upper()} ").select("manual")
+
+
+@query
+def legacy_search(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.legacy_search(_index(spark, d), SEARCH_TERM).select("manual")
+
+
+@query
+def display_titles(spark: SparkSession, d: str) -> DataFrame:
+    m = table(spark, d, "meta")
+    return m.select("meta_id", catalog.display_title(F.col("name"), F.col("source")).alias("title"), catalog.display_name(F.col("manual")).alias("shown"), (F.coalesce("source_url", F.lit("")) != "").alias("has_url"))
+
+
+@query
+def slug(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "meta").select("meta_id", text.slug(F.col("name")).alias("handle"))
+
+
+@query
+def slug_variants(spark: SparkSession, d: str) -> DataFrame:
+    named = table(spark, d, "meta").select("meta_id", F.concat("name", F.lit(" Memorial Next Set Set-v2")).alias("name"))
+    return named.select("meta_id", F.array_join(text.slug_variants(text.slug(F.col("name"))), ",").alias("handles"))
+
+
+@query
+def first_match(spark: SparkSession, d: str) -> DataFrame:
+    products = table(spark, d, "product_list").select(text.slug(F.col("name")).alias("handle"), F.col("ref_id").alias("product"))
+    return web.first_match(table(spark, d, "meta").where("name IS NOT NULL"), products, "meta_id", "name")
+
+
+def _html(spark: SparkSession, d: str) -> DataFrame:
+    """Pages made of the headers: with a title, a description in one of two places and links."""
+    m = table(spark, d, "meta").withColumn("n", F.coalesce("name", F.lit("")))
+    blog = F.concat(F.lit(f"https://{BLOG}/"), "manual")
+    parts = [
+        F.lit("<html><head><title>"), F.col("n"), F.lit(f" | {SITE}</title>"),
+        F.when(F.col("meta_id") % 2 == 0, F.concat(F.lit('<meta property="og:description" content="A &quot;'), "manual", F.lit('&quot; &amp; more"></head>'))).otherwise(F.lit("</head>")),
+        F.lit('<div class="product-description">The <b>'), F.col("manual"), F.lit("</b>\n  toy</div>"),
+        F.lit('<a href="'), blog, F.lit('-one"> <a href="'), blog, F.lit('-two"> <a href="'), blog, F.lit(f'-one"> <a href="https://{BLOG}/"></html>'),
+    ]
+    return m.select("meta_id", "name", F.concat(*parts).alias("html"))
+
+
+@query
+def title_extract(spark: SparkSession, d: str) -> DataFrame:
+    return _html(spark, d).select("meta_id", web.product_name(F.col("html"), SITE).alias("title"))
+
+
+@query
+def description_extract(spark: SparkSession, d: str) -> DataFrame:
+    return _html(spark, d).select("meta_id", web.product_description(F.col("html")).alias("description"))
+
+
+@query
+def strip_tags(spark: SparkSession, d: str) -> DataFrame:
+    return _html(spark, d).select("meta_id", text.collapse(text.strip_tags(F.col("html"))).alias("plain"))
+
+
+@query
+def entities(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "translations").select("row_id", text.escape_html(F.col("translation")).alias("escaped"), text.decode_entities(text.escape_html(F.col("translation"))).alias("decoded"))
+
+
+@query
+def links_distinct_3(spark: SparkSession, d: str) -> DataFrame:
+    found = web.post_links(F.col("html"), BLOG)
+    return _html(spark, d).select("meta_id", F.array_join(found, " ").alias("links"), F.array_join(F.transform(found, text.url_title), "|").alias("titles"))
+
+
+@query
+def search_link(spark: SparkSession, d: str) -> DataFrame:
+    links = web.blog_links(F.lit(""), F.concat("name", F.lit(" Clear Set")), BLOG)
+    return table(spark, d, "meta").where("name IS NOT NULL").select("meta_id", F.get(links, F.lit(0))["title"].alias("title"), F.size(links).cast("long").alias("n"))
+
+
+@query
+def url_encode(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "meta").where("source_url IS NOT NULL").select("meta_id", F.concat(F.lit(web.TRANSLATE), text.quote(F.concat("source_url", F.lit("?q=a b*~é+/")))).alias("address"))
+
+
+@query
+def strip_and_collapse(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "translations").select("row_id", text.strip(F.col("text")).alias("stripped"), text.collapse(F.col("translation")).alias("collapsed"))
+
+
+@query
+def title_case(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "meta").where("name IS NOT NULL").select("meta_id", text.title_case(F.col("name")).alias("title"))
+
+
+@query
+def list_marks(spark: SparkSession, d: str) -> DataFrame:
+    mark = text.list_mark(F.col("translation"))
+    return table(spark, d, "translations").select("row_id", mark["mark"].alias("mark"), mark["rest"].alias("rest"))
+
+
+@query
+def list_split(spark: SparkSession, d: str) -> DataFrame:
+    items = text.split_list(F.col("translation"))
+    return table(spark, d, "translations").where("translation IS NOT NULL").select("row_id", F.size(items).cast("long").alias("n"), F.get(items, F.lit(0)).alias("first"))
+
+
+@query
+def wrapped_text(spark: SparkSession, d: str) -> DataFrame:
+    box = geometry.pixels(F.col("bbox"), 1000, 1400)
+    fit = fit_text(F.col("translation"), F.get(box, F.lit(2)), F.get(box, F.lit(3)))
+    return table(spark, d, "translations").select("row_id", fit.alias("fit")).select("row_id", "fit.size", F.size("fit.lines").alias("n_lines"))
+
+
+@query
+def embedded_json(spark: SparkSession, d: str) -> DataFrame:
+    answer = F.concat(F.lit("Sure! "), "props", F.lit(" Hope it helps."))
+    return table(spark, d, "events").select("event_id", F.from_json(text.embedded_json(answer), "k long")["k"].alias("k"))
+
+
+@query
+def model_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Answers as a model gives them, made of the log of edits, parsed and applied."""
+    e = table(spark, d, "edits").where("op = 'update_text' AND translation IS NOT NULL")
+    body = F.to_json(F.struct(F.map_from_entries(F.array(F.struct(F.concat_ws("-", "page_idx", "block_idx"), F.col("translation")))).alias("corrections"), F.array(F.lit("x-1")).alias("remove")))
+    parsed = cleanup.parse_answer(e.select("edit_id", "manual", F.concat(F.lit("Here: "), body, F.lit(" .")).alias("answer")))
+    key = F.get(F.map_keys("corrections"), F.lit(0))
+    return parsed.select("edit_id", text.block_key(key)["page_idx"].cast("long").alias("page_idx"), text.block_key(key)["block_idx"].cast("long").alias("block_idx"), F.get(F.map_values("corrections"), F.lit(0)).alias("translation"), text.block_key(F.get("remove", F.lit(0)))["page_idx"].isNull().alias("rejected"))
+
+
+@query
+def bbox_valid(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "translations").select("row_id", geometry.is_box(F.col("bbox")).alias("ok"))
+
+
+def _quad(box, names=("x", "y", "w", "h")):
+    return [F.get(box, F.lit(i)).alias(n) for i, n in enumerate(names)]
+
+
+@query
+def bbox_clamp(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "translations").select("row_id", *_quad(geometry.clamp(F.col("bbox"))))
+
+
+@query
+def bbox_pixels(spark: SparkSession, d: str) -> DataFrame:
+    p = geometry.pixels(F.col("bbox"), 1000, 1400)
+    rows = table(spark, d, "translations").select("row_id", p.alias("p")).where(geometry.large_enough(F.col("p")))
+    return rows.select("row_id", *(c.cast("long").alias(n) for c, n in zip(_quad(F.col("p")), ("x", "y", "w", "h"))), geometry.font_size(F.get("p", F.lit(3))).cast("long").alias("size"))
+
+
+@query
+def bbox_round(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "translations").select("row_id", *_quad(geometry.round4(F.col("bbox"))))
+
+
+@query
+def render_zoom(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "ocr_pages").select("page_id", geometry.render_zoom(F.col("n_blocks") * 300.0, F.lit(595.0)).alias("zoom"))
+
+
+@query
+def interval_hit(spark: SparkSession, d: str) -> DataFrame:
+    t = _blocks(spark, d)
+    pages = t.select("manual", F.col("page_idx").alias("page_no")).distinct().withColumn("top", F.col("page_no").cast("double")).withColumn("bottom", F.col("page_no") + 1.0)
+    centre = F.col("page_idx") + F.get("bbox", F.lit(1)) + F.get("bbox", F.lit(3)) / 2
+    probes = t.where(geometry.is_box(F.col("bbox"))).select("row_id", "manual", centre.alias("c"))
+    return B.page_at(probes, pages, "c", "top", "bottom").select("row_id", F.col("page_no").cast("long"))
+
+
+@query
+def page_navigation(spark: SparkSession, d: str) -> DataFrame:
+    pages = table(spark, d, "translations").select("manual", "page_idx").distinct()
+    return catalog.navigation(pages).select("manual", *(F.col(c).cast("long") for c in ("page_idx", "previous", "next")), "late")
+
+
+@query
+def ocr_quarantine(spark: SparkSession, d: str) -> DataFrame:
+    good, bad = providers.split_results(table(spark, d, "ocr_pages"))
+    return good.select("page_id", F.lit(True).alias("good"), F.lit(None).cast("string").alias("error")).unionByName(bad.select("page_id", F.lit(False).alias("good"), "error"))
+
+
+@query
+def status_changes(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "ocr_pages").withColumn("status", F.when(F.col("success"), "ok").when(~F.col("success"), F.coalesce("error", F.lit("failed"))))
+    return events.changes(rows, "manual", "status", ["page_num", "page_id"], F.floor(F.col("page_num") / 64)).select("page_id", "status")
+
+
+@query
+def latest_state(spark: SparkSession, d: str) -> DataFrame:
+    return events.latest_state(table(spark, d, "events").select("user_id", "ts", "event_id", "event_type"), "user_id", "ts", "event_id").select("user_id", "event_id", "event_type")
+
+
+@query
+def debounce(spark: SparkSession, d: str) -> DataFrame:
+    return events.debounce(table(spark, d, "events"), "user_id", "ts", "event_id", DEBOUNCE)
+
+
+@query
+def throttle(spark: SparkSession, d: str) -> DataFrame:
+    return events.throttle(table(spark, d, "events").select("user_id", "ts", "event_id"), "user_id", "ts", "event_id", THROTTLE_S).select("user_id", "event_id")
+
+
+@query
+def heartbeats(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "ocr_pages").where(events.every(F.col("page_num"))).select("page_id", "page_num")
+
+
+@query
+def manual_documents(spark: SparkSession, d: str) -> DataFrame:
+    t = _blocks(spark, d)
+    pages = t.select("manual", "page_idx").distinct().withColumn("image", catalog.image_paths(F.col("manual"), F.col("page_idx")))
+    m = catalog.latest_meta(table(spark, d, "meta"))
+    head = m.select("manual", F.struct(F.col("name").alias("manual_name"), "source", "source_lang", "target_lang", "source_url", "blog_url", "pages", "blocks", "thumbnail", "tags").alias("meta"))
+    whole = manuals.nest(t, pages, head)
+    return manuals.manual_json(whole)
+
+
+@query
+def catalog_document(spark: SparkSession, d: str) -> DataFrame:
+    return manuals.catalog_json(_index(spark, d), rules.TAGS)
+
+
+@query
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return nested.flatten_manuals(table(spark, d, "manual_raw"), values=False)
+
+
+@query
+def p6_tables(spark: SparkSession, d: str) -> DataFrame:
+    return nested.flatten_manuals(table(spark, d, "manual_raw"))
+
+
+__all__ = ["ORACLES", "QUERIES"]
