@@ -62,7 +62,7 @@ def with_all_tags(rows: DataFrame, selected: list[str]) -> DataFrame:
 
 def toggle(selected: Column, tag: Column) -> Column:
     """The selection with the tag taken out, or put in."""
-    return F.when(F.array_contains(selected, tag), F.array_except(selected, F.array(tag))).otherwise(F.array_union(selected, F.array(tag)))
+    return F.when(F.coalesce(F.array_contains(selected, tag), F.lit(False)), F.array_except(selected, F.array(tag))).otherwise(F.array_union(selected, F.array(tag)))
 
 
 def tag_labels(rows: DataFrame, tag_list: DataFrame, key: str) -> DataFrame:

@@ -177,7 +177,7 @@ def tag_filter_all(spark: SparkSession, d: str) -> DataFrame:
 @query
 def tag_toggle(spark: SparkSession, d: str) -> DataFrame:
     tags = F.coalesce("tags", F.array().cast("array<string>"))
-    return table(spark, d, "meta").select("meta_id", F.array_contains(catalog.toggle(tags, F.lit("jubilee")), "jubilee").alias("on"))
+    return table(spark, d, "meta").select("meta_id", F.coalesce(F.array_contains(catalog.toggle(tags, F.lit("jubilee")), "jubilee"), F.lit(False)).alias("on"))
 
 
 @query
