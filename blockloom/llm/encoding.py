@@ -100,7 +100,7 @@ class Model:
         garbage = {ch for ch in multi_signs(False) if "一" <= ch <= "鿿"}
         self.common = {chr(c) for c in at.tolist() if c >= 0x80 and not 0xD800 <= c < 0xE000 and not (0x80 <= c < 0xA0) and chr(c) != LOSS and not 0xE000 <= c < 0xF900 and chr(c) not in garbage}
         # what a first layer of wrong reading holds may come out of the second
-        self.readable = self.common | set(single_bytes("cp1252")) | {chr(c) for c in range(0x80, 0x100)}
+        self.readable = self.common | {ch for name in SINGLE for ch in single_bytes(name) if ch >= "\x80"}
         self.signs = Signs(self.common, self.readable)
         self.by_length: dict[int, dict[bytes, str]] = {2: {}, 3: {}}
         for ch in self.common:
@@ -259,7 +259,8 @@ def read_again(model: Model, text: str, wrong: str, true: str, lossy: bool = Fal
 
 
 #: First two bytes of kana, full-width forms and punctuation in UTF-8, and of Latin letters.
-_JAPANESE_BYTES = [(0xE2, 0x80), (0xE3, 0x80), (0xE3, 0x81), (0xE3, 0x82), (0xE3, 0x83), (0xEF, 0xBC), (0xEF, 0xBD)]
+_KANA_BYTES = [(0xE2, 0x80), (0xE3, 0x80), (0xE3, 0x81), (0xE3, 0x82), (0xE3, 0x83)]
+_JAPANESE_BYTES = [*_KANA_BYTES, (0xEF, 0xBC), (0xEF, 0xBD)]
 _LATIN_BYTES = [(a, b) for a in (0xC2, 0xC3) for b in range(0x80, 0xC0)]
 
 
@@ -268,7 +269,9 @@ def multi_signs(latin: bool = True) -> dict[str, set[tuple[str, str]]]:
     """Characters of multi-byte encodings that begin with the first two bytes of common UTF-8 characters."""
     out: dict[str, set[tuple[str, str]]] = defaultdict(set)
     for wrong in MULTI:
-        for a, b in _JAPANESE_BYTES + (_LATIN_BYTES if latin and wrong in ("cp932", "gbk") else []):
+        # the others turn these pairs into characters that correct text holds, or into none
+        wide = wrong in ("cp932", "gbk")
+        for a, b in (_JAPANESE_BYTES if wide else _KANA_BYTES) + (_LATIN_BYTES if latin and wide else []):
             for ch in bytes((a, b)).decode(wrong, "ignore"):
                 if ch > "\x7f" and not "ぁ" <= ch <= "ヿ":
                     out[ch].add((wrong, "utf-8"))
@@ -313,9 +316,44 @@ class Signs:
         return sorted(near, key=lambda c: (-found[c] * (3 if c[1] == "utf-8" else 1), c))
 
 
+def peeled(text: str, wrong: str) -> str:
+    """The value with every whole UTF-8 character read, without regard to likelihood: one layer of wrong reading."""
+    back = single_bytes(wrong)
+    out, i, n = [], 0, len(text)
+    raw = [back.get(ch, -1) for ch in text]
+    while i < n:
+        first = raw[i]
+        size = 0 if first < 0xC2 else 2 if first < 0xE0 else 3 if first < 0xF0 else 4 if first < 0xF5 else 0
+        if size and i + size <= n and all(0x80 <= b < 0xC0 for b in raw[i + 1 : i + size]):
+            out.append(bytes(raw[i : i + size]).decode("utf-8", "ignore"))
+            i += size
+        else:
+            out.append(text[i])
+            i += 1
+    return "".join(out)
+
+
+def layers(model: Model, text: str) -> str | None:
+    """The text under two or more layers of one wrong reading, peeled until nothing is left to read; else None."""
+    for wrong, true in model.signs.suspects(text):
+        if wrong not in SINGLE or true != "utf-8":
+            continue
+        once = peeled(text, wrong)
+        twice = peeled(once, wrong)
+        if twice != once and twice != text:
+            thrice = peeled(twice, wrong)
+            final = thrice if thrice != twice and model.score(thrice) > model.score(twice) else twice
+            if not any(w in SINGLE and t == "utf-8" for w, t in model.signs.suspects(final)):
+                return final
+    return None
+
+
 def restore(model: Model, text: str) -> tuple[str, bool] | None:
     """The text as written and whether bytes were lost; None if the value isn't garbled."""
     found, lost = text, False
+    deep = layers(model, text)
+    if deep is not None and model.score(deep) > model.score(text) + GAIN:
+        found = deep
     for _ in range(3):  # garbled twice or thrice
         suspects = model.signs.suspects(found)
         if not suspects:

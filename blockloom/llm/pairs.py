@@ -33,13 +33,15 @@ DEFECTS = ("empty", "refusal", "copied", "other_language", "truncated")
 LABELS = DEFECTS[1:]
 #: Rows of the corpus the classifier may be fitted on, at most.
 SAMPLE = 8000
+#: How far below the calibrated threshold a score may lie where an exact check follows.
+LENIENT = {"refusal": 0.0, "copied": 0.0, "other_language": 0.5, "truncated": 0.0}
 #: Share of the sample, the most suspicious by each label, that is no example of sound rows when it is fitted anew.
-DOUBT = 0.015
+DOUBT = 0.03
 #: Weight of a sound example against a synthetic defect.
 SOUND = 4.0
 #: Price of a false defect against that of a missed one when thresholds are calibrated: about sound rows per defect.
 COST = {"refusal": 60.0, "copied": 60.0, "other_language": 60.0, "truncated": 300.0}
-EPOCHS, BATCH, RATE, DECAY = 8, 256, 0.3, 1e-6
+EPOCHS, BATCH, RATE, DECAY = (2, 6), 256, 0.3, 1e-6
 _WORD, _GRAM, _TAIL, _BINS, _LENGTH = 16, 16, 17, 12, 16
 LENGTH_ORDERS = (1, 3, 5)
 _AT_GRAM = 1 << _WORD
@@ -55,6 +57,7 @@ _ranges = {
     "latin": ((0x41, 0x5B), (0x61, 0x7B), (0xC0, 0x250)),
     "accent": ((0xC0, 0x250),),
     "digit": ((0x30, 0x3A),),
+    "sign": ((0x80, 0xA0), (0x2C6, 0x2DD), (0x201A, 0x201B), (0x201E, 0x2020), (0x20AC, 0x20AD), (0xFF61, 0xFFA0), (0xFFFD, 0xFFFE)),
     "odd": ((0x80, 0xA0), (0xA1, 0xA9), (0xAA, 0xAE), (0xB4, 0xD7), (0xD8, 0x250), (0x370, 0x530), (0x2013, 0x2018), (0x201A, 0x201C), (0x201E, 0x203B), (0xE000, 0xF900), (0xFF61, 0xFFA0), (0xFFFD, 0xFFFE)),
 }
 
@@ -317,7 +320,7 @@ class Classifier:
             norm = new
         self.length = w.astype(np.float32)
 
-    def fit(self, features: Features, labels: np.ndarray, seed: int) -> None:
+    def fit(self, features: Features, labels: np.ndarray, seed: int, epochs: int) -> None:
         """Adagrad on shuffled batches."""
         order = np.argsort(features.rows, kind="stable")
         feats, values = features.feats[order], features.values[order]
@@ -326,7 +329,7 @@ class Classifier:
         weight = np.where(labels.sum(axis=1) == 0, SOUND, 1.0)
         grown = np.full(SIZE, 0.1, dtype=np.float64)
         grown = np.repeat(grown[:, None], len(LABELS), axis=1)
-        for epoch in range(EPOCHS):
+        for _ in range(epochs):
             rows = rng.permutation(features.n)
             for a in range(0, len(rows), BATCH):
                 part = rows[a : a + BATCH]
@@ -388,7 +391,7 @@ def train(sample: list[tuple[str, str]], seed: int = 7) -> Classifier:
         held = np.arange(len(texts)) % 5 == 0
         train_rows = [t for t, h in zip(texts, held) if not h]
         features = Features(*_columns(train_rows), model)
-        model.fit(features, y[~held], seed)
+        model.fit(features, y[~held], seed, EPOCHS[turn])
         scores = model.scores(Features(*_columns([t for t, h in zip(texts, held) if h]), model))
         sane = scores[y[held].sum(axis=1) == 0]
         for k in range(len(LABELS)):
@@ -398,7 +401,7 @@ def train(sample: list[tuple[str, str]], seed: int = 7) -> Classifier:
             wrong = np.array([(sane[:, k] > s).mean() for s in steps])
             missed = np.array([(bad <= s).mean() for s in steps])
             price = wrong * COST[LABELS[k]] + missed
-            model.thresholds[k] = np.median(steps[price <= price.min() + 0.002])
+            model.thresholds[k] = np.median(steps[price <= price.min() + 0.002]) - LENIENT[LABELS[k]]
         if turn == 0:
             own = model.scores(Features(*_columns(sound), model))
             bad = (own > np.quantile(own, 1.0 - DOUBT, axis=0)).any(axis=1)
@@ -430,6 +433,15 @@ def _stops_early(model: Classifier, source: Side, answer: Side) -> np.ndarray:
     return np.where(prose, (two < one) | ~closed, broken | (ratio < 0.8) | (lines > 0))
 
 
+def _foreign(model: Classifier, answer: Side) -> np.ndarray:
+    """The exact check of answers in another language: few words of the corpus's answers, or few Latin letters."""
+    words, rows = model.words(answer)
+    n = len(answer.size)
+    known = np.bincount(rows, weights=model.known[words].astype(np.float64), minlength=n) / np.maximum(np.bincount(rows, minlength=n), 1)
+    letters = sum(answer.share(k) for k in ("latin", "kana", "han", "hangul", "cyrillic"))
+    return (known < 0.6) | (answer.share("latin") < 0.8 * letters)
+
+
 def _cleaned(value: str | None) -> str:
     """The value without page numbers and running headers, words divided at line ends put together."""
     lines = (value or "").split("\n")
@@ -464,6 +476,8 @@ def defective_pairs(translations: DataFrame) -> DataFrame:
                 empty = answer.size == 0
                 found = np.full(len(asked), -1, dtype=np.int64)
                 over = model.scores(Features(source, answer, model)) > model.thresholds
+                over[:, LABELS.index("other_language")] &= _foreign(model, answer)
+                over[answer.share("sign") > 0, LABELS.index("refusal")] = False  # garbled words look like rare ones
                 over[:, LABELS.index("truncated")] &= _stops_early(model, source, answer)
                 for k in range(len(LABELS) - 1, -1, -1):
                     found[over[:, k]] = k + 1
