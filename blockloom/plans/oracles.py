@@ -76,6 +76,10 @@ f AS (SELECT l.manual, l.page_idx, l.block_idx, l.text, coalesce(new_text, trans
   LEFT JOIN t USING (manual, page_idx, block_idx) LEFT JOIN b USING (manual, page_idx, block_idx) ANTI JOIN g USING (manual, page_idx, block_idx) UNION ALL {_ADDED})
 SELECT manual, page_idx::BIGINT AS page_idx, row_number() OVER (PARTITION BY manual, page_idx ORDER BY block_idx) - 1 AS block_idx, text, translation, bbox[1] AS x, bbox[3] AS w FROM f
 """
+_OUT = "list_concat([b], CASE WHEN regexp_replace(b, '-v\\p{Nd}+$', '') <> b THEN [regexp_replace(b, '-v\\p{Nd}+$', '')] ELSE [] END)"
+_SET, _SETS = "regexp_replace(b, '-set$', '')", "replace(b, '-set', '')"
+VARIANTS = f"""list_concat({_OUT}, CASE WHEN contains(b, 'memorial') THEN list_concat([{_SET}], CASE WHEN list_contains(list_concat({_OUT}, [{_SET}]), {_SETS}) THEN [] ELSE [{_SETS}] END) ELSE [] END,
+  CASE WHEN contains(b, 'next') THEN [replace(b, 'next', 'NEXT'), replace(b, '-next', '')] ELSE [] END)"""
 _TAG_CASES = ", ".join(
     f"CASE WHEN {test} THEN '{tag}' END"
     for tag, test in {
@@ -125,6 +129,9 @@ ORACLES: dict[str, str] = {
     "slug": f"SELECT meta_id, {slug('name')} AS handle FROM meta",
     "slug_variants": f"""SELECT meta_id, array_to_string([b, regexp_replace(b, '-v\\p{{Nd}}+$', ''), regexp_replace(b, '-set$', ''), replace(b, '-set', ''), replace(b, 'next', 'NEXT'), replace(b, '-next', '')], ',') AS handles
         FROM (SELECT meta_id, {slug("name || ' Memorial Next Set Set-v2'")} AS b FROM meta)""",
+    "first_match": f"""SELECT meta_id, arg_min(handle, (pos, product)) AS handle, arg_min(product, (pos, product)) AS product
+        FROM (SELECT meta_id, unnest(v) AS handle, unnest(generate_series(1, len(v))) AS pos FROM (SELECT meta_id, {VARIANTS} AS v FROM (SELECT meta_id, {slug('name')} AS b FROM meta WHERE name IS NOT NULL)))
+        JOIN (SELECT {slug('name')} AS handle, ref_id AS product FROM product_list) USING (handle) GROUP BY meta_id""",
     "title_extract": f"SELECT meta_id, {strip('coalesce(name, chr(32))')} AS title FROM {HTML}",
     "description_extract": f"SELECT meta_id, CASE WHEN meta_id % 2 = 0 THEN 'A \"' || manual || '\" & more' ELSE 'The ' || manual || ' toy' END AS description FROM {HTML}",
     "strip_tags": f"SELECT meta_id, {collapse("regexp_replace(html, '<.*?>', '', 'g')")} AS plain FROM {HTML}",
@@ -132,6 +139,7 @@ ORACLES: dict[str, str] = {
     "links_distinct_3": f"""SELECT meta_id, '{BLOG}/' || manual || '-one {BLOG}/' || manual || '-two' AS links, t || ' One|' || t || ' Two' AS titles
         FROM (SELECT meta_id, manual, array_to_string(list_transform(string_split(manual, '-'), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS t FROM meta)""",
     "search_link": f"SELECT meta_id, 'Search: ' || {strip("regexp_replace(replace(name, 'Complete Selection Modification', 'CSM') || ' Clear Set', '(?i)" + SP + "+(Limited|Clear|Edition|Set|Memorial)\\b', '', 'g')")} AS title, 1::BIGINT AS n FROM meta WHERE name IS NOT NULL",
+    "title_case": "SELECT meta_id, coalesce(list_aggregate(list_transform(generate_series(1, length(name)), lambda i: CASE WHEN i > 1 AND regexp_matches(name[i - 1], '\\p{L}') THEN lower(name[i]) ELSE upper(name[i]) END), 'string_agg', ''), '') AS title FROM meta WHERE name IS NOT NULL",
     "url_encode": "SELECT meta_id, 'https://translate.google.com/translate?sl=ja&tl=en&u=' || replace(url_encode(source_url || '?q=a b*~é+/'), '%2F', '/') AS address FROM meta WHERE source_url IS NOT NULL",
     "strip_and_collapse": f"SELECT row_id, {strip('text')} AS stripped, {collapse('translation')} AS collapsed FROM translations",
     "list_marks": f"SELECT row_id, regexp_extract(translation, '{_MARK}', 1) AS mark, substring(translation, length(regexp_extract(translation, '{_MARK}', 1)) + 1) AS rest FROM translations",
@@ -158,5 +166,8 @@ ORACLES: dict[str, str] = {
         r AS (SELECT user_id, event_id, ts AS last, k, true AS ok FROM o WHERE k = 1 UNION ALL
           SELECT o.user_id, o.event_id, CASE WHEN o.ts - r.last >= INTERVAL 2 HOUR THEN o.ts ELSE r.last END, o.k, o.ts - r.last >= INTERVAL 2 HOUR FROM r JOIN o ON o.user_id = r.user_id AND o.k = r.k + 1)
         SELECT user_id, event_id FROM r WHERE ok""",
+    "job_names": f"SELECT meta_id, 'translate-' || replace({strip("regexp_replace(source, '[.]pdf$', '')")}, ' ', '-') || '-' || strftime(loaded_at, '%Y%m%d-%H%M%S') AS job FROM meta WHERE source IS NOT NULL AND loaded_at IS NOT NULL",
+    "job_progress": """SELECT manual, count(*) FILTER (coalesce(success, false)) AS done, count(*) AS total, count(*) FILTER (coalesce(success, false)) / count(*)::DOUBLE AS steps,
+        count(*) FILTER (coalesce(success, false)) > 0 AS success FROM ocr_pages GROUP BY manual""",
     "heartbeats": "SELECT page_id, page_num FROM ocr_pages WHERE page_num % 5 = 0",
 }

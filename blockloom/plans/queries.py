@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockloom.functions import geometry, rules, text
+from blockloom.functions.fix import fix_text
 from blockloom.functions.wrap import fit_text
 from blockloom.operators import blocks as B
 from blockloom.operators import catalog, cleanup, edits, events, nested, web
@@ -386,6 +387,37 @@ def heartbeats(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "ocr_pages").where(events.every(F.col("page_num"))).select("page_id", "page_num")
 
 
+@query
+def fixed_text(spark: SparkSession, d: str) -> DataFrame:
+    out, _ = cleanup.repair_encoding(table(spark, d, "translations").select("row_id", "translation"), fix_text)
+    return out
+
+
+@query
+def fix_counts(spark: SparkSession, d: str) -> DataFrame:
+    return cleanup.repair_encoding(table(spark, d, "translations"), fix_text)[1]
+
+
+@query
+def prompts(spark: SparkSession, d: str) -> DataFrame:
+    """Instructions with the first blocks of each manual, as they go to a language model."""
+    sampled = B.sample_blocks(_blocks(spark, d).select("manual", "page_idx", "block_idx", "text", "translation"))
+    return providers.prompt(sampled, "Clean these blocks.").select("manual", F.length("prompt").cast("long").alias("size"))
+
+
+@query
+def job_names(spark: SparkSession, d: str) -> DataFrame:
+    m = table(spark, d, "meta").where("source IS NOT NULL AND loaded_at IS NOT NULL")
+    return m.select("meta_id", catalog.workflow_id(F.regexp_replace("source", r"[.]pdf$", ""), F.col("loaded_at")).alias("job"))
+
+
+@query
+def job_progress(spark: SparkSession, d: str) -> DataFrame:
+    """Progress of the recognition of each manual: pages that succeeded of all."""
+    pages = table(spark, d, "ocr_pages").groupBy("manual").agg(F.count_if(F.coalesce("success", F.lit(False))).alias("done"), F.count("*").alias("total"))
+    return pages.select("manual", "done", "total", events.progress(F.lit("ocr"), F.col("done"), F.col("total")).alias("steps"), (F.col("done") > 0).alias("success"))
+
+
 @query
 def manual_documents(spark: SparkSession, d: str) -> DataFrame:
     t = _blocks(spark, d)
