@@ -33,6 +33,8 @@ BITS = 18
 ORDERS = {1: 16, 2: BITS}
 #: Least share of the corpus of a character that is put in.
 RARE = 3e-7
+#: Share of the corpus from which a character is usual.
+USUAL = 2e-5
 BEAM = 24
 #: Share of the most signs of a true encoding that a wrong encoding must show.
 NEAR = 0.7
@@ -101,7 +103,8 @@ class Model:
         self.common = {chr(c) for c in at.tolist() if c >= 0x80 and not 0xD800 <= c < 0xE000 and not (0x80 <= c < 0xA0) and chr(c) != LOSS and not 0xE000 <= c < 0xF900 and chr(c) not in garbage}
         # what a first layer of wrong reading holds may come out of the second
         self.readable = self.common | {ch for name in SINGLE for ch in single_bytes(name) if ch >= "\x80"}
-        self.signs = Signs(self.common, self.readable)
+        usual = {ch for ch in self.common if self.one[min(ord(ch), 0xFFFF)] > USUAL * self.total}
+        self.signs = Signs(self.common, self.readable, usual)
         self.by_length: dict[int, dict[bytes, str]] = {2: {}, 3: {}}
         for ch in self.common:
             raw = ch.encode("utf-8")
@@ -283,7 +286,7 @@ def multi_signs(latin: bool = True) -> dict[str, set[tuple[str, str]]]:
 class Signs:
     """What shows that a value was read wrongly: the first two characters that common characters become."""
 
-    def __init__(self, common: set[str], readable: set[str]):
+    def __init__(self, common: set[str], readable: set[str], usual: set[str]):
         self.two: dict[str, set[tuple[str, str]]] = defaultdict(set)
         for wrong in SINGLE:
             back = {b: ch for ch, b in single_bytes(wrong).items()}
@@ -297,7 +300,9 @@ class Signs:
                         self.two[back[raw[0]] + back[raw[1]]].add((wrong, true))
                         if true == "utf-8":
                             self.two[back[raw[0]] + LOSS].add((wrong, true))
-        self.one = multi_signs()
+        # a kanji that Latin letters turn into shows nothing where correct text often holds it
+        own = multi_signs(False)
+        self.one = {ch: configs for ch, configs in multi_signs().items() if ch in own or ch not in usual}
 
     def suspects(self, text: str) -> list[tuple[str, str]]:
         """Pairs of wrong and true encoding that the value speaks for, the likeliest first."""
