@@ -165,8 +165,11 @@ class Model:
         return out
 
 
-def line_kinds(lines: list[str]) -> list[str]:
-    """'' , 'header' or 'page_no' for each line of a value."""
+def line_kinds(lines: list[str], beside: str = "") -> list[str]:
+    """'' , 'header' or 'page_no' for each line of a value.
+
+    A line in capitals that the other side of the pair holds too is a title of its own, no running header.
+    """
     out = [""] * len(lines)
     if len(lines) < 2:
         return out
@@ -176,7 +179,7 @@ def line_kinds(lines: list[str]) -> list[str]:
         if m:
             out[i] = "page_no" if m[1] is None else "bare"
             bare += m[1] is not None
-        elif HEADER.match(line) or CAPITALS.match(line):
+        elif HEADER.match(line) or CAPITALS.match(line) and line.strip().lower() not in {x.strip().lower() for x in beside.split("\n")}:
             out[i] = "header"
     body = [line for line, kind in zip(lines, out) if not kind]
     text = "\n".join(body)
@@ -243,53 +246,68 @@ def divided(model: Model, before: str, after: str) -> bool:
     return joined > max(rivals)
 
 
-def noises(model: Model, value: str, suspicious: bool) -> tuple[list[tuple[str, int]], str]:
-    """(noise, line) pairs of a value, and the value repaired into paragraphs."""
-    lines = value.split("\n")
-    kinds = line_kinds(lines)
-    found = [(kind, k) for k, kind in enumerate(kinds) if kind]
-    kept = [k for k, kind in enumerate(kinds) if not kind]
-    joins = set()
-    for a, b in zip(kept, kept[1:]):
-        if divided(model, lines[a], lines[b].lstrip()):
-            found.append(("hyphen", a))
-            joins.add(a)
-    body = [DIVIDED.sub("", lines[k]) if k in joins else lines[k] for k in kept]
-    fixed = list(body)
-    if suspicious:
-        glued, first = [], []  # lines joined over divided words
-        for k, line in zip(kept, body):
-            if glued and first[-1][-1] in joins:
-                glued[-1] += line.lstrip()
-                first[-1].append(k)
+class Draft:
+    """A value on its way: lines classed, divided words put together, ready to be searched for misread characters."""
+
+    def __init__(self, model: Model, value: str, beside: str):
+        lines = value.split("\n")
+        kinds = line_kinds(lines, beside)
+        self.found = [(kind, k) for k, kind in enumerate(kinds) if kind]
+        kept = [k for k, kind in enumerate(kinds) if not kind]
+        joins = set()
+        for a, b in zip(kept, kept[1:]):
+            if divided(model, lines[a], lines[b].lstrip()):
+                self.found.append(("hyphen", a))
+                joins.add(a)
+        self.glued: list[str] = []  # lines joined over divided words
+        self.first: list[list[int]] = []
+        for k in kept:
+            line = DIVIDED.sub("", lines[k]) if k in joins else lines[k]
+            if self.glued and self.first[-1][-1] in joins:
+                self.glued[-1] += line.lstrip()
+                self.first[-1].append(k)
             else:
-                glued.append(line)
-                first.append([k])
-        text, where = running(glued)
-        points = np.array([END, *map(ord, text), END, *[END] * 8], dtype=np.uint32)
-        at = [i - 1 for i in np.flatnonzero(model.candidates(points)).tolist() if 0 < i <= len(text)]
+                self.glued.append(line)
+                self.first.append([k])
+
+    def repair(self, model: Model, text: str, where: list[tuple[int, int]], at: list[int]) -> None:
+        """Decode the words around candidate characters."""
         for lo, hi in reversed(_words(text, at)):
             new = model.repair(text[max(0, lo - 4) : lo], text[lo:hi], text[hi : hi + 4] + "\x01" * max(0, 4 - len(text) + hi))
             if new != text[lo:hi]:
                 k, c = where[lo if where[lo][1] >= 0 else lo + 1]
                 end = where[hi - 1]
-                found.append(("misread", first[k][0]))
+                self.found.append(("misread", self.first[k][0]))
                 if end[0] == k and where[lo][1] >= 0:
-                    old = glued[k][c : end[1] + 1]
-                    glued[k] = glued[k][:c] + _cased(old, new) + glued[k][end[1] + 1 :]
-        fixed = glued
-    elif joins:
-        fixed = []
-        for k, line in zip(kept, body):
-            if fixed and kept[kept.index(k) - 1] in joins:
-                fixed[-1] += line.lstrip()
-            else:
-                fixed.append(line)
-    out = ""
-    for line in fixed:
-        wrapped = out and not out.endswith(("。", "\n"))
-        out = line if not out else out + ("" if wrapped and out[-1] >= "⺀" else " " if wrapped else "") + line
-    return found, out
+                    old = self.glued[k][c : end[1] + 1]
+                    self.glued[k] = self.glued[k][:c] + _cased(old, new) + self.glued[k][end[1] + 1 :]
+
+    def paragraph(self) -> str:
+        out = ""
+        for line in self.glued:
+            wrapped = out and not out.endswith(("。", "\n"))
+            out = line if not out else out + ("" if wrapped and out[-1] >= "⺀" else " " if wrapped else "") + line
+        return out
+
+
+def drafts(model: Model, values: list[tuple[str, str, bool]]) -> list[Draft]:
+    """Finished drafts of (value, other side, search for misread characters) triples; all are searched in one go."""
+    done = [Draft(model, value, beside) for value, beside, _ in values]
+    sought = [(draft, *running(draft.glued)) for draft, (_, _, marked) in zip(done, values) if marked]
+    if sought:
+        gap = np.full(10, END, dtype=np.uint32)
+        pieces_, begin, size = [gap], [], 10
+        for _, text, _ in sought:
+            begin.append(size)
+            pieces_ += [np.array(list(map(ord, text)), dtype=np.uint32), gap]
+            size += len(text) + 10
+        hits = np.flatnonzero(model.candidates(np.concatenate(pieces_)))
+        cuts = np.searchsorted(hits, begin)
+        ends = np.searchsorted(hits, [b + len(text) for b, (_, text, _) in zip(begin, sought)])
+        for (draft, text, where), b, lo, hi in zip(sought, begin, cuts, ends):
+            if lo < hi:
+                draft.repair(model, text, where, (hits[lo:hi] - b).tolist())
+    return done
 
 
 def _cased(old: str, new: str) -> str:
@@ -313,8 +331,10 @@ def scan(translations: DataFrame) -> DataFrame:
         for batch in batches:
             for part in pieces(batch, 1, 2):
                 for field in ("text", "translation"):
-                    column = part.column(field)
-                    out = [(i, noise, line) for i, value, marked in _suspects(model, column) for noise, line in noises(model, value, marked)[0]]
+                    column, other = part.column(field), part.column("translation" if field == "text" else "text")
+                    own = list(_suspects(model, column))
+                    done = drafts(model, [(value, other[i].as_py() or "", marked) for i, value, marked in own])
+                    out = [(i, noise, line) for (i, _, _), draft in zip(own, done) for noise, line in draft.found]
                     take = pa.array([o[0] for o in out], pa.int64())
                     yield pa.RecordBatch.from_arrays(
                         [part.column("row_id").take(take), pa.array([field] * len(out), pa.string()), pa.array([o[1] for o in out], pa.string()), pa.array([o[2] for o in out], pa.int64())],
@@ -349,15 +369,17 @@ def noisy_values(translations: DataFrame, meta: DataFrame) -> DataFrame:
 def repaired_values(translations: DataFrame, meta: DataFrame) -> DataFrame:
     """(row_id, field, repaired) of each noisy value, as continuous paragraphs; row_id must be unique."""
     noisy = noisy_values(translations, meta).select("row_id", "field").distinct()
-    values = translations.select("row_id", F.expr("stack(2, 'text', CAST(text AS STRING), 'translation', CAST(translation AS STRING)) AS (field, value)"))
+    both = F.expr("stack(2, 'text', CAST(text AS STRING), CAST(translation AS STRING), 'translation', CAST(translation AS STRING), CAST(text AS STRING)) AS (field, value, beside)")
+    values = translations.select("row_id", both)
     shared = translations.sparkSession.sparkContext.broadcast(char_model(translations))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(shared.value)
         for batch in batches:
-            done = [noises(model, value, True)[1] for value in batch.column("value").to_pylist()]
+            values = [(value, beside or "", True) for value, beside in zip(batch.column("value").to_pylist(), batch.column("beside").to_pylist())]
+            done = [draft.paragraph() for draft in drafts(model, values)]
             yield pa.RecordBatch.from_arrays([batch.column("row_id"), batch.column("field"), pa.array(done, pa.string())], names=["row_id", "field", "repaired"])
 
     kind = dict(translations.dtypes)["row_id"]
-    joined = values.join(noisy, ["row_id", "field"]).where("value IS NOT NULL").select("row_id", "field", "value")
+    joined = values.join(noisy, ["row_id", "field"]).where("value IS NOT NULL").select("row_id", "field", "value", "beside")
     return joined.mapInArrow(run, f"row_id {kind}, field string, repaired string")
