@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from blockloom.llm import canonical, encoding, packing, pairs, personal, repeated, scan_noise, tokens, unify
+from blockloom.plans.oracles import SP
 from blockloom.session import table
 
 
@@ -84,5 +86,34 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p10_redacted": p10_redacted,
 }
 
+_FULL = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "\u3000"
+_HALF = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)) + " "
+
+
+def _width_sql(line: str) -> str:
+    """Full-width ASCII narrowed and half-width kana widened, voiced pairs first."""
+    kana = [chr(c) for c in range(0xFF61, 0xFFA0)]
+    wide = [unicodedata.normalize("NFKC", c) for c in kana]
+    for c in kana:
+        for mark in "\uff9e\uff9f":
+            pair = unicodedata.normalize("NFKC", c + mark)
+            if len(pair) == 1:
+                line = f"replace({line}, '{c}{mark}', '{pair}')"
+    single = [(a, b) for a, b in zip(kana, wide) if len(b) == 1]
+    line = f"translate({line}, '{''.join(a for a, _ in single)}', '{''.join(b for _, b in single)}')"
+    quoted = _FULL.replace("'", "''"), _HALF.replace("'", "''")
+    return f"translate({line}, '{quoted[0]}', '{quoted[1]}')"
+
+
+_KEY = f"regexp_replace(lower(regexp_replace({_width_sql('line')}, '\\p{{Nd}}+', '0', 'g')), '{SP}', '', 'g')"
 #: SQL of those queries that SQL can express.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "p5_found": f"""
+WITH s AS (SELECT DISTINCT manual, source FROM meta WHERE manual IS NOT NULL AND source IS NOT NULL),
+l AS (SELECT row_id, manual, page_idx, unnest(generate_series(0, len(p) - 1)) AS line_no, unnest(p) AS line FROM (SELECT row_id, manual, page_idx, string_split(text, chr(10)) AS p FROM translations WHERE text IS NOT NULL)),
+k AS (SELECT row_id, line_no, source, manual, page_idx, {_KEY} AS key FROM l JOIN s USING (manual) WHERE regexp_matches(line, '\\p{{L}}')),
+t AS (SELECT source, count(*) AS total FROM (SELECT DISTINCT source, manual, page_idx FROM translations JOIN s USING (manual)) GROUP BY source),
+f AS (SELECT source, key FROM (SELECT DISTINCT source, key, manual, page_idx FROM k) JOIN t USING (source) GROUP BY source, key, total HAVING count(*) >= 5 AND count(*) >= 0.3 * total)
+SELECT DISTINCT row_id, line_no FROM k JOIN f USING (source, key)
+""",
+}
