@@ -85,6 +85,9 @@ def hints() -> np.ndarray:
                 continue
             if len(text) == 1:
                 out[ord(text)] = True
+    for a, b in _KANJI_BYTES[: 6 * 64]:
+        for ch in bytes((a, b)).decode("gbk", "ignore"):
+            out[ord(ch)] = True
     for ch in _ALLOWED:
         out[ord(ch)] = False
     return out
@@ -264,17 +267,22 @@ def read_again(model: Model, text: str, wrong: str, true: str, lossy: bool = Fal
 #: First two bytes of kana, full-width forms and punctuation in UTF-8, and of Latin letters.
 _KANA_BYTES = [(0xE2, 0x80), (0xE3, 0x80), (0xE3, 0x81), (0xE3, 0x82), (0xE3, 0x83)]
 _JAPANESE_BYTES = [*_KANA_BYTES, (0xEF, 0xBC), (0xEF, 0xBD)]
+#: First two bytes of kanji, and the last byte of any character with the first of kana.
+_KANJI_BYTES = [*((a, b) for a in range(0xE4, 0xEA) for b in range(0x80, 0xC0)), *((a, 0xE3) for a in range(0x81, 0xC0))]
 _LATIN_BYTES = [(a, b) for a in (0xC2, 0xC3) for b in range(0x80, 0xC0)]
 
 
 @cache
 def multi_signs(latin: bool = True) -> dict[str, set[tuple[str, str]]]:
-    """Characters of multi-byte encodings that begin with the first two bytes of common UTF-8 characters."""
+    """Characters of multi-byte encodings that begin with the first two bytes of common UTF-8 characters.
+
+    Those of kana always show wrong reading; those of Latin letters and kanji (``latin``) may stand in correct text.
+    """
     out: dict[str, set[tuple[str, str]]] = defaultdict(set)
     for wrong in MULTI:
         # the others turn these pairs into characters that correct text holds, or into none
         wide = wrong in ("cp932", "gbk")
-        for a, b in (_JAPANESE_BYTES if wide else _KANA_BYTES) + (_LATIN_BYTES if latin and wide else []):
+        for a, b in (_JAPANESE_BYTES if wide else _KANA_BYTES) + (_LATIN_BYTES + _KANJI_BYTES if latin and wide else []):
             for ch in bytes((a, b)).decode(wrong, "ignore"):
                 if ch > "\x7f" and not "ぁ" <= ch <= "ヿ":
                     out[ch].add((wrong, "utf-8"))
