@@ -33,6 +33,8 @@ DEFECTS = ("empty", "refusal", "copied", "other_language", "truncated")
 LABELS = DEFECTS[1:]
 #: Rows of the corpus the classifier may be fitted on, at most.
 SAMPLE = 8000
+#: Times the sample that the bound on the hash leaves; rows without Japanese or answer go after it.
+SPARE = 3
 #: How far below the calibrated threshold a score may lie where an exact check follows.
 LENIENT = {"refusal": 0.0, "copied": 0.0, "other_language": 0.5, "truncated": 0.0}
 #: Share of the sample, the most suspicious by each label, that is no example of sound rows when it is fitted anew.
@@ -410,9 +412,17 @@ def train(sample: list[tuple[str, str]], seed: int = 7) -> Classifier:
 
 
 def _sample(translations: DataFrame) -> list[tuple[str, str]]:
-    """At most SAMPLE rows with Japanese text and an answer, chosen by a hash of the row."""
-    rows = translations.where(F.col("text").rlike("[\\u3041-\\u30FF\\u4E00-\\u9FFF]") & F.col("translation").rlike(r"\S"))
-    rows = rows.select(F.col("text").cast("string"), F.col("translation").cast("string"), F.xxhash64("row_id", "text").alias("h"))
+    """At most SAMPLE rows with Japanese text and an answer, chosen by a hash of the row.
+
+    A bound on the hash, from the number of rows, leaves a few times the sample before the smallest hashes are taken,
+    so that no task sends more than its share.
+    """
+    count = translations.count()
+    share = min(1.0, SPARE * SAMPLE / max(count, 1))
+    own = F.xxhash64("row_id", "text")
+    rows = translations.where(own <= int(-(2**63) + share * (2**64 - 1)) if share < 1.0 else F.lit(True))
+    rows = rows.where(F.col("text").rlike("[\u3041-\u30FF\u4E00-\u9FFF]") & F.col("translation").rlike(r"\S"))
+    rows = rows.select(F.col("text").cast("string"), F.col("translation").cast("string"), own.alias("h"))
     return [(r[0], r[1]) for r in rows.orderBy("h").limit(SAMPLE).collect()]
 
 
