@@ -78,9 +78,9 @@ def tables(values: DataFrame, orders: dict[int, int], prepare=None, mark: int =
                         total[order] += np.bincount(keys[: max(len(keys) - order + 1, 0)], minlength=1 << bits)
         for order, counts in total.items():
             at = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays([pa.array(at + shifts[order]), pa.array(counts[at])], names=["k", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array((at + shifts[order]).astype(np.int32)), pa.array(counts[at])], names=["k", "n"])
 
-    rows = values.mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
+    rows = values.mapInArrow(count, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(base, dtype=np.float32)
     out[np.asarray(rows.column("k"))] = np.asarray(rows.column("n"))
     return {order: out[shifts[order] : shifts[order] + (1 << bits)] for order, bits in orders.items()}

@@ -80,6 +80,9 @@ class Model:
         self.kept: dict[str, float] = {}
         self.total = float(counts[2].sum()) + 1.0
         self.reads = sorted({a for a, _ in ALTERNATIVES}, key=lambda a: -len(a))
+        self.readings: dict[str, list[tuple[str, str]]] = {}
+        for a, b in ALTERNATIVES:
+            self.readings.setdefault(a[0], []).append((a, b))
         self.known = np.zeros(0x110000, dtype=bool)
         for a in self.reads:
             self.known[ord(a[0])] = True
@@ -113,7 +116,7 @@ class Model:
         states: list[dict[str, tuple[float, str]]] = [{} for _ in range(len(word) + 1)]
         states[0][start] = (0.0, "")
         for i in range(len(word)):
-            steps = [(word[i], 1, 0.0)] + [(b, len(a), PRICE) for a, b in ALTERNATIVES if word.startswith(a, i)]
+            steps = [(word[i], 1, 0.0)] + [(b, len(a), PRICE) for a, b in self.readings.get(word[i], ()) if word.startswith(a, i)]
             for last, (score, made) in sorted(states[i].items(), key=lambda s: -s[1][0])[:12]:
                 for put, used, price in steps:
                     now, value = last, score - price
