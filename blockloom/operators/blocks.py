@@ -41,10 +41,10 @@ def keep_readable(rows: DataFrame) -> DataFrame:
 
 
 def page_offsets(rows: DataFrame) -> DataFrame:
-    """(manual, page_idx, before): blocks of the manual on earlier pages."""
-    pages = rows.groupBy("manual", "page_idx").agg(F.count("*").alias("here"))
+    """(manual, page_idx, _before): blocks of the manual on earlier pages."""
+    pages = rows.groupBy("manual", "page_idx").agg(F.count("*").alias("_here"))
     earlier = Window.partitionBy("manual").orderBy("page_idx").rowsBetween(Window.unboundedPreceding, -1)
-    return pages.select("manual", "page_idx", F.coalesce(F.sum("here").over(earlier), F.lit(0)).cast("long").alias("before"))
+    return pages.select("manual", "page_idx", F.coalesce(F.sum("_here").over(earlier), F.lit(0)).cast("long").alias("_before"))
 
 
 def numbered(rows: DataFrame, name: str = "n") -> DataFrame:
@@ -55,7 +55,7 @@ def numbered(rows: DataFrame, name: str = "n") -> DataFrame:
     """
     own = F.row_number().over(Window.partitionBy("manual", "page_idx").orderBy("block_idx")) - 1
     placed = rows.withColumn(name, own.cast("long")).join(page_offsets(rows), ["manual", "page_idx"])
-    return placed.withColumn(name, F.col(name) + F.col("before")).select(*rows.columns, name)
+    return placed.withColumn(name, F.col(name) + F.col("_before")).select(*rows.columns, name)
 
 
 def sample_blocks(rows: DataFrame, most: int = 100) -> DataFrame:

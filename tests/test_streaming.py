@@ -30,3 +30,10 @@ def test_latest_stream(spark, tmp_path):
     _, stream = source(spark, tmp_path, [0, 0, 4, 5])
     got = run(streams.latest_stream(stream, "k", "ts", "i"), "latest", "complete")
     assert {(r.k, r.i) for r in got.collect()} == {("b", 2), ("a", 3)}
+
+
+def test_debounce_stream(spark, tmp_path):
+    df, stream = source(spark, tmp_path, [0, 0, 4, 5, 60, 61, 100_000, 100_000])
+    got = run(streams.debounce_stream(stream, "k", "ts", "i", "10 seconds", "1 second"), "debounced", "append")
+    expected = {(r.k, r.i, r.n) for r in events.debounce(df.where("i < 6"), "k", "ts", "i", "10 seconds").collect()}
+    assert {(r.k, r.i, r.n) for r in got.collect()} == expected
