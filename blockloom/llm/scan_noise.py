@@ -58,18 +58,23 @@ HINT = re.compile(
 WORD_END, WORD_BEGIN = re.compile(r"[^\s]*$"), re.compile(r"^[^\s]*")
 
 
+def unbroken(points: np.ndarray) -> np.ndarray:
+    """Line breaks that go: those after a Japanese character, also if one other character (a misread one, maybe) stands between and the next line is Japanese."""
+    japanese = points >= 0x2E80
+    gone = points == 0x0A
+    within = np.zeros(len(points), dtype=bool)
+    within[1:] = japanese[:-1]
+    within[2:-1] |= japanese[:-3] & (points[1:-2] > 0x20) & japanese[3:]
+    return gone & within
+
+
 def flow(points: np.ndarray) -> np.ndarray:
     """Text as it runs on: line breaks go within Japanese and are spaces elsewhere; ASCII letters in lower case."""
     out = points.copy()
     upper = (out >= 0x41) & (out <= 0x5A)
     out[upper] += 0x20
-    breaks = out == 0x0A
-    japanese = out >= 0x2E80
-    gone = breaks.copy()
-    gone[1:] &= japanese[:-1]
-    gone[0:1] = False
-    out[breaks] = 0x20
-    return out[~gone]
+    out[points == 0x0A] = 0x20
+    return out[~unbroken(points)]
 
 
 class Model:
@@ -111,13 +116,19 @@ class Model:
         return sum(self.log(text[i - 4 : i + 1]) for i in range(4, len(text)))
 
     def repair(self, left: str, word: str, right: str) -> str:
-        """Viterbi search over the candidates of a word; the word itself if nothing is likelier."""
+        """The likeliest reading of a word; the word itself if nothing is likelier."""
+        for i, used, put in reversed(self.changes(left, word, right)):
+            word = word[:i] + put + word[i + used :]
+        return word
+
+    def changes(self, left: str, word: str, right: str) -> tuple[tuple[int, int, str], ...]:
+        """Viterbi search over the candidates of a word: place, characters read and what stands there, of each misreading."""
         start = left[-4:].rjust(4, "\x01")
-        states: list[dict[str, tuple[float, str]]] = [{} for _ in range(len(word) + 1)]
-        states[0][start] = (0.0, "")
+        states: list[dict[str, tuple[float, str, tuple]]] = [{} for _ in range(len(word) + 1)]
+        states[0][start] = (0.0, "", ())
         for i in range(len(word)):
             steps = [(word[i], 1, 0.0)] + [(b, len(a), PRICE) for a, b in self.readings.get(word[i], ()) if word.startswith(a, i)]
-            for last, (score, made) in sorted(states[i].items(), key=lambda s: -s[1][0])[:12]:
+            for last, (score, made, done) in sorted(states[i].items(), key=lambda s: -s[1][0])[:12]:
                 for put, used, price in steps:
                     now, value = last, score - price
                     for ch in put:
@@ -125,9 +136,9 @@ class Model:
                         now = (now + ch)[1:]
                     target = states[i + used]
                     if now not in target or target[now][0] < value:
-                        target[now] = (value, made + put)
+                        target[now] = (value, made + put, (*done, (i, used, put)) if price else done)
         best, same = None, None
-        for last, (score, made) in states[-1].items():
+        for last, (score, made, done) in states[-1].items():
             now, value = last, score
             for ch in right[:4]:
                 value += self.log(now + ch)
@@ -135,10 +146,10 @@ class Model:
             if made == word:
                 same = value
             if best is None or value > best[0]:
-                best = value, made
+                best = value, made, done
         if same is None:
             same = self.score(left, word, right)
-        return best[1] if best and best[1] != word and best[0] > same + GAIN else word
+        return best[2] if best and best[1] != word and best[0] > same + GAIN else ()
 
     def candidates(self, points: np.ndarray) -> np.ndarray:
         """Bitmap of confusable characters in surroundings that are rarer than those of an alternative."""
@@ -220,7 +231,8 @@ def running(lines: list[str]) -> tuple[str, list[tuple[int, int]]]:
     out: list[str] = []
     where: list[tuple[int, int]] = []
     for k, line in enumerate(lines):
-        if k and out and out[-1] < "⺀":
+        inside = len(out) > 1 and out[-2] >= "⺀" and out[-1] > " " and line[:1] >= "⺀"
+        if k and out and out[-1] < "⺀" and not inside:
             out.append(" ")
             where.append((k, -1))
         for c, ch in enumerate(line):
@@ -274,16 +286,15 @@ class Draft:
                 self.first.append([k])
 
     def repair(self, model: Model, text: str, where: list[tuple[int, int]], at: list[int]) -> None:
-        """Decode the words around candidate characters."""
+        """Decode the words around candidate characters; what is misread is replaced in the line where it stands."""
         for lo, hi in reversed(_words(text, at)):
-            new = model.repair(text[max(0, lo - 4) : lo], text[lo:hi], text[hi : hi + 4] + "\x01" * max(0, 4 - len(text) + hi))
-            if new != text[lo:hi]:
-                k, c = where[lo if where[lo][1] >= 0 else lo + 1]
-                end = where[hi - 1]
+            changes = model.changes(text[max(0, lo - 4) : lo], text[lo:hi], text[hi : hi + 4] + "\x01" * max(0, 4 - len(text) + hi))
+            old = "".join(self.glued[k][c] if c >= 0 else " " for k, c in where[lo:hi])
+            for i, used, put in reversed(changes):
+                k, c = where[lo + i]
+                self.glued[k] = self.glued[k][:c] + _cased(old, old[i], put) + self.glued[k][c + used :]
+            for k in sorted({where[lo + i][0] for i, _, _ in changes}):
                 self.found.append(("misread", self.first[k][0]))
-                if end[0] == k and where[lo][1] >= 0:
-                    old = self.glued[k][c : end[1] + 1]
-                    self.glued[k] = self.glued[k][:c] + _cased(old, new) + self.glued[k][end[1] + 1 :]
 
     def paragraph(self) -> str:
         out = ""
@@ -313,11 +324,11 @@ def drafts(model: Model, values: list[tuple[str, str, bool]]) -> list[Draft]:
     return done
 
 
-def _cased(old: str, new: str) -> str:
-    """New text with the capitals of the old where they agree."""
-    if old.isupper() and any(c.isalpha() for c in old):
-        return new.upper()
-    return old[0] + new[1:] if old[:1].lower() == new[:1] else (new[:1].upper() + new[1:] if old[:1].isupper() else new)
+def _cased(word: str, read: str, put: str) -> str:
+    """What stands in place of characters read, with the capitals of the word or of the first of them."""
+    if word.isupper() and any(c.isalpha() for c in word):
+        return put.upper()
+    return put[:1].upper() + put[1:] if read.isupper() else put
 
 
 def char_model(translations: DataFrame) -> dict[int, np.ndarray]:
@@ -351,11 +362,8 @@ def _suspects(model: Model, column: pa.Array) -> Iterator[tuple[int, str, bool]]
     """Row, value and whether it holds candidate characters, of the values that may be noisy."""
     points, offsets = separated(column, END)
     rows = np.repeat(np.arange(len(column) + 1), np.diff(np.append(offsets, len(points))))
-    breaks = points == 0x0A
-    gone = breaks.copy()
-    gone[1:] &= points[:-1] >= 0x2E80
-    marked = np.unique(rows[~gone][model.candidates(flow(points))])
-    at = np.union1d(marked, np.unique(rows[breaks]))
+    marked = np.unique(rows[~unbroken(points)][model.candidates(flow(points))])
+    at = np.union1d(marked, np.unique(rows[points == 0x0A]))
     at = at[at < len(column)]
     known = set(marked.tolist())
     for i, value in zip(at.tolist(), column.take(pa.array(at, pa.int64())).to_pylist()):

@@ -54,6 +54,16 @@ def test_repaired(spark, rows):
     assert fixed[9006, "text"] == "使用後はレバーの電源を必ず切ってください。"
 
 
+def test_repaired_beside_line_breaks(spark, rows):
+    meta = spark.createDataFrame([(1, "m1", "s")], "meta_id long, manual string, source string")
+    wrapped = ["使用後はレバ\n|の電源を必ず切ってください。", "使用後はレバ|\nの電源を必ず切ってください。", "使用後はレ\nバ|の電源を必ず切ってくだ\nざい。", "使用後はレバ|の\n電源を必ず切ってくだざ\nい。"]
+    df = spark.createDataFrame(rows + [(9200 + i, "m1", 1, a, None) for i, a in enumerate(wrapped)], SCHEMA)
+    fixed = {r.row_id: r.repaired for r in scan_noise.repaired_values(df, meta).collect()}
+    assert fixed == {9200 + i: "使用後はレバーの電源を必ず切ってください。" for i in range(len(wrapped))}
+    lines = {(r.row_id, r.line_no) for r in scan_noise.scan(df).where("noise = 'misread'").collect()}
+    assert lines == {(9200, 1), (9201, 0), (9202, 1), (9202, 2), (9203, 0), (9203, 1)}
+
+
 def test_repeated_lines_are_none(spark, rows):
     meta = spark.createDataFrame([(1, "m1", "s")], "meta_id long, manual string, source string")
     own = [(9000 + i, "m1", 100 + i, f"使用後はレバーの電源を必ず切ってください。\n{i}ページ", None) for i in range(40)]
