@@ -362,7 +362,9 @@ def _suspects(model: Model, column: pa.Array) -> Iterator[tuple[int, str, bool]]
     """Row, value and whether it holds candidate characters, of the values that may be noisy."""
     points, offsets = separated(column, END)
     rows = np.repeat(np.arange(len(column) + 1), np.diff(np.append(offsets, len(points))))
-    marked = np.unique(rows[~unbroken(points)][model.candidates(flow(points))])
+    gap = np.full(10, END, dtype=np.uint32)  # no value stands at the edge of the array
+    hits = model.candidates(np.concatenate([gap, flow(points), gap]))[10:-10]
+    marked = np.unique(rows[~unbroken(points)][hits])
     at = np.union1d(marked, np.unique(rows[points == 0x0A]))
     at = at[at < len(column)]
     known = set(marked.tolist())

@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 
 from blockloom.llm import scan_noise
@@ -64,6 +65,15 @@ def test_repaired_beside_line_breaks(spark, rows):
     assert lines == {(9200, 1), (9201, 0), (9202, 1), (9202, 2), (9203, 0), (9203, 1)}
 
 
+def test_misread_at_the_edge_of_a_batch(spark, rows):
+    model = scan_noise.Model(scan_noise.char_model(spark.createDataFrame(rows, SCHEMA)))
+    for value in ("ポタンを押すと警告音が鳴ります。", "使用後はボタンの電源を必ず切ってくだざい。", "使用後はボタンの電源を必ず切ってくださいo"):
+        alone = list(scan_noise._suspects(model, pa.array([value])))
+        assert alone == [(0, value, True)]
+        assert list(scan_noise._suspects(model, pa.array([None, value, ""]))) == [(1, value, True)]
+    assert list(scan_noise._suspects(model, pa.array(["ボタンを押すと警告音が鳴ります。"]))) == []
+
+
 def test_repeated_lines_are_none(spark, rows):
     meta = spark.createDataFrame([(1, "m1", "s")], "meta_id long, manual string, source string")
     own = [(9000 + i, "m1", 100 + i, f"使用後はレバーの電源を必ず切ってください。\n{i}ページ", None) for i in range(40)]
