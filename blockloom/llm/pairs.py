@@ -7,7 +7,8 @@ refused, swapped, copied and truncated answers to it; a threshold for each label
 first defect in the order of DEFECTS counts.
 
 Defined results: null and invisible answers are 'empty'; rows whose source holds no Japanese or is null have no defect;
-repeated rows get a row each; texts of any length are read whole; an empty table, or one without a usable sample, gives
+rows with more than 5 % garbled or rare characters in their source (class 'odd', half-width kana and ellipses among them)
+can only be 'empty' or 'copied', and an answer with such signs no 'refusal'; repeated rows get a row each; texts of any length are read whole; an empty table, or one without a usable sample, gives
 only empty answers.
 """
 
@@ -482,13 +483,15 @@ def defective_pairs(translations: DataFrame) -> DataFrame:
             for part in pieces(batch, 1, 2):
                 source, answer = fold(part.column(1)), fold(part.column(2))
                 asked = (source.share("kana") + source.share("han")) > 0
-                asked &= source.share("odd") * 20 <= source.size  # garbled text is no question
+                garbled = source.share("odd") * 20 > source.size
                 empty = answer.size == 0
                 found = np.full(len(asked), -1, dtype=np.int64)
                 over = model.scores(Features(source, answer, model)) > model.thresholds
                 over[:, LABELS.index("other_language")] &= _foreign(model, answer)
                 over[answer.share("sign") > 0, LABELS.index("refusal")] = False  # garbled words look like rare ones
                 over[:, LABELS.index("truncated")] &= _stops_early(model, source, answer)
+                for label in ("refusal", "other_language", "truncated"):  # garbled text is no question that an answer can be held against
+                    over[garbled, LABELS.index(label)] = False
                 for k in range(len(LABELS) - 1, -1, -1):
                     found[over[:, k]] = k + 1
                 _look_again(model, part, found, source, answer)

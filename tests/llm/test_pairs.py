@@ -52,3 +52,10 @@ def test_edges(spark):
     got = sorted((r.row_id, r.defect) for r in pairs.defective_pairs(spark.createDataFrame(rows, SCHEMA)).collect())
     assert got == [(4, "empty"), (5, "empty"), (5, "empty")]
     assert pairs.defective_pairs(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_odd_text(spark, corpus):
+    src = "……『ボタン』……"
+    own = [(9000, "ﾎﾞﾀﾝ", None), (9001, src, ""), (9002, "ﾎﾞﾀﾝを押すと音が鳴ります。", "ﾎﾞﾀﾝを押すと音が鳴ります。"), (9003, src, "button")]
+    got = {r.row_id: r.defect for r in pairs.defective_pairs(spark.createDataFrame(corpus[0] + own, SCHEMA)).where("row_id >= 9000").collect()}
+    assert got == {9000: "empty", 9001: "empty", 9002: "copied"}
