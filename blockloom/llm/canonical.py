@@ -31,7 +31,6 @@ THRESHOLD = 0.28
 MARGIN = 0.02
 #: Edits allowed for each started number of characters, and at most.
 CHARS_PER_EDIT, MAX_EDITS = 6, 3
-CANDIDATES = 12
 #: Largest list that is sent to all tasks, and most decoys made of it.
 MAX_LIST, MAX_DECOYS = 20_000, 100_000
 
@@ -178,7 +177,7 @@ class Index:
                 score[at] += weight * (w / norm)
         if not len(score):
             return MAX_EDITS + 1, 0.0, UNMATCHED
-        top = np.argsort(-score, kind="stable")[:CANDIDATES].tolist()
+        top = np.argsort(-score, kind="stable").tolist()
         # few edits decide between candidates of like score: the order of words and typed-over spaces don't count
         typed = "".join(parts)
         most = min(MAX_EDITS, 1 + (len(typed) - 1) // CHARS_PER_EDIT) if len(typed) > 2 else 0

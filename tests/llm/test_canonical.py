@@ -31,3 +31,9 @@ def test_tags_and_edges(spark):
     assert got == {(1, "tags", 1): "sword", (1, "tags", 2): "sword", (1, "tags", 5): "wave-one", (1, "tags", 6): "unmatched", (1, "tags", 7): "masked-voyager", (1, "tags", 8): "unmatched", (1, "tags", 9): "sword", (1, "tags", 0): "sword"}
     assert found(spark, []) == {}
     assert found(spark, [(1, "x" * 50_000, None)]) == {(1, "name", -1): "unmatched"}
+
+
+def test_entries_far_down_by_cosine():
+    products = [{"ref_id": f"P{n}", "name": f"DL Gunborg Flute ver.{n}", "name_ja": "", "product_line": "DL"} for n in range(1, 60)]
+    index = canonical.Index(canonical.product_entries(products), "name")
+    assert index.match("DL Gunborg Flute ver.4 7")[0] == "P47"
