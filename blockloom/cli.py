@@ -20,7 +20,7 @@ from blockloom.operators import catalog, cleanup
 from blockloom.session import get_spark
 from blockloom.sources import manuals, providers
 
-OCR = "doc string, page_num int, text string, x double, y double, width double, height double, confidence double, success boolean, error string"
+OCR = "doc string, page_num int, success boolean, error string, blocks array<struct<text:string,x:double,y:double,width:double,height:double,confidence:double>>"
 TRANSLATED = "doc string, page_num int, block_idx int, text string, x double, y double, width double, height double, translation string"
 
 
@@ -34,28 +34,21 @@ def load(provider: str):
 
 
 def catalog_rows(spark: SparkSession, root: str) -> DataFrame:
-    """Catalog of a folder of manuals, unreadable ones left out."""
-    read = catalog.valid_manuals(manuals.read_manuals(spark, root).where("NOT broken"))
-    return read.select(
-        "manual",
-        F.coalesce("meta.manual_name", F.lit("")).alias("name"),
-        F.coalesce("meta.source", F.lit("")).alias("source"),
-        F.size("pages").cast("long").alias("pages"),
-        F.aggregate("pages", F.lit(0).cast("long"), lambda acc, p: acc + F.coalesce(F.size(p["blocks"]), F.lit(0))).alias("blocks"),
-        F.coalesce("meta.thumbnail", F.get("pages", F.lit(0))["image"], F.lit("")).alias("thumbnail"),
-        (F.coalesce("meta.source_url", F.lit("")) != "").alias("has_url"),
-        F.col("meta.tags").alias("tags"),
-    ).orderBy("manual")
+    """Catalog of a folder of manuals, unreadable ones left out, in the order of their names."""
+    return manuals.catalog_entries(manuals.read_manuals(spark, root)).orderBy("name")
 
 
 def translate(spark: SparkSession, doc: str, n_pages: int, ocr, mt, source_lang: str = "ja", target_lang: str = "en", skip_cleanup: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Blocks and failed pages of a document: recognise, drop noise, translate, clean."""
+    """Blocks and failed pages of a document: recognise, drop noise, translate, clean.
+
+    Recognition answers a page with its blocks; their order is kept.
+    """
     name = Path(doc).stem
     pages = providers.page_requests(spark.createDataFrame([(name, n_pages)], "doc string, n_pages int"))
     good, bad = providers.split_results(providers.call(pages, ocr, OCR, retry=providers.API))
-    kept = B.keep_readable(good).withColumnRenamed("page_num", "page_idx").withColumn("manual", F.col("doc"))
-    kept = kept.withColumn("block_idx", F.row_number().over(B.Window.partitionBy("doc", "page_idx").orderBy("y", "x", "text")) - 1)
-    requests = kept.select("doc", F.col("page_idx").alias("page_num"), "block_idx", "text", "x", "y", "width", "height", F.lit(source_lang).alias("source_lang"), F.lit(target_lang).alias("target_lang"))
+    found = good.select("doc", "page_num", F.posexplode("blocks").alias("pos", "b")).select("doc", "page_num", "pos", "b.*")
+    kept = B.keep_readable(found).withColumn("block_idx", F.row_number().over(B.Window.partitionBy("doc", "page_num").orderBy("pos")) - 1)
+    requests = kept.select("doc", "page_num", "block_idx", "text", "x", "y", "width", "height", F.lit(source_lang).alias("source_lang"), F.lit(target_lang).alias("target_lang"))
     done = providers.call(requests, mt, TRANSLATED, retry=providers.API)
     out = done.select(F.col("doc").alias("manual"), F.col("page_num").alias("page_idx"), "block_idx", "text", "translation", round4(F.array("x", "y", "width", "height")).alias("bbox"))
     return (out if skip_cleanup else cleanup.rekey(cleanup.drop_by_rule(out))), bad.select("doc", "page_num", "error")
@@ -99,17 +92,18 @@ def main(argv: list[str] | None = None) -> int:
         empty = spark.createDataFrame([(name,)], "manual string")
         values = {"manual_name": name, "source": Path(args.document).name, "source_lang": args.source_lang, "target_lang": args.target_lang, "source_url": args.product_url, "blog_url": "", "thumbnail": "pages/page-0.webp"}
         fields = [F.lit(v).alias(k) for k, v in values.items()] + [F.lit(0).cast("long").alias("pages"), F.lit(0).cast("long").alias("blocks"), F.array().cast("array<string>").alias("tags")]
-        manuals.write_manuals(manuals.nest(blocks, pages, empty.withColumn("meta", F.struct(*fields))), args.out)
+        manuals.write_manuals(blocks, pages, empty.withColumn("meta", F.struct(*fields)), args.out)
         failed.show(truncate=False)
     elif args.command == "add-url":
         read = manuals.read_manuals(spark, args.root).where(F.col("manual") == args.manual_name)
-        new = read.select("manual", F.lit(0).cast("long").alias("part"), F.col("meta").withField("source_url", F.lit(args.source_url)).alias("meta"), "pages")
-        manuals.write_manuals(new, args.out)
+        new = read.withColumn("meta", F.col("meta").withField("source_url", F.lit(args.source_url)))
+        manuals.write_manuals(*manuals.unnest(new), args.out)
     elif args.command == "reindex":
-        manuals.write_catalog(catalog_rows(spark, args.root).withColumn("tags", F.array_join("tags", ",")), rules.TAGS, args.out)
+        manuals.write_catalog(catalog_rows(spark, args.root), rules.TAGS, args.out)
     else:
         rows = catalog_rows(spark, args.root)
-        rows.show(1000, truncate=False)
+        for r in rows.toLocalIterator():  # a partition at a time: the list may be long
+            print(f"{r.name}\t{r.pages}\t{r.blocks}\t{'yes' if r.source_url else 'no'}")
         print(rows.agg(catalog.count_label(F.count("*")).alias("n")).first()[0])
     return 0
 

@@ -6,7 +6,9 @@ Latin-1 and read as UTF-8, if that is possible for the whole value.
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,7 +25,13 @@ except ImportError:
         return text
 
 
-@F.pandas_udf(T.StringType())
-def fix_text(values: pd.Series) -> pd.Series:
-    """The repaired values; ASCII ones and nulls as they are."""
-    return values.map(lambda v: v if v is None or v.isascii() else _fix(v))
+@F.arrow_udf(T.StringType())
+def fix_text(values: pa.Array) -> pa.Array:
+    """The repaired values; ASCII ones and nulls, found a batch at once, as they are."""
+    at = np.flatnonzero(~np.asarray(pc.fill_null(pc.string_is_ascii(values), True)))
+    if not len(at):
+        return values
+    own = values.take(pa.array(at))
+    mask = np.zeros(len(values), dtype=bool)
+    mask[at] = True
+    return pc.replace_with_mask(values, pa.array(mask), pa.array([_fix(v) for v in own.to_pylist()], values.type))

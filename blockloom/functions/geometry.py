@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,8 +49,8 @@ def font_size(height: Column) -> Column:
 
 
 def shown(b: Column) -> Column:
-    """Two decimals of each number."""
-    return F.transform(b, lambda v: F.format_string("%.2f", v))
+    """Two decimals of each number, ties away from zero."""
+    return F.transform(b, lambda v: F.format_string("%.2f", F.round(v * 100) / 100))
 
 
 def render_zoom(width: Column, height: Column, dpi: int = 200, most: int = 9500, target: int = 7000) -> Column:
@@ -58,6 +60,12 @@ def render_zoom(width: Column, height: Column, dpi: int = 200, most: int = 9500,
     return F.when(larger * zoom > most, F.lit(float(target)) / larger).otherwise(zoom)
 
 
+def image_form(size: Column, most: int = 10_000_000) -> Column:
+    """(mime, quality) in which a picture of so many bytes as PNG is sent: above the most bytes as JPEG."""
+    large = size > most
+    return F.struct(F.when(large, F.lit("image/jpeg")).otherwise(F.lit("image/png")).alias("mime"), F.when(large, F.lit(95)).alias("quality"))
+
+
 def from_polygon(v: Column) -> Column:
     """Box from the first and third corner; null with fewer than four."""
     a, c = F.get(v, F.lit(0)), F.get(v, F.lit(2))
@@ -66,12 +74,29 @@ def from_polygon(v: Column) -> Column:
 
 
 def anchored(text: Column, segments: Column) -> Column:
-    """Pieces of a text at segments (start, end); a missing start is 0."""
+    """Pieces of a text at segments (start, end); a missing start is 0; null without a text."""
     piece = lambda s: F.substring(text, F.coalesce(s["start"], F.lit(0)).cast("int") + 1, (s["end"] - F.coalesce(s["start"], F.lit(0))).cast("int"))
-    return F.array_join(F.transform(F.filter(segments, lambda s: s["end"] > F.coalesce(s["start"], F.lit(0))), piece), "")
-
-
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def round4(boxes: pd.Series) -> pd.Series:
-    """Four decimals, rounded as decimal text of binary numbers is (half to even on the exact value)."""
-    return boxes.map(lambda b: None if b is None else [None if v is None or v != v else round(float(v), 4) for v in b])
+    joined = F.array_join(F.transform(F.filter(segments, lambda s: s["end"] > F.coalesce(s["start"], F.lit(0))), piece), "")
+    return F.when(text.isNotNull(), joined)
+
+
+def _round4(values: np.ndarray) -> np.ndarray:
+    """Rounded to four decimals as decimal text of binary numbers is; only values next to a tie are rounded one by one."""
+    with np.errstate(invalid="ignore", over="ignore"):
+        scaled = values * 1e4
+        out = np.rint(scaled) / 1e4
+        tie = np.abs(np.abs(scaled - np.trunc(scaled)) - 0.5) < 1e-4
+        exact = np.flatnonzero(tie | (np.abs(scaled) > 1e11))
+    out[exact] = [round(v, 4) for v in values[exact].tolist()]
+    return out
+
+
+@F.arrow_udf(T.ArrayType(T.DoubleType()))
+def round4(boxes: pa.Array) -> pa.Array:
+    """Four decimals, half to even on the exact value; all numbers of a batch at once.  A NaN becomes null."""
+    flat = boxes.flatten()
+    values = flat.to_numpy(zero_copy_only=False).astype(np.float64)
+    rounded = pa.array(_round4(values), from_pandas=True)
+    size = np.where(np.asarray(boxes.is_valid()), np.asarray(pc.fill_null(pc.list_value_length(boxes), 0)), 0)
+    offsets = np.append(0, np.cumsum(size)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), rounded, mask=boxes.is_null())

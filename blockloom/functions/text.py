@@ -103,10 +103,10 @@ def list_mark(c: Column) -> Column:
 
 
 def split_list(c: Column) -> Column:
-    """Items of a text with two marks or more, text before the first mark dropped; else the text itself."""
+    """Items of a text with two marks or more, text before the first mark dropped; else the text itself; null of null."""
     parts = F.split(c, rf"{HOUSE}(?:^|(?<={SPACE}))(?={LIST_MARK})")
     items = F.filter(F.transform(parts, strip), lambda x: x.rlike(rf"{HOUSE}^{LIST_MARK}"))
-    return F.when(F.size(items) >= 2, items).otherwise(F.array(c))
+    return F.when(F.size(items) >= 2, items).when(c.isNotNull(), F.array(c))
 
 
 def embedded_json(c: Column) -> Column:
@@ -126,3 +126,8 @@ def block_key(c: Column) -> Column:
 def first_non_empty(*cs: Column) -> Column:
     """The first that is neither null nor empty."""
     return F.coalesce(*(F.nullif(c, F.lit("")) for c in cs))
+
+
+def is_address(c: Column) -> Column:
+    """Whether a path is an address of the web."""
+    return c.startswith("http://") | c.startswith("https://")

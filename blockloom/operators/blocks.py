@@ -11,16 +11,41 @@ from blockloom.functions.text import strip
 PLACE = ["manual", "page_idx", "block_idx"]
 
 
-def latest(rows: DataFrame, keys: list[str], *order: str) -> DataFrame:
-    """One row a key, the last by the order columns; partial aggregation, no sort."""
+#: Types whose values an aggregation keeps in place: with these alone it hashes and never sorts.
+FIXED_WIDTH = {"bigint", "int", "smallint", "tinyint", "double", "float", "boolean", "date", "timestamp", "timestamp_ntz"}
+#: Positions numbered together; longer pages and manuals are put together from such units.
+UNIT = 1024
+
+
+def moment(stamp: str, tie: str) -> Column:
+    """Time and tie breaker as one fixed-width number, nulls first."""
+    us = F.coalesce(F.unix_micros(F.col(stamp).cast("timestamp")), F.lit(-(1 << 62)))
+    return us.cast("decimal(38,0)") * F.lit(str(1 << 64)).cast("decimal(20,0)") + F.coalesce(F.col(tie), F.lit(-(1 << 63)))
+
+
+def latest(rows: DataFrame, keys: list[str], stamp: str, tie: str) -> DataFrame:
+    """One row a key, the last by stamp, then by tie, which must be unique.
+
+    Fixed-width columns come out of one hash aggregation with partial sums, without a sort.  Others never go through
+    it: the aggregation picks the last tie of each key, and the rows are met with those by a semi-join, so that only
+    columns that are asked for are shuffled.
+    """
     rest = [c for c in rows.columns if c not in keys]
-    last = F.max_by(F.struct(*rest), F.struct(*order)).alias("last")
-    return rows.groupBy(*keys).agg(last).select(*keys, "last.*").select(*rows.columns)
+    kinds = dict(rows.dtypes)
+    at = moment(stamp, tie)
+    if all(kinds[c] in FIXED_WIDTH for c in rest):
+        return rows.groupBy(*keys).agg(*(F.max_by(c, at).alias(c) for c in rest)).select(*rows.columns)
+    last = rows.groupBy(*keys).agg(F.max_by(tie, at).alias(tie)).select(tie)
+    return rows.join(last, tie, "left_semi").select(*rows.columns)
 
 
-def latest_blocks(translations: DataFrame) -> DataFrame:
-    """Translations without blocks that were delivered again later."""
-    return latest(translations, PLACE, "loaded_at", "row_id")
+def latest_blocks(translations: DataFrame, *columns: str) -> DataFrame:
+    """Translations without blocks that were delivered again later: their place and the columns asked for, or all."""
+    if not columns:
+        return latest(translations, PLACE, "loaded_at", "row_id")
+    wanted = list(dict.fromkeys([*PLACE, *columns]))
+    needed = list(dict.fromkeys([*wanted, "loaded_at", "row_id"]))
+    return latest(translations.select(*needed), PLACE, "loaded_at", "row_id").select(*wanted)
 
 
 def explode_pages(manuals: DataFrame) -> DataFrame:
@@ -40,27 +65,48 @@ def keep_readable(rows: DataFrame) -> DataFrame:
     return rows.where(~is_noise(F.col("text"))).withColumn("text", strip(F.col("text")))
 
 
-def page_offsets(rows: DataFrame) -> DataFrame:
-    """(manual, page_idx, _before): blocks of the manual on earlier pages."""
-    pages = rows.groupBy("manual", "page_idx").agg(F.count("*").alias("_here"))
-    earlier = Window.partitionBy("manual").orderBy("page_idx").rowsBetween(Window.unboundedPreceding, -1)
-    return pages.select("manual", "page_idx", F.coalesce(F.sum("_here").over(earlier), F.lit(0)).cast("long").alias("_before"))
+def unit_offsets(rows: DataFrame) -> DataFrame:
+    """(manual, page_idx, _u, _before): blocks of the manual before each unit of a page.
+
+    Sums are taken over stretches of UNIT pages first, and those of earlier stretches carried, so that the pages of a
+    manual with a large share of all rows are never summed up in one task.
+    """
+    units = rows.groupBy("manual", "page_idx", "_u").agg(F.count("*").alias("_here")).withColumn("_s", F.floor(F.col("page_idx") / UNIT))
+    earlier = lambda w: F.coalesce(F.sum("_here").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
+    stretches = units.groupBy("manual", "_s").agg(F.sum("_here").alias("_here")).select("manual", "_s", earlier(Window.partitionBy("manual").orderBy("_s")).alias("_carry"))
+    within = units.select("manual", "_s", "page_idx", "_u", earlier(Window.partitionBy("manual", "_s").orderBy("page_idx", "_u")).alias("_in"))
+    return within.join(stretches, ["manual", "_s"]).select("manual", "page_idx", "_u", (F.col("_in") + F.col("_carry")).alias("_before"))
 
 
-def numbered(rows: DataFrame, name: str = "n") -> DataFrame:
-    """With a running number from 0 in each manual, in the order of pages and blocks.
+def numbered(rows: DataFrame, name: str = "n", most: int | None = None) -> DataFrame:
+    """With a running number from 0 in each manual, in the order of pages and blocks; only numbers below most.
 
-    Blocks are numbered within their page and pages are offset by the sizes of those before, so that a manual with a
-    large share of all rows is never sorted in one task.
+    Blocks are numbered within units of their page and units are offset by the sizes of those before, so that a
+    manual with a large share of all rows is never sorted in one task.  Units beyond most are dropped before any sort.
+    Rows without a manual or place are left out.
     """
-    own = F.row_number().over(Window.partitionBy("manual", "page_idx").orderBy("block_idx")) - 1
-    placed = rows.withColumn(name, own.cast("long")).join(page_offsets(rows), ["manual", "page_idx"])
-    return placed.withColumn(name, F.col(name) + F.col("_before")).select(*rows.columns, name)
+    own = rows.withColumn("_u", F.floor(F.col("block_idx") / UNIT))
+    offsets = unit_offsets(own)
+    met = own.join(offsets if most is None else offsets.where(F.col("_before") < most), ["manual", "page_idx", "_u"])
+    here = F.row_number().over(Window.partitionBy("manual", "page_idx", "_u").orderBy("block_idx")) - 1
+    out = met.withColumn(name, (here + F.col("_before")).cast("long")).select(*rows.columns, name)
+    return out if most is None else out.where(F.col(name) < most)
+
+
+def rekeyed(rows: DataFrame) -> DataFrame:
+    """Blocks numbered from 0 within their page, in their order; a page of any size is numbered in units."""
+    own = rows.withColumn("_u", F.floor(F.col("block_idx") / UNIT))
+    units = own.groupBy("manual", "page_idx", "_u").agg(F.count("*").alias("_here"))
+    before = Window.partitionBy("manual", "page_idx").orderBy("_u").rowsBetween(Window.unboundedPreceding, -1)
+    units = units.select("manual", "page_idx", "_u", F.coalesce(F.sum("_here").over(before), F.lit(0)).alias("_before"))
+    here = F.row_number().over(Window.partitionBy("manual", "page_idx", "_u").orderBy("block_idx")) - 1
+    met = own.join(units, ["manual", "page_idx", "_u"])
+    return met.withColumn("block_idx", (here + F.col("_before")).cast("int")).select(*rows.columns)
 
 
 def sample_blocks(rows: DataFrame, most: int = 100) -> DataFrame:
     """The first blocks of each manual in the order of pages."""
-    return numbered(rows).where(F.col("n") < most)
+    return numbered(rows, most=most)
 
 
 def batches(rows: DataFrame, size: int = 100) -> DataFrame:
@@ -93,3 +139,14 @@ def page_at(probes: DataFrame, pages: DataFrame, point: str, low: str, high: str
     spread = pages.withColumn("bucket", F.explode(F.sequence(F.floor(low), F.floor(high))))
     met = probes.withColumn("bucket", F.floor(point)).join(spread, ["manual", "bucket"])
     return met.where((F.col(point) >= F.col(low)) & (F.col(point) <= F.col(high))).groupBy(*probes.columns).agg(F.min("page_no").alias("page_no"))
+
+
+def blocks_at(blocks: DataFrame, keys: DataFrame) -> DataFrame:
+    """Blocks at (manual, page_idx, block_idx), each once however often its key is asked for."""
+    return blocks.join(keys.select(*PLACE).distinct(), PLACE, "left_semi")
+
+
+def union_pages(pages: DataFrame) -> DataFrame:
+    """(manual, n, page_idx, pos, block) of all blocks of pages (manual, page_idx, blocks): one list a manual, in the order of pages."""
+    each = pages.select("manual", "page_idx", F.posexplode("blocks").alias("block_idx", "block"))
+    return numbered(each).select("manual", "n", "page_idx", F.col("block_idx").alias("pos"), "block")

@@ -48,8 +48,8 @@ def search(index: DataFrame, term: str) -> DataFrame:
 
 
 def legacy_search(index: DataFrame, term: str) -> DataFrame:
-    """Rows whose name as it is holds the term, case aside."""
-    return index.where(F.lower("name").contains(term.lower()))
+    """Rows whose name or source, as they are, holds the term as it is, case aside."""
+    return index.where(F.lower("name").contains(term.lower()) | F.lower("source").contains(term.lower()))
 
 
 def with_all_tags(rows: DataFrame, selected: list[str]) -> DataFrame:

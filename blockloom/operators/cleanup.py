@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blockloom.functions.rules import DROPPED, dropped_by
 from blockloom.functions.text import block_key, embedded_json
+from blockloom.operators.blocks import rekeyed
 
 #: Answer of the language model: keys to remove, corrections by key, name and tags.
 ANSWER = "remove array<string>, corrections map<string,string>, product_name string, tags array<string>"
@@ -52,9 +54,10 @@ def parse_answer(answers: DataFrame, column: str = "answer") -> DataFrame:
 
 def accept_tags(tags, confidence, known: list[str] | None = None):
     """Tags of an answer if it is sure enough, known ones only if a list is given; empty otherwise."""
-    kept = F.filter(tags, lambda t: t.isin(known)) if known is not None else tags
+    none = F.array().cast("array<string>")
+    kept = F.filter(F.coalesce(tags, none), lambda t: F.coalesce(t.isin(known), F.lit(False))) if known is not None else F.coalesce(tags, none)
     sure = confidence.isin("high", "medium") & (F.size(kept) > 0)
-    return F.when(sure, F.array_sort(kept)).otherwise(F.array().cast("array<string>"))
+    return F.when(sure, F.array_sort(kept)).otherwise(none)
 
 
 def remove_keys(blocks: DataFrame, keys: DataFrame) -> DataFrame:
@@ -70,8 +73,7 @@ def correct(blocks: DataFrame, corrections: DataFrame) -> DataFrame:
 
 def rekey(blocks: DataFrame) -> DataFrame:
     """Blocks numbered from 0 within their page, in their order."""
-    order = Window.partitionBy("manual", "page_idx").orderBy("block_idx")
-    return blocks.withColumn("block_idx", (F.row_number().over(order) - 1).cast("int"))
+    return rekeyed(blocks)
 
 
 def correct_and_remove(blocks: DataFrame, removals: DataFrame, corrections: DataFrame, compat: bool = False) -> DataFrame:
@@ -99,10 +101,45 @@ class CleanupResult:
     """What a clean-up did to a corpus."""
 
     success: bool
+    original: int = 0
+    cleaned: int = 0
     fixed: int = 0
-    removed: int = 0
+    removed_by_rule: int = 0
+    removed_by_model: int = 0
     corrected: int = 0
+    rejected: int = 0
     error: str | None = None
 
 
+def clean(blocks: DataFrame, answers: DataFrame, fix) -> tuple[DataFrame, DataFrame]:
+    """All three stages: the cleaned blocks, and one row of figures as CleanupResult names them.
+
+    answers are those of a model, (manual, answer); their keys are those after stage 2.  Corrections count if they meet a
+    block that stays, removals if they meet a block, rejected are malformed keys.
+    """
+    flagged = fix(F.col("translation"))
+    own = blocks.withColumn("_fixed", ~flagged.eqNullSafe(F.col("translation"))).withColumn("translation", flagged)
+    gone = dropped_by(F.col("translation")).isNotNull()
+    kept = rekey(own.where(~gone).drop("_fixed"))
+    removals, corrections, rejected = keyed_answer(parse_answer(answers))
+    removals = removals.distinct()
+    out = correct_and_remove(kept, removals, corrections)
+    one = own.agg(F.count("*").alias("original"), F.count_if("_fixed").alias("fixed"), F.count_if(gone).alias("removed_by_rule"))
+    place = ["manual", "page_idx", "block_idx"]
+    hit = kept.select(*place).join(removals.withColumn("_r", F.lit(True)), place, "left").join(corrections.select(*place).distinct().withColumn("_c", F.lit(True)), place, "left")
+    removed = F.coalesce("_r", F.lit(False))
+    two = hit.agg(F.count_if(~removed).alias("cleaned"), F.count_if(removed).alias("removed_by_model"), F.count_if(F.coalesce("_c", F.lit(False)) & ~removed).alias("corrected"))
+    parts = [one, two, rejected.agg(F.count("*").alias("rejected"))]
+    figures = reduce(lambda a, b: a.join(b, "_one"), [p.withColumn("_one", F.lit(1)) for p in parts]).drop("_one")
+    return out, figures
+
+
+def result_of(figures: DataFrame) -> CleanupResult:
+    """The figures of a clean-up run; a failure of the run is told, not raised."""
+    try:
+        return CleanupResult(True, **figures.first().asDict())
+    except Exception as e:
+        return CleanupResult(False, error=str(e)[:100])
+
+
 __all__ = ["ANSWER", "DROPPED", "TAG_ANSWER", "CleanupResult"]

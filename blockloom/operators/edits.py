@@ -3,52 +3,88 @@
 Operations are update_text, update_bbox, add, delete and undo, in the order of seq.  Undo takes back the last text or
 box edit, once: only an edit whose next such operation is an undo is taken back.  Keys are those of the blocks before
 any removal; at the end blocks are numbered anew.
+
+An added block may itself be edited, moved or deleted by the key that its add names, by operations after it.  A key that
+is null, or that a block or an earlier add of the page has, names none: that block is put after all others.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from blockloom.functions.geometry import NEW_BOX, clamp, is_box
 from blockloom.functions.text import strip
 from blockloom.operators.cleanup import rekey
+from blockloom.operators.events import before
 
 KEY = ["manual", "page_idx", "block_idx"]
-NEW_TEXT = "New block"
+#: Source text of a block that is added; its translation is empty unless the edit has one.
+NEW_TEXT = "New text block"
+#: Numbers of the log that are ordered together.
+CHUNK = 1024
 
 
 def standing(edits: DataFrame) -> DataFrame:
-    """Edits that count: without undos and what they take back."""
-    order = Window.partitionBy("manual").orderBy("seq", "edit_id")
+    """Edits that count: without undos and what they take back.
+
+    The operation after each is found from behind, in chunks of a manual's log, so that no log is sorted in one task.
+    """
     kinds = edits.where(F.col("op").isin("update_text", "update_bbox", "undo"))
-    after = kinds.withColumn("after", F.lead("op").over(order)).where("op <> 'undo' AND NOT (after <=> 'undo')").drop("after")
+    behind = kinds.withColumn("_s", -F.col("seq")).withColumn("_e", -F.col("edit_id"))
+    met = before(behind, "manual", -F.floor(F.col("seq") / CHUNK), ["_s", "_e"], "op", "_after")
+    after = met.where("op <> 'undo' AND NOT (_after <=> 'undo')").select(*edits.columns)
     return after.unionByName(edits.where(F.col("op").isin("add", "delete")))
 
 
+def _last(value: Column, when: Column) -> Column:
+    """The value of the last operation that has one, as an aggregate."""
+    told = when & value.isNotNull()
+    return F.max_by(F.when(told, value), F.when(told, F.struct("seq", "edit_id")))
+
+
+def _folded(log: DataFrame) -> DataFrame:
+    """Last text and box of each key and whether it was deleted, in one aggregation."""
+    op = F.col("op")
+    return log.groupBy(*KEY).agg(
+        _last(strip(F.col("translation")), op == "update_text").alias("new_text"),
+        _last(clamp(F.col("bbox")), op == "update_bbox").alias("new_box"),
+        F.coalesce(F.bool_or(op == "delete"), F.lit(False)).alias("gone"),
+    )
+
+
 def fold(blocks: DataFrame, edits: DataFrame) -> DataFrame:
-    """(manual, page_idx, block_idx, text, translation, bbox) after all edits."""
+    """(manual, page_idx, block_idx, text, translation, bbox) after all edits.
+
+    The log is small beside the blocks: what concerns adds (their page's last block, keys that are taken, operations
+    after them) is found on the log's own keys and pages.
+    """
     kept = standing(edits)
-    text = kept.where("op = 'update_text' AND translation IS NOT NULL").groupBy(*KEY).agg(F.max_by(strip(F.col("translation")), F.struct("seq", "edit_id")).alias("new_text"))
-    boxes = kept.where("op = 'update_bbox'").withColumn("bbox", clamp(F.col("bbox"))).where("bbox IS NOT NULL")
-    box = boxes.groupBy(*KEY).agg(F.max_by("bbox", F.struct("seq", "edit_id")).alias("new_box"))
-    gone = kept.where("op = 'delete'").select(*KEY).distinct()
-    last = blocks.groupBy("manual", "page_idx").agg(F.max("block_idx").alias("last"))
-    order = Window.partitionBy("manual", "page_idx").orderBy("seq", "edit_id")
-    added = kept.where("op = 'add'").withColumn("n", F.row_number().over(order)).join(last, ["manual", "page_idx"])
-    fallback = F.array(*map(F.lit, NEW_BOX))
-    new = added.select(
+    place = F.struct("seq", "edit_id")
+    own = blocks.select(*KEY, "text", "translation", "bbox")
+    changes = _folded(kept.where("op <> 'add'"))
+    met = own.join(changes, KEY, "left").where("NOT coalesce(gone, false)")
+    changed = met.select(*KEY, "text", F.coalesce("new_text", "translation").alias("translation"), F.coalesce("new_box", "bbox").alias("bbox"))
+    # the first add of a free key has that key; operations after it are its own
+    adds = kept.where("op = 'add' AND page_idx IS NOT NULL AND manual IS NOT NULL")
+    free = adds.where("block_idx IS NOT NULL").join(own.select(*KEY), KEY, "left_anti")
+    named = free.groupBy(*KEY).agg(F.min(place).alias("_added"))
+    later = kept.where("op IN ('update_text', 'update_bbox', 'delete')").join(named, KEY).where(place > F.col("_added"))
+    edited = named.join(_folded(later), KEY, "left").select(F.col("_added.edit_id").alias("edit_id"), "new_text", "new_box", "gone")
+    box = F.coalesce(F.when(is_box(F.col("bbox")), clamp(F.col("bbox"))), F.array(*map(F.lit, NEW_BOX)))
+    new = adds.join(edited, "edit_id", "left").where("NOT coalesce(gone, false)")
+    new = new.select(
         "manual",
         "page_idx",
-        (F.col("last") + F.col("n")).cast("int").alias("block_idx"),
-        F.lit("").alias("text"),
-        F.coalesce(F.nullif(strip(F.col("translation")), F.lit("")), F.lit(NEW_TEXT)).alias("translation"),
-        F.coalesce(F.when(is_box(F.col("bbox")), clamp(F.col("bbox"))), fallback).alias("bbox"),
+        F.row_number().over(Window.partitionBy("manual", "page_idx").orderBy("seq", "edit_id")).alias("_n"),
+        F.lit(NEW_TEXT).alias("text"),
+        F.coalesce("new_text", "translation", F.lit("")).alias("translation"),
+        F.coalesce("new_box", box).alias("bbox"),
     )
-    own = blocks.select("manual", "page_idx", "block_idx", "text", "translation", "bbox")
-    changed = own.join(gone, KEY, "left_anti").join(text, KEY, "left").join(box, KEY, "left")
-    changed = changed.select(*KEY, "text", F.coalesce("new_text", "translation").alias("translation"), F.coalesce("new_box", "bbox").alias("bbox"))
-    return rekey(changed.unionByName(new))
+    # added blocks stand after the others of their page, in the order of the log
+    last = own.join(new.select("manual", "page_idx").distinct(), ["manual", "page_idx"], "left_semi").groupBy("manual", "page_idx").agg(F.max("block_idx").alias("_top"))
+    placed = new.join(last, ["manual", "page_idx"], "left").withColumn("block_idx", (F.coalesce("_top", F.lit(-1)) + F.col("_n")).cast("int"))
+    return rekey(changed.unionByName(placed.select(*KEY, "text", "translation", "bbox")))
 
 
 def shifted(keys: DataFrame, page_idx: int, block_idx: int) -> DataFrame:

@@ -36,7 +36,7 @@ def product_name(html: Column, site: str) -> Column:
 def product_description(html: Column) -> Column:
     """Description by the first pattern that matches; an empty one is null."""
     content = lambda p: F.nullif(decode_entities(strip(F.regexp_extract(html, p, 1))), F.lit(""))
-    body = collapse(strip_tags_across(F.regexp_extract(html, TEXT_IN_DIV, 1)))
+    body = collapse(strip_tags(F.regexp_extract(html, TEXT_IN_DIV, 1)))
     return (
         F.when(html.rlike(TEXT_IN_OPEN_GRAPH), content(TEXT_IN_OPEN_GRAPH))
         .when(html.rlike(TEXT_IN_META), content(TEXT_IN_META))
@@ -44,10 +44,6 @@ def product_description(html: Column) -> Column:
     )
 
 
-def strip_tags_across(c: Column) -> Column:
-    return strip_tags(c)
-
-
 def post_links(html: Column, blog: str) -> Column:
     """Addresses of posts of a blog in a page: distinct, in their order, without the blog's own page, three at most."""
     pattern = rf'https://{blog.replace(".", "[.]")}/[^"\s]+'

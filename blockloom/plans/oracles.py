@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from blockloom.functions.rules import TAGS
+from blockloom.sources.providers import TASK
+
 SP = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 LATEST = "(SELECT * FROM translations QUALIFY row_number() OVER (PARTITION BY manual, page_idx, block_idx ORDER BY loaded_at DESC, row_id DESC) = 1)"
 META = "(SELECT * FROM meta WHERE manual IS NOT NULL QUALIFY row_number() OVER (PARTITION BY manual ORDER BY loaded_at DESC, meta_id DESC) = 1)"
@@ -65,15 +68,21 @@ def clamp(b: str) -> list[str]:
 
 
 _CLAMPED = clamp("bbox")
-_ADDED = f"""SELECT a.manual, a.page_idx, (l.last + row_number() OVER (PARTITION BY a.manual, a.page_idx ORDER BY seq, edit_id))::INT AS block_idx, '' AS text,
-  coalesce(nullif({strip('translation')}, ''), 'New block') AS translation, CASE WHEN {ok_box('bbox')} THEN [{', '.join(_CLAMPED)}] ELSE [0.4, 0.45, 0.2, 0.1]::DOUBLE[] END AS bbox
-  FROM {STANDING} a JOIN (SELECT manual, page_idx, max(block_idx) AS last FROM {LATEST} GROUP BY ALL) l USING (manual, page_idx) WHERE op = 'add'"""
+_FIRST_ADD = f"""(SELECT manual, page_idx, block_idx, arg_min(edit_id, (seq, edit_id)) AS edit_id, min((seq, edit_id)) AS added FROM edits a
+  WHERE op = 'add' AND block_idx IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {LATEST} l WHERE l.manual = a.manual AND l.page_idx = a.page_idx AND l.block_idx = a.block_idx) GROUP BY ALL)"""
 FOLD = f"""
 WITH s AS {STANDING}, t AS (SELECT manual, page_idx, block_idx, arg_max({strip('translation')}, (seq, edit_id)) AS new_text FROM s WHERE op = 'update_text' AND translation IS NOT NULL GROUP BY ALL),
 b AS (SELECT manual, page_idx, block_idx, arg_max([{', '.join(_CLAMPED)}], (seq, edit_id)) AS new_box FROM s WHERE op = 'update_bbox' AND {ok_box('bbox')} GROUP BY ALL),
 g AS (SELECT DISTINCT manual, page_idx, block_idx FROM s WHERE op = 'delete'),
+w AS (SELECT s.*, f.edit_id AS own FROM s JOIN {_FIRST_ADD} f USING (manual, page_idx, block_idx) WHERE op <> 'add' AND (s.seq, s.edit_id) > f.added),
+wt AS (SELECT own AS edit_id, arg_max({strip('translation')}, (seq, edit_id)) AS new_text FROM w WHERE op = 'update_text' AND translation IS NOT NULL GROUP BY own),
+wb AS (SELECT own AS edit_id, arg_max([{', '.join(_CLAMPED)}], (seq, edit_id)) AS new_box FROM w WHERE op = 'update_bbox' AND {ok_box('bbox')} GROUP BY own),
+n AS (SELECT a.manual, a.page_idx, coalesce(l.last, -1) + row_number() OVER (PARTITION BY a.manual, a.page_idx ORDER BY seq, a.edit_id) AS block_idx, 'New text block' AS text,
+  coalesce(new_text, translation, '') AS translation, coalesce(new_box, CASE WHEN {ok_box('bbox')} THEN [{', '.join(_CLAMPED)}] ELSE [0.4, 0.45, 0.2, 0.1]::DOUBLE[] END) AS bbox
+  FROM s a LEFT JOIN wt USING (edit_id) LEFT JOIN wb USING (edit_id) LEFT JOIN (SELECT manual, page_idx, max(block_idx) AS last FROM {LATEST} GROUP BY ALL) l ON l.manual = a.manual AND l.page_idx = a.page_idx
+  WHERE op = 'add' AND a.edit_id NOT IN (SELECT own FROM w WHERE op = 'delete')),
 f AS (SELECT l.manual, l.page_idx, l.block_idx, l.text, coalesce(new_text, translation) AS translation, coalesce(new_box, bbox) AS bbox FROM {LATEST} l
-  LEFT JOIN t USING (manual, page_idx, block_idx) LEFT JOIN b USING (manual, page_idx, block_idx) ANTI JOIN g USING (manual, page_idx, block_idx) UNION ALL {_ADDED})
+  LEFT JOIN t USING (manual, page_idx, block_idx) LEFT JOIN b USING (manual, page_idx, block_idx) ANTI JOIN g USING (manual, page_idx, block_idx) UNION ALL SELECT * FROM n)
 SELECT manual, page_idx::BIGINT AS page_idx, row_number() OVER (PARTITION BY manual, page_idx ORDER BY block_idx) - 1 AS block_idx, text, translation, bbox[1] AS x, bbox[3] AS w FROM f
 """
 _OUT = "list_concat([b], CASE WHEN regexp_replace(b, '-v\\p{Nd}+$', '') <> b THEN [regexp_replace(b, '-v\\p{Nd}+$', '')] ELSE [] END)"
@@ -94,11 +103,24 @@ _TAG_CASES = ", ".join(
 )
 _MARK = f"^((?:\\p{{Nd}}+[.)]|[①②③④⑤⑥⑦⑧⑨⑩]|\\(\\p{{Nd}}+\\)|[・•\\-●○■□★☆※]){SP}*)"
 
+_LIST_MARK = "(?:\\p{Nd}+[.)]|[①②③④⑤⑥⑦⑧⑨⑩]|\\(\\p{Nd}+\\)|[・•●○■□★☆※])"
+ITEMS = f"list_filter(list_transform(string_split(regexp_replace(translation, '(^|{SP})({_LIST_MARK})', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda x: {strip('x')}), lambda x: regexp_matches(x, '^{_LIST_MARK}'))"
+PLACED = f"(SELECT *, row_number() OVER (PARTITION BY manual, page_idx ORDER BY block_idx) - 1 AS pos FROM {LATEST})"
+PAGED = f"(SELECT manual, page_idx, count(*) AS b FROM {LATEST} GROUP BY ALL)"
+COUNTED = f"(SELECT manual, count(*) AS pages, sum(b)::BIGINT AS blocks, min(page_idx) AS first FROM {PAGED} GROUP BY manual)"
+KEYED = f"""SELECT l.row_id, row_number() OVER (PARTITION BY l.manual, l.page_idx ORDER BY l.block_idx) - 1 AS block_idx, coalesce(new_translation, l.translation) AS translation
+    FROM {LATEST} l LEFT JOIN {CORRECTIONS} c USING (manual, page_idx, block_idx) ANTI JOIN {REMOVALS} g USING (manual, page_idx, block_idx)"""
+
+
+def _listed(tags: dict[str, tuple[str, str]]) -> str:
+    return "\n".join(f"- {tag}: {label}" for tag, (_, label) in tags.items())
+
+
 ORACLES: dict[str, str] = {
     "corpus_index": INDEX,
     "corpus_stats": f"SELECT count(*) AS manuals, sum(pages)::BIGINT AS pages, sum(blocks)::BIGINT AS blocks FROM ({INDEX})",
     "latest_blocks": f"SELECT row_id, manual, page_idx, block_idx FROM {LATEST}",
-    "block_explode": "SELECT doc_id, unnest(generate_series(0, len(p) - 1)) AS block_idx, unnest(p) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents WHERE text IS NOT NULL)",
+    "line_blocks": "SELECT doc_id, unnest(generate_series(0, len(p) - 1)) AS block_idx, unnest(p) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents WHERE text IS NOT NULL)",
     "noise_filter": f"SELECT row_id, {strip('text')} AS text FROM translations WHERE NOT {noise('text')}",
     "rule_cleanup": f"SELECT row_id, translation FROM translations WHERE ({rule('translation')}) IS NULL",
     "rule_counts": f"SELECT rule, count(*) AS n FROM (SELECT {rule('translation')} AS rule FROM translations) WHERE rule IS NOT NULL GROUP BY rule",
@@ -124,7 +146,7 @@ ORACLES: dict[str, str] = {
     "tag_filter_all": "SELECT meta_id FROM meta WHERE list_contains(tags, 'jubilee') AND list_contains(tags, 'mecha')",
     "tag_toggle": "SELECT meta_id, NOT coalesce(list_contains(tags, 'jubilee'), false) AS \"on\" FROM meta",
     "search": f"SELECT manual FROM ({INDEX}) WHERE contains(lower(replace(name, '-', ' ')), 'driver') OR contains(lower(source), 'driver')",
-    "legacy_search": f"SELECT manual FROM ({INDEX}) WHERE contains(lower(name), 'driver')",
+    "legacy_search": f"SELECT manual FROM ({INDEX}) WHERE contains(lower(name), 'driver') OR contains(lower(source), 'driver')",
     "display_titles": "SELECT meta_id, coalesce(nullif(name, ''), nullif(source, '')) AS title, replace(manual, '-', ' ') AS shown, coalesce(source_url, '') <> '' AS has_url FROM meta",
     "slug": f"SELECT meta_id, {slug('name')} AS handle FROM meta",
     "slug_variants": f"""SELECT meta_id, array_to_string([b, regexp_replace(b, '-v\\p{{Nd}}+$', ''), regexp_replace(b, '-set$', ''), replace(b, '-set', ''), replace(b, 'next', 'NEXT'), replace(b, '-next', '')], ',') AS handles
@@ -170,4 +192,42 @@ ORACLES: dict[str, str] = {
     "job_progress": """SELECT manual, count(*) FILTER (coalesce(success, false)) AS done, count(*) AS total, count(*) FILTER (coalesce(success, false)) / count(*)::DOUBLE AS steps,
         count(*) FILTER (coalesce(success, false)) > 0 AS success FROM ocr_pages GROUP BY manual""",
     "heartbeats": "SELECT page_id, page_num FROM ocr_pages WHERE page_num % 5 = 0",
+    "block_explode": f"""SELECT p.manual, l.pos::BIGINT AS block_idx, 'manuals/' || p.manual || '/pages/page-' || p.page_idx || '.webp' AS image, l.text, l.translation
+        FROM (SELECT DISTINCT manual, page_num AS page_idx FROM ocr_pages WHERE page_num IS NOT NULL) p LEFT JOIN {PLACED} l USING (manual, page_idx)""",
+    "list_split": f"SELECT row_id, CASE WHEN len(i) >= 2 THEN len(i) ELSE 1 END AS n, CASE WHEN len(i) >= 2 THEN i[1] ELSE translation END AS first FROM (SELECT row_id, translation, {ITEMS} AS i FROM translations WHERE translation IS NOT NULL)",
+    "model_cleanup": KEYED,
+    "rejected_keys": "SELECT manual, 'x-' || block_idx AS key, 'remove' AS kind FROM edits WHERE op = 'delete'",
+    "accepted_tags": """SELECT meta_id, CASE WHEN meta_id % 3 < 2 THEN array_to_string(list_sort(list_filter(coalesce(tags, []), lambda t: t IN ('jubilee', 'mecha'))), ',') ELSE '' END AS known,
+        CASE WHEN meta_id % 3 < 2 THEN coalesce(array_to_string(list_filter(list_sort(coalesce(tags, [])), lambda t: t IS NOT NULL), ','), '') ELSE '' END AS every,
+        array_to_string(list_filter(tags, lambda t: t IS NOT NULL), ',') AS unsorted FROM meta""",
+    "anchored_text": "SELECT row_id, substring(text, 1, 2) || substring(text, 5, 5) AS piece FROM translations",
+    "polygon_boxes": f"""SELECT row_id, CASE WHEN row_id % 5 > 0 THEN x END AS x, CASE WHEN row_id % 5 > 0 THEN y END AS y, CASE WHEN row_id % 5 > 0 THEN (x + w) - x END AS w, CASE WHEN row_id % 5 > 0 THEN (y + h) - y END AS h
+        FROM (SELECT row_id, bbox[1] AS x, bbox[2] AS y, bbox[3] AS w, bbox[4] AS h FROM translations WHERE {ok_box('bbox')})""",
+    "bbox_shown": f"""SELECT row_id, array_to_string(list_transform(bbox, lambda v: printf('%.2f', floor(v * 100 + 0.5) / 100)), ' ') AS shown, bbox[1] * 100 AS x, bbox[2] * 100 AS y, bbox[3] * 100 AS w, bbox[4] * 100 AS h
+        FROM translations WHERE {ok_box('bbox')}""",
+    "manual_links": """SELECT meta_id, CASE WHEN meta_id % 3 = 0 THEN 1 WHEN meta_id % 3 = 1 THEN 0 WHEN coalesce(blog_url, '') <> '' THEN 1 ELSE 0 END::BIGINT AS n,
+        CASE WHEN meta_id % 3 = 0 THEN source_url WHEN meta_id % 3 = 2 THEN nullif(blog_url, '') END AS url, CASE WHEN meta_id % 3 = 1 THEN '' ELSE coalesce(blog_url, '') END AS first FROM meta""",
+    "link_lines": "SELECT meta_id, concat_ws(' ', nullif(source_url, ''), nullif(blog_url, ''), nullif(thumbnail, '')) AS line FROM meta",
+    "image_paths": "SELECT page_id, 'manuals/' || manual || '/pages/page-' || page_num || '.webp' AS path FROM ocr_pages",
+    "shown_texts": "SELECT row_id, text AS original, translation AS shown FROM translations",
+    "url_set": "SELECT meta_id, CASE WHEN manual = 'grand-compendium' THEN 'https://shop.example/1' ELSE source_url END AS source_url FROM meta",
+    "shifted_keys": """SELECT manual, page_idx::BIGINT AS page_idx, (block_idx - CASE WHEN page_idx = 1 AND block_idx > 2 THEN 1 ELSE 0 END)::BIGINT AS block_idx
+        FROM (SELECT DISTINCT manual, page_idx, block_idx FROM edits WHERE op <> 'add') WHERE NOT (page_idx = 1 AND block_idx = 2)""",
+    "block_at": f"SELECT row_id FROM {LATEST} SEMI JOIN edits USING (manual, page_idx, block_idx)",
+    "union_of_pages": f"SELECT row_id, row_number() OVER (PARTITION BY manual ORDER BY page_idx, block_idx) - 1 AS n, pos FROM {PLACED}",
+    "known_addresses": "SELECT meta_id FROM meta WHERE source_url IN (SELECT source_url FROM meta WHERE blog_url IS NOT NULL AND source_url IS NOT NULL)",
+    "recorded_answers": """SELECT manual, page_idx::BIGINT AS page_idx, page_id, n_blocks FROM (SELECT DISTINCT manual, page_idx FROM translations) LEFT JOIN
+        (SELECT manual, page_num AS page_idx, page_id, n_blocks FROM ocr_pages WHERE page_num IS NOT NULL QUALIFY row_number() OVER (PARTITION BY manual, page_num ORDER BY ocr_at DESC NULLS LAST, page_id DESC) = 1) USING (manual, page_idx)""",
+    "provider_answers": "SELECT row_id, upper(regexp_replace(translation, '[^ -~]', '', 'g')) AS answer FROM translations WHERE translation IS NOT NULL",
+    "page_requests": "SELECT meta_id::VARCHAR AS doc, unnest(generate_series(0, pages - 1)) AS page_num FROM meta WHERE pages > 0",
+    "image_forms": "SELECT page_id, CASE WHEN n_blocks * 700000 > 10000000 THEN 'image/jpeg' ELSE 'image/png' END AS mime, CASE WHEN n_blocks * 700000 > 10000000 THEN 95 END::BIGINT AS quality FROM ocr_pages",
+    "address_kinds": "SELECT meta_id, coalesce(starts_with(source_url, 'http://') OR starts_with(source_url, 'https://'), false) AS remote, coalesce(starts_with(source, 'http://') OR starts_with(source, 'https://'), false) AS local FROM meta",
+    "folder_names": "SELECT meta_id, manual || ' 取扱+1' AS folder, 'https://edit.example/x/' || manual || '/translations.json' AS editor FROM meta WHERE manual IS NOT NULL",
+    "manual_documents": f"SELECT manual, dense_rank() OVER (PARTITION BY manual ORDER BY page_idx) - 1 AS page_idx, pos AS block_idx, text, translation, bbox[1] AS x, len(bbox) AS n FROM {PLACED} l SEMI JOIN {META} m USING (manual)",
+    "manual_headers": f"SELECT manual, name AS manual_name, source, blog_url, coalesce(c.pages, 0) AS pages, coalesce(c.blocks, 0) AS blocks, len(tags) AS n_tags, false AS broken FROM {META} m LEFT JOIN {COUNTED} c USING (manual)",
+    "catalog_document": f"""SELECT manual AS name, coalesce(source, manual) AS source, coalesce(c.pages, 0) AS pages, coalesce(c.blocks, 0) AS blocks,
+        manual || '/' || CASE WHEN c.first IS NULL THEN 'pages/page-0.webp' ELSE 'manuals/' || manual || '/pages/page-' || c.first || '.webp' END AS thumbnail,
+        coalesce(source_url, '') AS source_url, coalesce(blog_url, '') AS blog_url, array_to_string(list_filter(tags, lambda t: t IS NOT NULL), ',') AS tags FROM {META} m LEFT JOIN {COUNTED} c USING (manual)""",
+    "prompts": f"""SELECT manual, '{TASK.replace("'", "''")}' || chr(10) || 'Product: ' || coalesce(nullif(name, ''), 'Unknown') || chr(10) || 'Address: ' || coalesce(source_url, '') || chr(10) || 'Tags:' || chr(10) || '{_listed(TAGS)}' || chr(10)
+        || 'Blocks:' || chr(10) || b AS prompt FROM (SELECT manual, '[' || string_agg(to_json({{'index': page_idx || '-' || block_idx, 'original': text, 'translation': translation}})::VARCHAR, ',' ORDER BY n) || ']' AS b FROM {NUMBERED} WHERE n < 100 GROUP BY manual) LEFT JOIN {META} m USING (manual)""",
 }

@@ -1,20 +1,34 @@
-"""Manuals as nested JSON: reading folders, writing manuals and the catalog."""
+"""Manuals as nested JSON: reading folders, writing manuals and the catalog.
+
+A manual is the folder ``<name>/translations.json``.  Writing streams: each manual is a sequence of lines (its header,
+then each page and block in order) that one task writes as they come from an external sort, so neither a manual nor a
+page is ever collected, however large.  What is written is what is read again.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from urllib.parse import unquote
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BLOCK = "struct<text:string,translation:string,bbox:array<double>>"
+PAGE = f"struct<image:string,blocks:array<{BLOCK}>>"
 META = (
     "struct<manual_name:string,source:string,source_lang:string,target_lang:string,source_url:string,blog_url:string,"
     "pages:bigint,blocks:bigint,thumbnail:string,tags:array<string>,blog_links:array<struct<title:string,url:string,translated_url:string>>>"
 )
-SCHEMA = f"meta {META}, pages array<struct<image:string,blocks:array<{BLOCK}>>>, _corrupt_record string"
+SCHEMA = f"meta {META}, pages array<{PAGE}>, _corrupt_record string"
 FILE = "translations.json"
-#: Blocks after which a manual is continued in another part.
-PART_BLOCKS = 100_000
+#: Thumbnail of a manual without pages.
+NO_THUMBNAIL = "pages/page-0.webp"
+KEEP_NULLS = {"ignoreNullFields": "false"}
+
+
+def folder_name(path: Column) -> Column:
+    """Name of the folder that holds a file; file paths are percent-encoded, a plus sign stands for itself."""
+    return F.url_decode(F.replace(F.element_at(F.split(path, "/"), -2), F.lit("+"), F.lit("%2B")))
 
 
 def read_manuals(spark: SparkSession, root: str, strict: bool = False) -> DataFrame:
@@ -23,58 +37,131 @@ def read_manuals(spark: SparkSession, root: str, strict: bool = False) -> DataFr
     ``strict`` fails on an unreadable file instead.
     """
     reader = spark.read.schema(T._parse_datatype_string(SCHEMA)).option("multiLine", True).option("mode", "FAILFAST" if strict else "PERMISSIVE")
-    rows = reader.json(f"{root.rstrip('/')}/*/{FILE}").withColumn("manual", F.element_at(F.split(F.input_file_name(), "/"), -2))
-    return rows.select("manual", "meta", "pages", F.col("_corrupt_record").isNotNull().alias("broken"))
+    rows = reader.json(f"{root.rstrip('/')}/*/{FILE}").withColumn("manual", folder_name(F.col("_metadata.file_path")))
+    # the second condition never holds; a query may not read the column of bad records alone
+    broken = F.col("_corrupt_record").isNotNull() | (F.size("pages") < -1)
+    return rows.select("manual", "meta", "pages", F.coalesce(broken, F.lit(False)).alias("broken"))
+
+
+def unnest(manuals: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Blocks, pages and headers of nested manuals, as manual_lines takes them."""
+    pages = manuals.select("manual", F.posexplode("pages").alias("page_idx", "page"))
+    blocks = pages.select("manual", "page_idx", F.posexplode("page.blocks").alias("block_idx", "block")).select("manual", "page_idx", "block_idx", "block.*")
+    return blocks, pages.select("manual", "page_idx", "page.image"), manuals.select("manual", "meta")
 
 
-def nest(blocks: DataFrame, pages: DataFrame, meta: DataFrame, part_blocks: int = PART_BLOCKS) -> DataFrame:
-    """(manual, part, meta, pages) of flat tables; counts in meta are those of the whole manual.
+def _json_string(c: Column) -> Column:
+    """A string as a JSON value, null as null."""
+    listed = F.to_json(F.array(c), KEEP_NULLS)
+    return F.substring(listed, F.lit(2), F.length(listed) - 2)
 
-    A manual is one part unless it has more blocks than a part may have: no group that is collected grows with the data.
+
+def manual_lines(blocks: DataFrame, pages: DataFrame, meta: DataFrame) -> DataFrame:
+    """(manual, page, part, block, value, line): the lines of each manual's JSON, to be put in the order of the first five.
+
+    Manuals are those of meta; counts in their headers are those of the pages and blocks written.  Blocks of pages that
+    are missing are left out; of pages that come twice one counts, repeated blocks stand each; null positions count as
+    the first.  Parts are 0 for the opening of a page, 1 for its blocks, 2 for its end; the header is page -1.
+    """
+    at = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
+    nulls = lambda s: F.to_json(s, KEEP_NULLS)
+    own = pages.select("manual", at("page_idx").alias("page"), "image").groupBy("manual", "page").agg(F.min("image").alias("image"))
+    own = own.join(meta.select("manual").distinct(), "manual", "left_semi")
+    body = blocks.select("manual", at("page_idx").alias("page"), at("block_idx").alias("block"), nulls(F.struct("text", "translation", F.col("bbox").cast("array<double>").alias("bbox"))).alias("value"))
+    body = body.join(own.select("manual", "page"), ["manual", "page"], "left_semi")
+    counted = own.select("manual", F.lit(1).alias("p"), F.lit(0).alias("b")).unionAll(body.select("manual", F.lit(0).alias("p"), F.lit(1).alias("b")))
+    totals = counted.groupBy("manual").agg(F.sum("p").alias("n_pages"), F.sum("b").alias("n_blocks"))
+    zero, last = F.lit(0).cast("long"), F.lit((1 << 63) - 1)
+    counts = F.col("meta").withField("pages", F.coalesce("n_pages", zero)).withField("blocks", F.coalesce("n_blocks", zero))
+    head = meta.join(totals, "manual", "left").withColumn("meta", counts)
+
+    def lines(rows: DataFrame, page: Column, part: int, block: Column, *value: Column) -> DataFrame:
+        return rows.select("manual", page.alias("page"), F.lit(part).alias("part"), block.alias("block"), F.concat(*value).alias("value"))
+
+    rows = (
+        lines(head, zero - 1, 0, zero, F.lit('{"meta": '), nulls(F.col("meta")), F.lit(', "pages": ['))
+        .unionAll(lines(own, F.col("page"), 0, zero, F.lit('{"image": '), _json_string(F.col("image")), F.lit(', "blocks": [')))
+        .unionAll(lines(body, F.col("page"), 1, F.col("block"), F.col("value")))
+        .unionAll(lines(own, F.col("page"), 2, zero, F.lit("]}")))
+        .unionAll(lines(head, last, 2, zero, F.lit("]}")))
+    )
+    before, here = F.lag(F.struct("page", "part")).over(Window.partitionBy("manual").orderBy("page", "part", "block", "value")), F.col("part")
+    comma = ((here == 1) & (before["part"] == 1)) | ((here == 0) & (before["part"] == 2))
+    return rows.withColumn("line", F.concat(F.when(comma, F.lit(",")).otherwise(F.lit("")), F.col("value")))
+
+
+def write_manuals(blocks: DataFrame, pages: DataFrame, meta: DataFrame, path: str) -> None:
+    """A folder a manual with its JSON, in a new version of the corpus; never over what is being read.
+
+    Rows without a manual are left out.  Names must be names of folders: '/', ':' or dots alone are an error.
+    """
+    spark = meta.sparkSession
+    named = meta.where("manual IS NOT NULL")
+    wrong = named.where(F.col("manual").rlike(r"[/:\x00]|^[.]*$")).select("manual").first()
+    if wrong is not None:
+        raise ValueError(f"no name of a folder: {wrong[0]!r}")
+    jvm, conf = spark.sparkContext._jvm, spark._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(conf)
+    if files.exists(root):
+        raise FileExistsError(path)
+    lines = manual_lines(blocks, pages, named).sortWithinPartitions("manual", "page", "part", "block", "value")
+    staged = jvm.org.apache.hadoop.fs.Path(root, "_staged")
+    lines.select("manual", "line").write.partitionBy("manual").text(staged.toString())
+    # as a committer does: one rename a file, no data is moved
+    for folder in files.listStatus(staged):
+        if folder.isDirectory():
+            own = jvm.org.apache.hadoop.fs.Path(root, unquote(folder.getPath().getName().partition("=")[2]))
+            files.mkdirs(own)
+            (part,) = (f for f in files.listStatus(folder.getPath()) if not f.getPath().getName().startswith((".", "_")))
+            files.rename(part.getPath(), jvm.org.apache.hadoop.fs.Path(own, FILE))
+    files.delete(staged, True)
+
+
+def catalog_entries(manuals: DataFrame) -> DataFrame:
+    """(name, source, pages, blocks, thumbnail, source_url, blog_url, tags) of nested manuals, unreadable ones left out.
+
+    Name is that of the folder; tags are null where the header has none.
+    """
+    has = manuals.where("NOT coalesce(broken, false)")
+    pages = F.coalesce("pages", F.array().cast(f"array<{PAGE}>"))
+    image = F.get(pages, F.lit(0))["image"]
+    return has.select(
+        F.col("manual").alias("name"),
+        F.coalesce("meta.source", "manual").alias("source"),
+        F.size(pages).cast("long").alias("pages"),
+        F.aggregate(pages, F.lit(0).cast("long"), lambda acc, p: acc + F.coalesce(F.size(p["blocks"]), F.lit(0))).alias("blocks"),
+        F.concat("manual", F.lit("/"), F.coalesce(image, F.lit(NO_THUMBNAIL))).alias("thumbnail"),
+        F.coalesce("meta.source_url", F.lit("")).alias("source_url"),
+        F.coalesce("meta.blog_url", F.lit("")).alias("blog_url"),
+        F.col("meta.tags").alias("tags"),
+    )
+
+
+def catalog_lines(entries: DataFrame, tags: dict[str, tuple[str, str]]) -> DataFrame:
+    """(part, name, value): the lines of the catalog document in their order: manuals by name, then tags and totals.
+
+    Entries are one line each and only their totals are aggregated, so the document isn't held anywhere as a whole.
     """
-    block = F.struct("block_idx", F.struct("text", "translation", "bbox").alias("block"))
-    grouped = blocks.groupBy("manual", "page_idx").agg(F.transform(F.array_sort(F.collect_list(block)), lambda x: x["block"]).alias("blocks"))
-    empty = F.array().cast(f"array<{BLOCK}>")
-    page = pages.join(grouped, ["manual", "page_idx"], "left").withColumn("blocks", F.coalesce("blocks", empty))
-    order = Window.partitionBy("manual").orderBy("page_idx").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = page.select("manual", "page_idx", F.size("blocks").alias("size"))
-    parts = sizes.select("manual", "page_idx", F.floor(F.coalesce(F.sum("size").over(order), F.lit(0)) / part_blocks).cast("long").alias("part"))
-    totals = sizes.groupBy("manual").agg(F.count("*").alias("n_pages"), F.sum("size").alias("n_blocks"))
-    one = F.struct("page_idx", F.struct("image", "blocks").alias("page")).alias("p")
-    whole = page.join(parts, ["manual", "page_idx"]).select("manual", "part", one).groupBy("manual", "part").agg(F.transform(F.array_sort(F.collect_list("p")), lambda x: x["page"]).alias("pages"))
-    zero = F.lit(0).cast("long")
-    joined = meta.join(whole, "manual", "left").join(totals, "manual", "left")
-    head = F.col("meta").withField("pages", F.coalesce("n_pages", zero)).withField("blocks", F.coalesce("n_blocks", zero)).alias("meta")
-    return joined.select("manual", F.coalesce("part", zero).alias("part"), head, F.coalesce("pages", F.array().cast(f"array<struct<image:string,blocks:array<{BLOCK}>>>")).alias("pages"))
-
-
-def manual_json(manuals: DataFrame) -> DataFrame:
-    """(manual, part, value) with each manual as pretty JSON, nulls kept."""
-    options = {"ignoreNullFields": "false", "pretty": "true"}
-    return manuals.select("manual", "part", F.to_json(F.struct("meta", "pages"), options).alias("value"))
-
-
-def write_manuals(manuals: DataFrame, path: str) -> None:
-    """A folder a manual with its JSON, into a new version of the corpus; never over what is being read."""
-    manual_json(manuals).write.mode("errorifexists").partitionBy("manual", "part").text(path)
-
-
-def catalog_json(index: DataFrame, tags: dict[str, tuple[str, str]]) -> DataFrame:
-    """One row with the catalog document: manuals in the order of their names, tags, totals."""
-    entry = F.struct("manual", "name", "source", "pages", "blocks", "thumbnail", "tags")
     known = F.create_map(*(x for t, (color, label) in tags.items() for x in (F.lit(t), F.struct(F.lit(color).alias("color"), F.lit(label).alias("label")))))
-    whole = index.agg(F.array_sort(F.collect_list(entry)).alias("manuals"), F.count("*").alias("n"), F.sum("pages").alias("p"), F.sum("blocks").alias("b"))
-    stats = F.struct(F.col("n").alias("total_manuals"), F.col("p").alias("total_pages"), F.col("b").alias("total_blocks"))
-    return whole.select(F.to_json(F.struct("manuals", known.alias("tags"), stats.alias("stats")), {"ignoreNullFields": "false"}).alias("value"))
+    one = entries.select(F.lit(1).alias("part"), "name", F.to_json(F.struct(*entries.columns)).alias("value"))
+    first = one.groupBy("part").agg(F.min("name").alias("first"))  # names are those of folders, so no two are equal
+    marked = one.join(F.broadcast(first), "part").withColumn("comma", F.when(F.col("name") == F.col("first"), F.lit("")).otherwise(F.lit(",")))
+    totals = entries.agg(F.count("*").alias("total_manuals"), F.coalesce(F.sum("pages"), F.lit(0)).alias("total_pages"), F.coalesce(F.sum("blocks"), F.lit(0)).alias("total_blocks"))
+    tail = totals.select(F.lit(2).alias("part"), F.lit("").alias("name"), F.concat(F.lit('], "tags": '), F.to_json(known), F.lit(', "stats": '), F.to_json(F.struct(*totals.columns)), F.lit("}")).alias("value"))
+    head = entries.sparkSession.range(1).select(F.lit(0).alias("part"), F.lit("").alias("name"), F.lit('{"manuals": [').alias("value"))
+    return head.unionAll(marked.select("part", "name", F.concat("comma", "value").alias("value"))).unionAll(tail)
 
 
-def write_catalog(index: DataFrame, tags: dict[str, tuple[str, str]], path: str) -> None:
-    catalog_json(index, tags).coalesce(1).write.mode("overwrite").text(path)
+def write_catalog(entries: DataFrame, tags: dict[str, tuple[str, str]], path: str) -> None:
+    """The catalog document, as one text file written as a stream."""
+    lines = catalog_lines(entries, tags).repartition(1).sortWithinPartitions("part", "name", "value")
+    lines.select("value").write.mode("overwrite").text(path)
 
 
-def export_edited(manuals: DataFrame, edited: DataFrame, path: str) -> None:
+def export_edited(blocks: DataFrame, pages: DataFrame, meta: DataFrame, edited: DataFrame, path: str) -> None:
     """JSON of the manuals that have an edit (of any kind)."""
-    write_manuals(manuals.join(edited.select("manual").distinct(), "manual", "left_semi"), path)
+    write_manuals(blocks, pages, meta.join(edited.select("manual").distinct(), "manual", "left_semi"), path)
 
 
 def editor_link(manual, base: str):

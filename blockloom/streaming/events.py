@@ -18,12 +18,19 @@ def debounce_stream(rows: DataFrame, key: str, ts: str, arg: str, quiet: str, la
 
 
 def throttle_stream(rows: DataFrame, key: str, ts: str, seconds: float, late: str) -> DataFrame:
-    """Throttle with one number of state a key; the rows of a trigger are taken in the order of time."""
+    """Throttle with one number of state a key; the rows of a trigger are taken in the order of time.
+
+    A key's state goes when the watermark is past the time at which any row passes again.  What a trigger holds of one
+    key is held at once: bound it by the source's options.
+    """
     gap = int(seconds * 1_000_000)
     own = rows.withWatermark(ts, late).withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp")))
     schema = own.schema
 
     def passing(_key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last = state.get[0] if state.exists else None
         frame = pd.concat(list(frames)).sort_values("_us", kind="stable")
         keep = []
@@ -32,9 +39,10 @@ def throttle_stream(rows: DataFrame, key: str, ts: str, seconds: float, late: st
             keep.append(ok)
             last = t if ok else last
         state.update((last,))
+        state.setTimeoutTimestamp(max((last + gap) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
         yield frame[keep]
 
-    out = own.groupBy(key).applyInPandasWithState(passing, schema, "last long", "append", GroupStateTimeout.NoTimeout)
+    out = own.groupBy(key).applyInPandasWithState(passing, schema, "last long", "append", GroupStateTimeout.EventTimeTimeout)
     return out.drop("_us")
 
 

@@ -9,9 +9,9 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from blockloom.functions import geometry, rules, text
+from blockloom.functions import fix, geometry, rules, text, wrap
 
-SAMPLES = ["", " ", "　全角　", "A\tB\n", "CSM DenGasher", "Ranger Key - 35 Reds", "仮面ライダー ベルト", "_x_", "①②", "a--b  c-", "\x1fx\x1c", None]
+SAMPLES = ["", " ", "　全角　", "A\tB\n", "Mega  Blade (Rev.2)", "Toy - 12 Pieces", "仮面ライダー ベルト", "_x_", "①②", "a--b  c-", "\x1fx\x1c", None]
 
 
 def one(spark, rows, column, schema="s string"):
@@ -30,7 +30,7 @@ def plain_slug(name):
 def test_slug(spark):
     rows = [s for s in SAMPLES if s is not None]
     assert one(spark, rows, text.slug(F.col("s"))) == [plain_slug(s) for s in rows]
-    assert one(spark, ["CSM DenGasher", "Ranger Key - 35 Reds"], text.slug(F.col("s"))) == ["csm-dengasher", "ranger-key-35-reds"]
+    assert one(spark, ["Mega  Blade (Rev.2)", "Toy - 12 Pieces"], text.slug(F.col("s"))) == ["mega-blade-rev2", "toy-12-pieces"]
 
 
 @settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -97,10 +97,10 @@ def test_dropped(spark):
 @pytest.mark.parametrize(
     ("name", "expected"),
     [
-        ("Complete Selection Modification Fang Memory", ["csm", "kamen-rider"]),
-        ("DX Ridewatch", ["dx", "kamen-rider"]),
-        ("Ranger Key Memorial Edition 35 Reds Set", ["memorial", "sentai"]),
-        ("Shin Ultraman Beta Capsule", ["ultraman"]),
+        ("The complete selection modification of a rider's belt", ["csm", "kamen-rider"]),
+        ("dx overrider", ["dx", "kamen-rider"]),
+        ("Memorial box, 戦隊 3", ["memorial", "sentai"]),
+        ("An ultra-fine replica", ["ultraman"]),
         ("Screwdriver", ["kamen-rider"]),
         ("仮面csm", []),
         (None, []),
@@ -125,6 +125,40 @@ def test_boxes(spark):
     assert one(spark, rows, geometry.round4(F.col("b")), "b array<double>") == [[round(v, 4) for v in rows[0]], None, [None, 0.5, 0.5, 0.5]]
 
 
+def test_round4_of_any_number(spark):
+    import random
+
+    rng = random.Random(5)
+    rows = [[rng.uniform(-2, 2), rng.randint(-20000, 20000) / 1e4 + 0.00005, rng.uniform(0, 1) * 1e12, 0.00025] for _ in range(300)] + [[], [float("inf")]]
+    assert one(spark, rows, geometry.round4(F.col("b")), "b array<double>") == [[v if v == float("inf") else round(v, 4) for v in b] for b in rows]
+
+
+def test_shown_and_forms(spark):
+    assert one(spark, [[0.125, 0.994, 0.995, 1.0]], geometry.shown(F.col("b")), "b array<double>") == [["0.13", "0.99", "1.00", "1.00"]]
+    got = one(spark, [10, 10_000_000, 10_000_001], geometry.image_form(F.col("n")), "n long")
+    assert [(f.mime, f.quality) for f in got] == [("image/png", None), ("image/png", None), ("image/jpeg", 95)]
+
+
+def test_wrapping(spark):
+    assert wrap.start_size(4) == 10 and wrap.start_size(26) == 13 and wrap.start_size(90) == 14
+    # 10 points: 5 pixels a character; the first line has the full width, later ones hang under the text
+    assert wrap.wrap_item("1. aaa bbb ccc", 35, 10) == [("1. aaa bbb", 0), ("ccc", 15)]
+    assert wrap.wrap_item("1. aaa bbb ccc ddd", 35, 10) == [("1. aaa bbb", 0), ("ccc", 15), ("ddd", 15)]
+    assert wrap.wrap_item("aaa bbb toolongword c", 35, 10) == [("aaa bbb", 0), ("toolongword", 0), ("c", 0)]
+    assert wrap.wrap_item("• ", 35, 10) == [] and wrap.wrap_item("", 35, 10) == []
+    assert wrap.fit(["a b"], 5, 28) == (12, [("a", 0), ("b", 0)])  # two lines of 12 + 2 fit 28 pixels, of 14 + 2 don't
+    assert wrap.fit(["a b c d"], 5, 20)[0] == 7  # none fits
+    df = spark.createDataFrame([("1. aa 2. bb cc", 30, 40), (None, 1, 1), ("x", None, 3), ("", 5, 5)], "t string, w int, h int")
+    got = [r[0] for r in df.select(wrap.fit_text(text.split_list(F.col("t")), F.col("w"), F.col("h"))).collect()]
+    assert (got[0].size, [(x.line, x.indent) for x in got[0].lines]) == (11, [("1. aa", 0), ("2. bb", 0), ("cc", 21)])
+    assert [(g.size, g.lines) for g in got[1:]] == [(None, None), (None, None), (10, [])]
+
+
+def test_fixed_text(spark):
+    good = ["plain", None, "é", "日本"]
+    assert one(spark, good + ["Ã©", "æ—¥æœ¬"], fix.fix_text(F.col("s"))) == good + ["é", "日本"]
+
+
 def test_anchors_and_polygons(spark):
     df = spark.createDataFrame([("こんにちは", [(None, 2), (3, 5)]), ("abc", [])], "t string, s array<struct<start:int,end:int>>")
     assert [r[0] for r in df.select(geometry.anchored(F.col("t"), F.col("s"))).collect()] == ["こんちは", ""]

@@ -1,10 +1,14 @@
 """Operators on small tables, with nulls, ties, repeated and empty rows."""
 
 import json
+import os
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
+from blockloom import session
+from blockloom.functions.fix import fix_text
 from blockloom.operators import blocks as B
 from blockloom.operators import catalog, cleanup, edits, events, nested, web
 from blockloom.sources import manuals, providers
@@ -59,7 +63,20 @@ def test_edit_fold(spark, three):
         (5, "m", 5, "update_bbox", 0, 2, None, [2.0, 0.0, 1.0, 1.0]), (6, "m", 6, "update_bbox", 0, 2, None, [0.5]), (7, "m", 7, "delete", 0, 1, None, None), (8, "m", 8, "add", 0, 99, "  ", None), (9, "m", 9, "add", 7, 0, "x", None),
     ]
     got = rows(edits.fold(three, spark.createDataFrame(log, EDIT)).select("page_idx", "block_idx", "text", "translation", "bbox"), "page_idx", "block_idx")
-    assert got == [(0, 0, "t0", "new", BOX), (0, 1, "t2", "e2", [1.0, 0.0, 0.01, 1.0]), (0, 2, "", "New block", [0.4, 0.45, 0.2, 0.1]), (1, 0, "u", "f", BOX)]
+    assert got == [(0, 0, "t0", "new", BOX), (0, 1, "t2", "e2", [1.0, 0.0, 0.01, 1.0]), (0, 2, "New text block", "  ", [0.4, 0.45, 0.2, 0.1]), (1, 0, "u", "f", BOX), (7, 0, "New text block", "x", [0.4, 0.45, 0.2, 0.1])]
+
+
+def test_edits_of_added_blocks(spark, three):
+    """Operations after an add are its own; a second add of its key, or one of a block's key, has none."""
+    log = [
+        (1, "m", 1, "update_text", 0, 50, "too early", None), (2, "m", 2, "add", 0, 50, "a", None), (3, "m", 3, "update_text", 0, 50, " b ", None), (4, "m", 4, "update_bbox", 0, 50, None, [0.0, 0.0, 0.5, 0.5]),
+        (5, "m", 5, "add", 0, 50, "second", None), (6, "m", 6, "add", 0, 40, "c", None), (7, "m", 7, "delete", 0, 40, None, None), (8, "m", 8, "add", 0, 0, None, [0.1, 0.1, 0.1, 0.1]), (9, "m", 9, "update_text", 0, 0, "of the block", None),
+        (10, "m", 10, "update_text", 0, 50, "taken back", None), (11, "m", 11, "undo", None, None, None, None), (12, "m", 12, "add", 3, None, "alone", None),
+    ]
+    got = rows(edits.fold(three, spark.createDataFrame(log, EDIT)).where("page_idx <> 1").select("page_idx", "block_idx", "translation", "bbox"), "page_idx", "block_idx")
+    box = [0.4, 0.45, 0.2, 0.1]
+    assert [r[2] for r in got] == ["of the block", "e1", "e2", "b", "second", "", "alone"]
+    assert [r[3] for r in got[3:]] == [[0.0, 0.0, 0.5, 0.5], box, [0.1] * 4, box] and [r[:2] for r in got] == [(0, i) for i in range(6)] + [(3, 0)]
 
 
 def test_edit_fold_of_nothing(spark, three):
@@ -177,9 +194,34 @@ def test_throttle(spark):
     assert events.throttle(df.limit(0), "k", "ts", "i", 17).count() == 0
 
 
+def test_throttle_of_many_keys(spark):
+    """Chunks that begin and end anywhere, ties, null keys and times, bursts beyond a chunk."""
+    import random
+
+    rng = random.Random(9)
+    data = [(rng.choice("abc") if rng.random() < 0.9 else None, rng.choice((rng.randrange(0, 90), rng.randrange(0, 20_000))), i) for i in range(900)]
+    schema = "k string, t int, i int"
+    df = spark.createDataFrame([*data, ("a", None, 901)], schema).select("k", F.timestamp_seconds("t").alias("ts"), "i").repartition(3)
+    expected = set()
+    for k in ("a", "b", "c", None):
+        last = None
+        for t, i in sorted((t, i) for key, t, i in data if key == k):
+            if last is None or t - last >= 7:
+                expected.add(i)
+                last = t
+    assert {r.i for r in events.throttle(df, "k", "ts", "i", 7).collect()} == expected
+
+
+def test_debounce_over_chunks(spark):
+    times = [i * 9 for i in range(200)] + [5_000, 5_011]
+    df = spark.createDataFrame([(k, t, t) for t in times for k in ("a", None)] + [("b", None, 1)], "k string, t int, v int").select("k", F.timestamp_seconds("t").alias("ts"), "v")
+    got = events.debounce(df, "k", "ts", "v", 10).select("k", "v", "n").collect()
+    assert sorted((str(r.k), r.v, r.n) for r in got) == sorted((k, v, n) for k in ("a", "None") for v, n in ((1791, 200), (5_000, 1), (5_011, 1)))
+
+
 def test_debounce_joins_at_the_exact_gap(spark):
     df = spark.createDataFrame([("a", 0, 1), ("a", 10, 2), ("a", 21, 3)], "k string, t int, v int").select("k", F.timestamp_seconds("t").alias("ts"), "v")
-    assert rows(events.debounce(df, "k", "ts", "v", "10 seconds").select("v", "n"), "v") == [(2, 2), (3, 1)]
+    assert rows(events.debounce(df, "k", "ts", "v", 10).select("v", "n"), "v") == [(2, 2), (3, 1)]
 
 
 BODIES = {
@@ -203,21 +245,97 @@ def test_nested_manuals(spark):
     assert nested.flatten_manuals(df.limit(0)).count() == 0
 
 
-def test_manual_round_trip(spark, tmp_path, three):
-    pages = spark.createDataFrame([("m", 0, "p0"), ("m", 1, "p1"), ("m", 2, "p2")], "manual string, page_idx int, image string")
-    meta = spark.createDataFrame([("m", ("M", "s.pdf", [], 0, 0))], "manual string, meta struct<manual_name:string,source:string,tags:array<string>,pages:bigint,blocks:bigint>")
-    whole = manuals.nest(three, pages, meta)
-    body = json.loads(manuals.manual_json(whole).first().value)
-    assert (body["meta"]["pages"], body["meta"]["blocks"]) == (3, 4)
-    assert [len(p["blocks"]) for p in body["pages"]] == [3, 1, 0]
-    assert rows(manuals.nest(three, pages, meta, part_blocks=2).select("part", F.size("pages")), "part") == [(0, 1), (1, 1), (2, 1)]
-    for name, content in (("m", json.dumps(body)), ("broken", "{"), ("empty", '{"meta": {"tags": []}, "pages": []}')):
+def test_manual_round_trip(spark, tmp_path):
+    """What write_manuals writes read_manuals reads, of any name and size."""
+    names = ["CSM Den Gasher", "取扱 説明書+1", "100% (a)=b"]
+    text = 'q"[{\\\n, \u2028 鍵'
+    body = [(m, p, b, text if b % 7 == 0 else None, f"t{b}", [0.1, 0.2, 0.3, float(b)] if b % 2 else None) for m in names[:2] for p in range(3) for b in range(12)]
+    blocks = spark.createDataFrame(body, "manual string, page_idx int, block_idx int, text string, translation string, bbox array<double>")
+    pages = spark.createDataFrame([(m, p, f"p{p}" if p else None) for m in names[:2] for p in range(4)], "manual string, page_idx int, image string")
+    meta = spark.createDataFrame([(m, ("M", "s.pdf", ["x", "y"], 9, 9)) for m in names], "manual string, meta struct<manual_name:string,source:string,tags:array<string>,pages:bigint,blocks:bigint>")
+    manuals.write_manuals(blocks, pages, meta, str(tmp_path / "v1"))
+    assert sorted(p.parent.name for p in (tmp_path / "v1").glob("*/translations.json")) == sorted(names)
+    for f in (tmp_path / "v1").glob("*/translations.json"):
+        assert json.loads(f.read_text())["meta"]["tags"] == ["x", "y"]
+    read = manuals.read_manuals(spark, str(tmp_path / "v1")).cache()
+    assert {(r.manual, r.meta.pages, r.meta.blocks, r.broken, len(r.pages)) for r in read.collect()} == {(names[0], 4, 36, False, 4), (names[1], 4, 36, False, 4), (names[2], 0, 0, False, 0)}
+    again, images, _ = manuals.unnest(read)
+    assert rows(again, "manual", "page_idx", "block_idx") == sorted(body, key=lambda r: r[:3])
+    assert [r.image for r in images.where(F.col("manual") == names[0]).orderBy("page_idx").collect()] == [None, "p1", "p2", "p3"]
+    manuals.write_manuals(*manuals.unnest(read), str(tmp_path / "v2"))
+    assert all((tmp_path / "v2" / n / "translations.json").exists() for n in names)
+    with pytest.raises(FileExistsError):
+        manuals.write_manuals(blocks, pages, meta, str(tmp_path / "v1"))
+    with pytest.raises(ValueError):
+        manuals.write_manuals(blocks, pages, meta.withColumn("manual", F.lit("..")), str(tmp_path / "v3"))
+    edited = spark.createDataFrame([(names[1],)], "manual string")
+    manuals.export_edited(blocks, pages, meta, edited, str(tmp_path / "v4"))
+    assert [p.name for p in (tmp_path / "v4").iterdir() if p.is_dir()] == [names[1]]
+
+
+def test_unreadable_manuals(spark, tmp_path):
+    for name, content in (("broken", "{"), ("empty", '{"meta": {"tags": []}, "pages": []}'), ("m", '{"meta": {}, "pages": [{"blocks": [{"text": "a"}]}, {"image": "x", "blocks": []}]}')):
         (tmp_path / name).mkdir()
         (tmp_path / name / "translations.json").write_text(content)
     read = {r.manual: r for r in manuals.read_manuals(spark, str(tmp_path)).collect()}
     assert read["broken"].broken and not read["m"].broken and read["empty"].pages == []
     good = manuals.read_manuals(spark, str(tmp_path)).where("NOT broken")
-    assert B.explode_pages(good).where("manual = 'm'").count() == 5  # the page without blocks stays
+    assert B.explode_pages(good).where("manual = 'm'").count() == 2  # the page without blocks stays
+
+
+def test_numbering_over_units(spark, monkeypatch):
+    """Units of pages and stretches of manuals are carried."""
+    monkeypatch.setattr(B, "UNIT", 3)
+    data = [("m", p, b) for p in range(11) for b in range(0, 20, 1 + p % 4)] + [("n", 0, 5)]
+    df = spark.createDataFrame(data, "manual string, page_idx int, block_idx int").repartition(4)
+    got = rows(B.numbered(df), "manual", "n")
+    assert got == [("m", *x[1:], i) for i, x in enumerate(data[:-1])] + [("n", 0, 5, 0)]
+    assert rows(B.sample_blocks(df, 7), "manual", "n") == got[:7] + got[-1:]
+    seen = {}
+    for m, p, b in data:
+        seen.setdefault((m, p), []).append(b)
+    assert rows(B.rekeyed(df), "manual", "page_idx", "block_idx") == [(m, p, i) for (m, p), bs in seen.items() for i in range(len(bs))]
+
+
+def test_latest_plan(spark, tmp_path):
+    """Narrow columns come out of hash aggregates alone, and no others are read."""
+    spark.createDataFrame([("m", 0, 0, 1, "t", "e", [0.1], datetime(2024, 1, 1)), ("m", 0, 0, 2, "u", None, None, None)], "manual string, page_idx int, block_idx int, row_id long, text string, translation string, bbox array<double>, loaded_at timestamp").write.parquet(str(tmp_path / "t"))
+    t = spark.read.parquet(str(tmp_path / "t"))
+    narrow, wide = B.latest_blocks(t, "row_id"), B.latest_blocks(t, "translation")
+    plan = narrow._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "HashAggregate" in plan and "text" not in plan and "bbox" not in plan
+    plan = wide._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "bbox" not in plan and "text:string" not in plan
+    assert rows(narrow) == [("m", 0, 0, 1)] and rows(wide) == [("m", 0, 0, "e")]
+
+
+def test_all_stages(spark):
+    blocks = spark.createDataFrame([("m", 0, 0, "plain"), ("m", 0, 1, "(1)"), ("m", 0, 2, "Ã©t"), ("m", 1, 0, None), ("m", 1, 1, "gone")], "manual string, page_idx int, block_idx int, translation string")
+    answers = spark.createDataFrame([("m", 'x {"remove": ["1-1", "bad", "9-9"], "corrections": {"0-0": "Better", "1-1": "never", "7-7": "no block"}}'), ("m", None)], "manual string, answer string")
+    out, figures = cleanup.clean(blocks, answers, fix_text)
+    assert rows(out, "page_idx", "block_idx") == [("m", 0, 0, "Better"), ("m", 0, 1, "ét"), ("m", 1, 0, None)]
+    assert cleanup.result_of(figures) == cleanup.CleanupResult(True, 5, 3, 1, 1, 1, 1, 1)
+    assert not cleanup.result_of(figures.selectExpr("raise_error('no') AS original")).success
+
+
+def test_pictures_and_counts(spark):
+    def painter(requests):
+        return [{"doc": r["doc"], "page_num": r["page_num"], "mime": "x", "image": b"j" * 5 if r.get("quality") == 95 else b"p" * (11_000_000 if r["page_num"] else 3)} for r in requests]
+
+    pages = spark.createDataFrame([("d", 0, 500.0, 700.0), ("d", 1, 500.0, 700.0)], "doc string, page_num int, width double, height double")
+    got = providers.pictures(pages, painter).select("page_num", F.length("image").alias("n")).collect()
+    assert sorted((r.page_num, r.n) for r in got) == [(0, 3), (1, 5)]
+    docs = spark.createDataFrame([("a",), ("bcd",)], "doc string")
+    assert rows(providers.page_counts(docs, lambda rs: [{"doc": r["doc"], "n_pages": len(r["doc"])} for r in rs]), "doc") == [("a", 1), ("bcd", 3)]
+
+
+def test_cuts_are_deleted_and_shared(spark, tmp_path):
+    cut = session.cut(spark.range(3))
+    assert cut.count() == 3
+    folder = session.cuts_dir(spark).removeprefix("file://")
+    assert os.path.isdir(folder)
+    session.drop_cuts(spark)
+    assert not os.path.isdir(folder)
 
 
 def test_providers(spark):

@@ -15,7 +15,7 @@ def run(df, name, mode):
 
 def source(spark, tmp_path, times):
     rows = [("a" if i % 2 else "b", t, i) for i, t in enumerate(times)]
-    df = spark.createDataFrame(rows, "k string, t int, i int").select("k", F.timestamp_seconds("t").alias("ts"), "i")
+    df = spark.createDataFrame(rows, "k string, t int, i int").select("k", F.timestamp_seconds(F.col("t") + 1_700_000_000).alias("ts"), "i")
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
     return df, spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
 
@@ -35,5 +35,5 @@ def test_latest_stream(spark, tmp_path):
 def test_debounce_stream(spark, tmp_path):
     df, stream = source(spark, tmp_path, [0, 0, 4, 5, 60, 61, 100_000, 100_000])
     got = run(streams.debounce_stream(stream, "k", "ts", "i", "10 seconds", "1 second"), "debounced", "append")
-    expected = {(r.k, r.i, r.n) for r in events.debounce(df.where("i < 6"), "k", "ts", "i", "10 seconds").collect()}
+    expected = {(r.k, r.i, r.n) for r in events.debounce(df.where("i < 6"), "k", "ts", "i", 10).collect()}
     assert {(r.k, r.i, r.n) for r in got.collect()} == expected
