@@ -10,17 +10,21 @@ from __future__ import annotations
 import json
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 QUOTE, BACKSLASH, COLON, COMMA = 0x22, 0x5C, 0x3A, 0x2C
+_NUMBER = r"^-?(?:0|[1-9][0-9]*)(?:[.][0-9]+)?(?:[eE][+-]?[0-9]+)?$"
 OPEN_OBJECT, CLOSE_OBJECT, OPEN_ARRAY, CLOSE_ARRAY = 0x7B, 0x7D, 0x5B, 0x5D
 
 
 def unwrap(body: str | None) -> bytes | None:
     """UTF-8 bytes of a readable JSON body, string-encoded bodies unwrapped; None if it cannot be read.
 
-    This is the exact check: a truncated or otherwise invalid body gives nothing.
+    This is the exact check: a truncated or otherwise invalid body gives nothing.  A string within a string is
+    shorter, so unwrapping ends however deep it goes.
     """
-    for _ in range(4):
+    while True:
         if body is None or not body.strip():
             return None
         try:
@@ -30,7 +34,6 @@ def unwrap(body: str | None) -> bytes | None:
         if not isinstance(value, str):
             return body.encode("utf-8", "surrogatepass") if isinstance(value, (dict, list)) else None
         body = value
-    return None
 
 
 def _escaped(buf: np.ndarray) -> np.ndarray:
@@ -58,7 +61,7 @@ class StructuralIndex:
     """
 
     def __init__(self, bodies: list[bytes]):
-        self.n_bodies = len(bodies)
+        self._solid = self._slashes = None
         sizes = np.array([len(b) for b in bodies], dtype=np.int64)
         ends = np.cumsum(sizes + 1)
         self.begin = ends - sizes - 1
@@ -159,14 +162,73 @@ class StructuralIndex:
             hi[sel] = np.minimum(comma, self.end[owner[sel]])
         return owner, lo, hi
 
-    def elements(self, container: int) -> list[bytes]:
-        """Raw spans of the elements of one array."""
-        lo, hi = int(self.start[container]) + 1, int(self.end[container])
-        at = self._commas[int(self.depth[container])]
-        cuts = at[np.searchsorted(at, lo) : np.searchsorted(at, hi)]
-        edges = [lo - 1, *cuts.tolist(), hi]
-        spans = [self.raw[a + 1 : b].strip() for a, b in zip(edges, edges[1:])]
-        return [] if spans == [b""] else spans
-
-    def span(self, start: int, end: int) -> bytes:
-        return self.raw[int(start) : int(end)].strip()
+    def elements(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Owner, position and span (start, end) of the elements of arrays; an empty array has none."""
+        out: list[tuple[np.ndarray, ...]] = []
+        for d in np.unique(self.depth[which]) if len(which) else []:
+            own = which[self.depth[which] == d]
+            at = self._commas[int(d)]
+            first = np.searchsorted(at, self.start[own])
+            count = np.searchsorted(at, self.end[own]) - first + 1
+            owner = np.repeat(own, count)
+            pos = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            comma = np.append(at, 0)
+            k = np.repeat(first, count) + pos
+            lo = np.where(pos == 0, self.start[owner], comma[np.minimum(np.maximum(k - 1, 0), len(at))]) + 1
+            hi = np.where(pos == np.repeat(count, count) - 1, self.end[owner], comma[np.minimum(k, len(at))])
+            lo, hi = self.trimmed(lo, hi)
+            keep = lo < hi
+            out.append((owner[keep], pos[keep], lo[keep], hi[keep]))
+        if not out:
+            return tuple(np.zeros(0, dtype=np.int64) for _ in range(4))
+        owner, pos, lo, hi = (np.concatenate(x) for x in zip(*out))
+        order = np.lexsort((pos, owner))
+        return owner[order], pos[order], lo[order], hi[order]
+
+    def trimmed(self, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Spans without white space at both ends; blank ones are empty."""
+        if self._solid is None:
+            self._solid = np.flatnonzero((self.buf != 0x20) & (self.buf != 0x0A) & (self.buf != 0x0D) & (self.buf != 0x09))
+        solid = self._solid
+        first, last = np.searchsorted(solid, lo), np.searchsorted(solid, hi) - 1
+        some = first <= last
+        return np.where(some, solid[np.minimum(first, len(solid) - 1)], lo), np.where(some, solid[np.maximum(last, 0)] + 1, lo)
+
+    def raw_texts(self, lo: np.ndarray, hi: np.ndarray) -> pa.Array:
+        """The bytes of spans, as they stand."""
+        size = hi - lo
+        ends = np.cumsum(size)
+        data = self.buf[np.repeat(lo - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        offsets = np.append(0, ends).astype(np.int64)
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lo), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))]).cast(pa.large_string(), safe=False)
+
+    def texts(self, lo: np.ndarray, hi: np.ndarray) -> pa.Array:
+        """Values of spans as strings: strings read, null and empty spans as null, anything else as its JSON text.
+
+        Only strings with a backslash are read one by one.
+        """
+        lo, hi = self.trimmed(lo, hi)
+        if not len(lo):
+            return pa.array([], pa.string())
+        quoted = (self.buf[lo] == QUOTE) & (hi > lo)
+        own = self.raw_texts(lo + quoted, hi - quoted)
+        null = pc.and_(pc.or_(pc.equal(own, "null"), pc.equal(own, "")), pa.array(~quoted))
+        if self._slashes is None:
+            self._slashes = np.append(0, np.cumsum(self.buf == BACKSLASH))
+        at = np.flatnonzero(quoted & (self._slashes[hi] > self._slashes[lo]))
+        if len(at):
+            read = [json.loads(self.raw[a:b]).encode("utf-8", "replace").decode() for a, b in zip(lo[at].tolist(), hi[at].tolist())]
+            mask = np.zeros(len(lo), dtype=bool)
+            mask[at] = True
+            own = pc.replace_with_mask(own, pa.array(mask), pa.array(read, pa.large_string()))
+        return pc.if_else(null, pa.scalar(None, pa.large_string()), own).cast(pa.string())
+
+    def numbers(self, lo: np.ndarray, hi: np.ndarray) -> pa.Array:
+        """Values of spans as doubles; null for what is no number."""
+        lo, hi = self.trimmed(lo, hi)
+        own = self.raw_texts(lo, hi)
+        own = pc.if_else(pc.match_substring_regex(own, _NUMBER), own, pa.scalar(None, own.type))
+        try:
+            return own.cast(pa.float64())
+        except pa.ArrowInvalid:  # out of range
+            return pa.array([None if v is None else float(v) for v in own.to_pylist()], pa.float64())

@@ -638,7 +638,16 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def p6_tables(spark: SparkSession, d: str) -> DataFrame:
+    """All related tables in one frame, told apart by kind."""
     return nested.flatten_manuals(table(spark, d, "manual_raw"))
 
 
+def _related(name: str) -> Query:
+    return lambda spark, d: nested.manual_table(table(spark, d, "manual_raw"), name)
+
+
+for _name in nested.TABLES:
+    QUERIES[f"p6_{_name}"] = _related(_name)
+
+
 __all__ = ["ORACLES", "QUERIES"]

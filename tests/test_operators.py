@@ -242,7 +242,74 @@ def test_nested_manuals(spark):
     values = {(r.raw_id, r.kind, r.block_pos): r for r in nested.flatten_manuals(df).collect()}
     assert values[1, "block", 0].text == 'q"[{\\' and values[1, "block", 0].bbox == [1.0, 2.0, 3.0, 4.0]
     assert values[1, "block", 2].text is None and values[1, "segment", 0].end == 2 and values[1, "link", -1].url == "u"
-    assert nested.flatten_manuals(df.limit(0)).count() == 0
+    assert nested.flatten_manuals(df.limit(0)).count() == 0 and nested.manual_table(df.limit(0), "blocks").count() == 0
+
+
+def brute_tables(value):
+    """Tables of one body by walking parsed JSON."""
+    out = {name: [] for name in nested.TABLES}
+    level = [value]
+    manual = None
+    while level and manual is None:
+        manual = next((x for x in level if isinstance(x, dict) and ("pages" in x or "meta" in x)), None)
+        level = [y for x in level for y in (x.values() if isinstance(x, dict) else x) if isinstance(y, (dict, list))]
+    if manual is None:
+        return out
+    listed = lambda x: [(0, x)] if isinstance(x, dict) else [(i, v) for i, v in enumerate(x) if isinstance(v, dict)] if isinstance(x, list) else []
+    text = lambda x: x if x is None or isinstance(x, str) else json.dumps(x, ensure_ascii=False)
+    number = lambda x: float(x) if isinstance(x, (int, float)) and not isinstance(x, bool) else None
+    metas = listed(manual.get("meta"))
+    meta = metas[-1][1] if metas else {}
+    out["manuals"].append(tuple(text(meta.get(k)) for k in nested.TABLES["manuals"][2]))
+    for _, m in metas:
+        tags = m.get("tags")
+        out["tags"] += [(i, text(t)) for i, t in (enumerate(tags) if isinstance(tags, list) else [(0, tags)]) if t is not None]
+        out["links"] += [(i, *(text(x.get(k)) for k in ("title", "url", "translated_url"))) for i, x in listed(m.get("blog_links"))]
+    for p, page in listed(manual.get("pages")):
+        out["pages"].append((p, text(page.get("image"))))
+        for b, block in listed(page.get("blocks")):
+            box = block.get("bbox")
+            box = [box.get(k) for k in nested.BOX] if isinstance(box, dict) else box
+            out["blocks"].append((p, b, text(block.get("text")), text(block.get("translation")), [number(v) for v in box] if isinstance(box, list) else None))
+            for _, layout in listed(block.get("layout")):
+                out["segments"] += [(p, b, i, *(None if number(x.get(k)) is None else int(x[k]) for k in ("start", "end"))) for i, x in listed(layout.get("segments"))]
+                out["vertices"] += [(p, b, i, number(x.get("x")), number(x.get("y"))) for i, x in listed(layout.get("vertices"))]
+            out["children"] += [(p, b, i, text(x.get("text")), text(x.get("translation"))) for i, x in listed(block.get("children"))]
+    return out
+
+
+def random_body(rng):
+    scalar = lambda: rng.choice([None, True, 3, -2.5e-3, "", 'a "q" \\\\ {[,:]}', "é\n鍵", [], [1, None], {"z": 1}])
+    some = lambda make: rng.choice([lambda: make(), lambda: [make() for _ in range(rng.randint(0, 3))], lambda: [make(), None, make()], lambda: None, scalar])()
+    pick = lambda d: {k: v for k, v in d.items() if rng.random() < 0.8}
+    vertex = lambda: pick({"x": rng.choice([0.5, 1, None, "7", 1e300]), "y": scalar()})
+    segment = lambda: pick({"start": rng.choice([0, 1.9, "2", None]), "end": rng.choice([7, 12345678901])})
+    child = lambda: pick({"text": scalar(), "translation": scalar()})
+    box = lambda: rng.choice([[0.1, 2, None, "x"], [], {"x": 1, "y": 2.5, "width": None}, None, "0.1"])
+    block = lambda: pick({"text": scalar(), "translation": scalar(), "bbox": box(), "layout": some(lambda: pick({"segments": some(segment), "vertices": some(vertex)})), "children": some(child)})
+    page = lambda: pick({"image": scalar(), "blocks": some(block)})
+    meta = lambda: pick({"manual_name": scalar(), "source": scalar(), "source_lang": "ja", "tags": rng.choice([["a", None, 1], [], "t", None]), "blog_links": some(lambda: pick({"title": scalar(), "url": "u", "translated_url": scalar()}))})
+    manual = {"meta": meta(), "pages": some(page)}
+    return rng.choice([lambda: manual, lambda: {"data": [None, manual]}, lambda: [{"x": {"manual": manual}}]])()
+
+
+def test_related_tables_against_brute_force(spark):
+    import random
+
+    rng = random.Random(4)
+    values = [random_body(rng) for _ in range(150)]
+    bodies = [json.dumps(v, ensure_ascii=False).replace('"blocks": ', rng.choice(['"blocks": ', ' \n"blocks"\t:\n '])) for v in values]
+    deep = json.dumps(values[0])
+    for _ in range(7):  # however many layers of strings
+        deep = json.dumps(deep)
+    df = spark.createDataFrame([*enumerate(bodies), (999, deep), (1000, '{"pages": [{"image": "\\ud800"}]}')], "raw_id long, body string").repartition(3)
+    wide = nested.flatten_manuals(df).cache()
+    for name, (kind, keys, fields) in nested.TABLES.items():
+        expected = [(i, *r) for i, v in [*enumerate(values), (999, values[0])] for r in brute_tables(v)[name]]
+        got = [tuple(r) for r in nested.manual_table(df, name).where("raw_id < 1000").collect()]
+        assert sorted(map(repr, got)) == sorted(map(repr, expected)), name
+        same = wide.where((F.col("kind") == kind) & (F.col("raw_id") < 1000)).select("raw_id", *keys, *fields)
+        assert sorted(repr(tuple(r)) for r in same.collect()) == sorted(map(repr, got))
 
 
 def test_manual_round_trip(spark, tmp_path):
