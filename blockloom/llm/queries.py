@@ -16,6 +16,10 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unify.look_alike_pairs(table(spark, sf_dir, "translations"))
 
 
+def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unify.look_alike_classes(table(spark, sf_dir, "translations"))
+
+
 def p1_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unify.unified_translations(table(spark, sf_dir, "translations"))
 
@@ -40,6 +44,10 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated.repeated_lines(table(spark, sf_dir, "translations"), table(spark, sf_dir, "meta"))
 
 
+def p5_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated.near_repeated_lines(table(spark, sf_dir, "translations"), table(spark, sf_dir, "meta"))
+
+
 def p5_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated.without_repeated_lines(table(spark, sf_dir, "translations"), table(spark, sf_dir, "meta"))
 
@@ -71,12 +79,14 @@ def p10_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
+    "p1_classes": p1_classes,
     "p1_unified": p1_unified,
     "p2_found": p2_found,
     "p3_found": p3_found,
     "p3_restored": p3_restored,
     "p4_found": p4_found,
     "p5_found": p5_found,
+    "p5_near": p5_near,
     "p5_texts": p5_texts,
     "p7_found": p7_found,
     "p7_repaired": p7_repaired,

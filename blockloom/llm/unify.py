@@ -4,7 +4,8 @@ Two stages.  A character stage removes invisible characters and unifies width, c
 hyphens; it leaves everything that can be seen: case, accents, voicing marks, circled and raised digits, line breaks.
 A token stage repairs look-alike letters script-aware: the dominant script of a token is that of its letters without a
 look-alike; only tokens of mixed scripts (or tokens made of look-alikes wholly, in a value of another script) are
-substituted, and only if the result is a word of the corpus vocabulary, which is counted over all values.
+substituted, each where it stands, and only if the result is a word of the corpus vocabulary.  The vocabulary holds the
+words of all values; of a suspicious value those outside its tokens of mixed scripts, after the character stage.
 
 One vectorised pass over code points hashes every value and every word and finds the values with a suspicious character;
 only those are worked on as strings.  Defined results: null stays null; blank values become blank
@@ -67,6 +68,26 @@ _kanji_token = re.compile(f"[一-鿿々]*(?:[一-鿿][{''.join(TO_KANJI)}]|[{''.
 _hira_token = re.compile(f"(?<![{KATAKANA}])[ぁ-ん]*[{''.join(TO_HIRAGANA)}][ぁ-ん{''.join(TO_HIRAGANA)}]*(?![{KATAKANA}])")
 
 
+#: For each kind of token its pattern, the run of characters it lies in, and what a run must hold: patterns are only tried
+#: on runs that may match, as trying them at each place of a long run takes quadratic time.
+_runs = {
+    p: (re.compile(f"[{run}]+"), re.compile(f"[{need}]"))
+    for p, run, need in (
+        (_foreign_token, f"A-Za-zÀ-ɏ{FOREIGN}", FOREIGN),
+        (_kata_token, KATAKANA + _OTHERS, _OTHERS),
+        (_kanji_token, "一-鿿々" + "".join(TO_KANJI), "".join(TO_KANJI)),
+        (_hira_token, "ぁ-ん" + "".join(TO_HIRAGANA), "".join(TO_HIRAGANA)),
+    )
+}
+
+
+def _tokens(pattern: re.Pattern, s: str) -> Iterator[re.Match]:
+    run, need = _runs[pattern]
+    for r in run.finditer(s):
+        if need.search(r[0]):
+            yield from pattern.finditer(s, r.start(), min(len(s), r.end() + 1))
+
+
 def unify_characters(s: str) -> str:
     """The character stage."""
     s = _invisible.sub("", s)
@@ -85,27 +106,42 @@ def _latin(token: str, context: str) -> str | None:
     return "".join(LATIN_LOOKS.get(c, c) for c in token)
 
 
-def token_repairs(s: str) -> list[tuple[str, str]]:
-    """Tokens of mixed scripts and what they become if that is a word."""
-    out: dict[str, str] = {}
+@lru_cache(maxsize=50_000)
+def candidate_tokens(s: str) -> tuple[tuple[int, int, str], ...]:
+    """(start, end, what it becomes) of each token of mixed scripts; its repair counts if that is a word."""
     own = any(c.isalpha() and c not in LATIN_LOOKS for c in _foreign.findall(s))
     context = "latin" if not own and _ascii_letter.search(s) else "other"
-    for m in _foreign_token.finditer(s):
+    out: list[tuple[int, int, str]] = []
+    for m in _tokens(_foreign_token, s):
         fixed = _latin(m[0], context)
         if fixed and fixed != m[0]:
-            out[m[0]] = fixed
+            out.append((*m.span(), fixed))
     for pattern, table in ((_kata_token, TO_KATAKANA), (_kanji_token, TO_KANJI), (_hira_token, TO_HIRAGANA)):
-        for m in pattern.finditer(s):
+        for m in _tokens(pattern, s):
             fixed = "".join(table.get(c, c) for c in m[0])
             if fixed != m[0]:
-                out.setdefault(m[0], fixed)
-    return sorted(out.items(), key=lambda x: (-len(x[0]), x[0]))
+                out.append((*m.span(), fixed))
+    return tuple(out)
 
 
-@lru_cache(maxsize=50_000)
-def repaired(s: str) -> tuple[str, tuple[tuple[str, str], ...]]:
-    base = unify_characters(s)
-    return base, tuple(token_repairs(base))
+def apply_repairs(s: str, words: set[str]) -> str:
+    """The value with the tokens repaired whose repair is one of the words, each in its place; the first of overlapping ones."""
+    out, end = [], 0
+    for a, b, fixed in sorted((t for t in candidate_tokens(s) if t[2] in words), key=lambda t: t[0]):
+        if a >= end:
+            out += [s[end:a], fixed]
+            end = b
+    return "".join([*out, s[end:]])
+
+
+def clean_part(s: str) -> str:
+    """The value without its tokens of mixed scripts: what it says about the vocabulary."""
+    spans = [m.span() for m in _tokens(_foreign_token, s)] + [(a, b) for a, b, _ in candidate_tokens(s)]
+    out, end = [], 0
+    for a, b in sorted(spans):
+        out += [s[end:a], "\0"]
+        end = max(end, b)
+    return "".join([*out, s[end:]])
 
 
 @cache
@@ -180,8 +216,8 @@ def text_hash(texts: list[str]) -> np.ndarray:
     return hash_runs(*code_points(pa.array(texts, pa.string())))
 
 
-_PAIRS = pa.list_(pa.struct([("tok", pa.string()), ("sub", pa.string()), ("word", pa.int64())]))
-_SEEN = "row_id long, page long, is_text boolean, canon long, canon2 int, value long, base string, pairs array<struct<tok:string,sub:string,word:long>>, word long"
+_PAIRS = pa.list_(pa.struct([("sub", pa.string()), ("word", pa.int64())]))
+_SEEN = "row_id long, page long, is_text boolean, canon long, canon2 int, value long, base string, pairs array<struct<sub:string,word:long>>, word long"
 _SCHEMA = pa.schema(
     [("row_id", pa.int64()), ("page", pa.int64()), ("is_text", pa.bool_()), ("canon", pa.int64()), ("canon2", pa.int32()), ("value", pa.int64()), ("base", pa.string()), ("pairs", _PAIRS), ("word", pa.int64())]
 )
@@ -200,17 +236,19 @@ def _scan_field(part: pa.RecordBatch, name: str) -> Iterator[pa.RecordBatch]:
     base: list[str | None] = [None] * len(present)
     pairs: list[list[dict] | None] = [None] * len(present)
     at = np.flatnonzero(odd)
+    clean = np.zeros(0, dtype=np.int64)
     if len(at):
-        texts = column.take(pa.array(at)).to_pylist()
-        done = [repaired(s) for s in texts]
-        subs = [sub.lower() for _, p in done for _, sub in p]
-        word = iter(text_hash(subs).tolist() if subs else [])
-        for i, (b, p) in zip(at.tolist(), done):
+        bases = [unify_characters(v) for v in column.take(pa.array(at)).to_pylist()]
+        subs = [dict.fromkeys(fixed for _, _, fixed in candidate_tokens(b)) for b in bases]
+        lower = [sub.lower() for found in subs for sub in found]
+        word = iter(text_hash(lower).tolist() if lower else [])
+        for i, b, found in zip(at.tolist(), bases, subs):
             base[i] = b
-            pairs[i] = [{"tok": tok, "sub": sub, "word": next(word)} for tok, sub in p]
+            pairs[i] = [{"sub": sub, "word": next(word)} for sub in found]
             visible[i] = bool(b.strip(" \n\r\t"))
-        bases = [base[i] for i in at.tolist()]
         canon[at], second[at] = text_hash(bases), hash_runs(*code_points(pa.array(bases, pa.string())), 7)
+        points_, offsets_ = code_points(pa.array([clean_part(b) for b in bases], pa.string()))
+        clean = word_hashes(points_, offsets_, np.ones(len(bases), dtype=bool))
     keep = pa.array(present & visible)
     n = len(present)
     yield pa.RecordBatch.from_arrays(
@@ -220,7 +258,7 @@ def _scan_field(part: pa.RecordBatch, name: str) -> Iterator[pa.RecordBatch]:
         ],
         schema=_SCHEMA,
     ).filter(keep)
-    words = word_hashes(points, offsets, present & ~odd)
+    words = np.union1d(word_hashes(points, offsets, present & ~odd), clean)
     nulls = [pa.nulls(len(words), f.type) for f in _SCHEMA]
     yield pa.RecordBatch.from_arrays([*nulls[:-1], pa.array(words)], schema=_SCHEMA)
 
@@ -243,12 +281,14 @@ def scan(translations: DataFrame) -> DataFrame:
     return cut(src.mapInArrow(_scan, _SEEN))
 
 
-def _rehash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _repair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        points, offsets = code_points(batch.column("form"))
+        forms = [base if not words else apply_repairs(base, set(words)) for base, words in zip(batch.column("base").to_pylist(), batch.column("words").to_pylist())]
+        form = pa.array(forms, pa.string())
+        points, offsets = code_points(form)
         second = (hash_runs(points, offsets, 7) >> 32).astype(np.int32)
         yield pa.RecordBatch.from_arrays(
-            [*(batch.column(c) for c in ("row_id", "page", "is_text", "value", "form")), pa.array(hash_runs(points, offsets)), pa.array(second)],
+            [*(batch.column(c) for c in ("row_id", "page", "is_text", "value")), form, pa.array(hash_runs(points, offsets)), pa.array(second)],
             names=["row_id", "page", "is_text", "value", "form", "canon", "canon2"],
         )
 
@@ -258,13 +298,29 @@ def repaired_values(seen: DataFrame) -> DataFrame:
     odd = seen.where("base IS NOT NULL")
     pairs = odd.where("size(pairs) > 0").select("row_id", "is_text", F.explode("pairs").alias("p")).select("row_id", "is_text", "p.*")
     words = seen.where("word IS NOT NULL").select("word").distinct()
-    accepted = pairs.join(words, "word", "left_semi").groupBy("row_id", "is_text").agg(F.collect_set(F.struct("tok", "sub")).alias("repairs"))
-    longest_first = F.expr("array_sort(repairs, (a, b) -> length(b.tok) - length(a.tok))")
-    form = F.when(F.col("repairs").isNull(), F.col("base")).otherwise(
-        F.aggregate(longest_first, F.col("base"), lambda acc, p: F.replace(acc, p["tok"], p["sub"]))
-    )
-    joined = odd.join(accepted, ["row_id", "is_text"], "left").select("row_id", "page", "is_text", "value", form.alias("form"))
-    return joined.mapInArrow(_rehash, "row_id long, page long, is_text boolean, value long, form string, canon long, canon2 int")
+    accepted = pairs.join(words, "word", "left_semi").groupBy("row_id", "is_text").agg(F.collect_set("sub").alias("words"))
+    joined = odd.join(accepted, ["row_id", "is_text"], "left").select("row_id", "page", "is_text", "value", "base", "words")
+    return joined.mapInArrow(_repair, "row_id long, page long, is_text boolean, value long, form string, canon long, canon2 int")
+
+
+def _several(translations: DataFrame) -> DataFrame:
+    """(page, is_text, canon, canon2, value, row_id) of the values of groups with more than one form."""
+    seen = scan(translations)
+    key = ["page", "is_text", "canon", "canon2"]
+    plainly = seen.where("value IS NOT NULL AND base IS NULL").select(*key, "value", "row_id")
+    values = plainly.unionByName(repaired_values(seen).select(*key, "value", "row_id")).where("page IS NOT NULL")
+    groups = values.groupBy(*key).agg(F.min("value").alias("lo"), F.max("value").alias("hi")).where("lo <> hi").select(*key)
+    return cut(values.join(groups, key, "left_semi"))
+
+
+def look_alike_classes(translations: DataFrame) -> DataFrame:
+    """(row_id, field, class_id, form_id): a row per value of a class that has more than one form on its page.
+
+    Values of one class look the same, values of one form are equal; linear in the rows however often a page repeats them.
+    """
+    several = _several(translations)
+    field = F.when(F.col("is_text"), "text").otherwise("translation").alias("field")
+    return several.select("row_id", field, F.xxhash64("page", "is_text", "canon", "canon2").alias("class_id"), F.col("value").alias("form_id"))
 
 
 def look_alike_pairs(translations: DataFrame) -> DataFrame:
@@ -273,12 +329,7 @@ def look_alike_pairs(translations: DataFrame) -> DataFrame:
     The pairs are the result asked for; groups are found by hashed keys with partial aggregation, and only rows of
     groups with more than one form are joined.  Rows without manual or page are on no page.
     """
-    seen = scan(translations)
-    key = ["page", "is_text", "canon", "canon2"]
-    plainly = seen.where("value IS NOT NULL AND base IS NULL").select(*key, "value", "row_id")
-    values = plainly.unionByName(repaired_values(seen).select(*key, "value", "row_id")).where("page IS NOT NULL")
-    groups = values.groupBy(*key).agg(F.min("value").alias("lo"), F.max("value").alias("hi")).where("lo <> hi").select(*key)
-    several = cut(values.join(groups, key, "left_semi"))
+    several, key = _several(translations), ["page", "is_text", "canon", "canon2"]
     a, b = several.alias("a"), several.alias("b")
     same = " AND ".join(f"a.{c} = b.{c}" for c in key)
     met = a.join(b, F.expr(f"{same} AND a.value <> b.value AND a.row_id < b.row_id"))

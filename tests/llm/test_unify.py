@@ -32,6 +32,22 @@ def test_words_decide(spark):
     assert got[3] == ("привет", "мир") and got[4][0] == "カタロ口"
 
 
+def test_repairs_in_their_place(spark):
+    """A token that is accepted changes no token that holds it; words of suspicious values count."""
+    rows = [(1, "m", 0, "x", "bа bаngq end"), (2, "m", 0, "y", "ba end"), (3, "m", 0, "z", "zоrble"), (4, "m", 0, "w", "zorble\u200b"), (5, "m", 0, "v", "qоx and zorble\u200b qо")]
+    got = {r.row_id: r.translation for r in unify.unified_translations(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got[1] == "ba bаngq end" and got[3] == got[4] == "zorble"
+    assert got[5] == "qоx and zorble qо"  # parts of mixed tokens are no words
+    assert pairs(spark, rows) == {(3, 4, "translation")}
+
+
+def test_classes(spark):
+    rows = [(i, "m", 0, ("ガード", "ｶﾞｰﾄﾞ", "plain")[i % 3], None) for i in range(30)]
+    got = unify.look_alike_classes(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert len(got) == 20 and len({r.class_id for r in got}) == 1 and len({r.form_id for r in got}) == 2
+    assert len(pairs(spark, rows)) == 100
+
+
 def test_edges(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert unify.look_alike_pairs(empty).count() == 0 and unify.unified_translations(empty).count() == 0
