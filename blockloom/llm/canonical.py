@@ -1,14 +1,14 @@
 """Mapping of freely typed values to a canonical list.
 
-Values are deduplicated and normalised (width, case, punctuation, wrappers, abbreviated last words), candidates come
-from an inverted index of character n-grams, are scored by IDF-weighted cosine, and the best is accepted above a
-threshold and with a margin to the next entry.  The index also holds decoys, all combinations of the words that
-entries have at the same place, so that a product the list lacks is nearest to its decoy and stays unmatched.  An exact
-check follows: equal digits, and few edits to some order of the entry's words.
+Values are deduplicated and normalised (width, case, punctuation, wrappers), candidates come from an inverted index of
+character n-grams, are scored by IDF-weighted cosine, and the best is accepted above a threshold and with a margin to the
+next entry.  An exact check follows: equal digits, and few edits to some order of the entry's words.  A name that other
+words of the list explain with fewer edits, put together as no entry has them, is that of a product that the list lacks
+and is unmatched; tags are no combinations of words.
 
 Defined results: null and blank values and exact entries are no cases; an empty or null array has none; ties between
 entries are 'unmatched'; repeated rows each get their result; empty tables give empty tables.  The list is fixed and
-small: its size is checked.
+small: its size is checked, and the index is made of it once.
 """
 
 from __future__ import annotations
@@ -18,7 +18,6 @@ import re
 import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import permutations, product
 from os.path import commonprefix
 
 import numpy as np
@@ -31,14 +30,14 @@ THRESHOLD = 0.28
 MARGIN = 0.02
 #: Edits allowed for each started number of characters, and at most.
 CHARS_PER_EDIT, MAX_EDITS = 6, 3
-#: Largest list that is sent to all tasks, and most decoys made of it.
-MAX_LIST, MAX_DECOYS = 20_000, 100_000
+#: Largest list that is sent to all tasks.
+MAX_LIST = 20_000
 
 # Words around a name or a tag that are not part of it.
 WRAPPERS = {
     "name": (
         "取扱説明書", "説明書", "マニュアル", "instruction booklet", "instruction manual", "instructions", "booklet",
-        "manual", "scanned", "scan", "(jp)", "(en)", "jp", "the",
+        "manual", "scanned", "scan", "(jp)", "(en)", "jp", "the", "取説", "ガイド", "handbook", "leaflet", "guide", "pdf",
     ),
     "tags": ("tag:", "#"),
 }
@@ -82,29 +81,55 @@ def grams(parts: list[str]) -> Counter:
     return out
 
 
+def _rows(word: str, typed: str, row: list[int], most: int) -> list[int] | None:
+    """Edits (with transpositions) of each beginning of typed after one more word, from those before it; None if all are too many."""
+    before: list[int] | None = None
+    for i, x in enumerate(word):
+        new = [row[0] + 1]
+        for j, y in enumerate(typed, 1):
+            d = min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y))
+            if before and j > 1 and x == typed[j - 2] and word[i - 1] == y:
+                d = min(d, before[j - 2] + 1)
+            new.append(d)
+        if min(new) > most:
+            return None
+        before, row = row, new
+    return row
+
+
 def edits(a: str, b: str, most: int) -> int:
     """Edit distance with transpositions; most + 1 if it is more."""
-    if abs(len(a) - len(b)) > most:
+    row = _rows(a, b, list(range(len(b) + 1)), most) if abs(len(a) - len(b)) <= most else None
+    return most + 1 if row is None else min(row[-1], most + 1)
+
+
+def edits_of_words(form: tuple[str, ...], typed: str, most: int) -> int:
+    """Least edits between typed and the words of a form in any order, spaces aside; most + 1 if it is more.
+
+    Exact for any number of words: a state is a set of words that are used, and the edits of each beginning of typed.
+    """
+    if abs(sum(map(len, form)) - len(typed)) > most:
         return most + 1
-    before, last = None, list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        row = [i]
-        for j, y in enumerate(b, 1):
-            d = min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y))
-            if before and i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                d = min(d, before[j - 2] + 1)
-            row.append(d)
-        if min(row) > most:
+    states: dict[int, list[int]] = {0: list(range(len(typed) + 1))}
+    for _ in form:
+        new: dict[int, list[int]] = {}
+        for used, row in states.items():
+            for k, word in enumerate(form):
+                if not used >> k & 1:
+                    got = _rows(word, typed, row, most)
+                    if got is not None:
+                        key = used | 1 << k
+                        new[key] = list(map(min, new[key], got)) if key in new else got
+        states = new
+        if not states:
             return most + 1
-        before, last = last, row
-    return last[-1]
+    return min(states[(1 << len(form)) - 1][-1], most + 1)
 
 
 class Index:
-    """Inverted n-gram index over the forms of a list's entries and over decoys.
+    """Inverted n-gram index over the forms of a list's entries.
 
-    A form is a tuple of words with the entry it stands for, or None for a decoy and for a shortened form that several
-    entries share.
+    A form is a tuple of words with the entry it stands for, or None for a shortened form that several entries share.
     """
 
     def __init__(self, entries: list[tuple[str, list[list[str]]]], field: str):
@@ -113,28 +138,17 @@ class Index:
         forms: dict[tuple[str, ...], str | None] = {}
 
         def put(form: tuple[str, ...], ref: str | None) -> None:
-            key = tuple(form)
-            forms[key] = ref if key not in forms or forms[key] == ref else None
+            forms[form] = ref if form not in forms or forms[form] == ref else None
 
-        variants = max((len(v) for _, v in entries), default=0)
         short: dict[tuple[str, ...], set[str]] = defaultdict(set)
-        decoys: set[tuple[str, ...]] = set()
-        for k in range(variants):
-            own = [(ref, tuple(v[k])) for ref, v in entries if k < len(v) and v[k]]
-            for ref, form in own:
+        for ref, ways in entries:
+            for form in (tuple(w) for w in ways if w):
                 put(form, ref)
                 if optional_first and len(form) > 2:
                     short[form[1:]].add(ref)
-            if optional_first:
-                places = [sorted({f[i] for _, f in own if len(f) >= 3}) for i in range(3)]
-                if math.prod(map(len, places)) <= MAX_DECOYS:
-                    decoys.update(product(*places))
-                    decoys.update(product(*places[1:]))
         for form, refs in short.items():
             if form not in forms:
                 forms[form] = next(iter(refs)) if len(refs) == 1 else None
-        for form in decoys:
-            forms.setdefault(form, None)
         self.forms = list(forms)
         self.refs = [forms[f] for f in self.forms]
         counts = [grams(list(f)) for f in self.forms]
@@ -150,56 +164,75 @@ class Index:
         self.postings = {g: (np.array([i for i, _ in p]), np.array([w for _, w in p])) for g, p in postings.items()}
         self.letters = [Counter("".join(f)) for f in self.forms]
         self.known = sorted({w for f in self.forms for w in f})
+        self.vocabulary = set(self.known)
 
-    def expand(self, parts: list[str], value: str) -> list[list[str]]:
-        """The words, with each way to complete one that is written with a full stop."""
-        cut = {w for w in re.findall(r"([^\W_]+)\.", _spaced(value)) if len(w) >= 3 and w not in self.known}
-        ways = [[k for k in self.known if k.startswith(w)] or [w] if w in cut else [w] for w in parts]
-        return [list(way) for way in product(*ways)] if math.prod(map(len, ways)) <= 64 else [parts]
+    def candidates(self, parts: list[str]) -> list[tuple[int, float]]:
+        """Forms that share n-grams with the words, with their cosine, the best first; those below the threshold are none."""
+        vector = {g: t * self.idf.get(g, self.rare) for g, t in grams(parts).items()}
+        norm = math.sqrt(sum(w * w for w in vector.values())) or 1.0
+        lists = [(self.postings[g], w / norm) for g, w in vector.items() if g in self.postings]
+        if not lists:
+            return []
+        which, at = np.unique(np.concatenate([ids for (ids, _), _ in lists]), return_inverse=True)
+        score = np.bincount(at, weights=np.concatenate([weights * w for (_, weights), w in lists]))
+        keep = np.flatnonzero(score >= THRESHOLD)
+        return [(int(which[i]), float(score[i])) for i in keep[np.argsort(-score[keep], kind="stable")]]
 
     def match(self, value: str) -> tuple[str, float]:
         """The entry meant, or 'unmatched', and the cosine of the best candidate."""
         parts = words(value, self.field)
         if not parts:
             return UNMATCHED, 0.0
-        best = [self._nearest(way) for way in self.expand(parts, value)]
-        fewest = min(away for away, _, _ in best)
-        refs = {ref for away, _, ref in best if away == fewest}
-        return refs.pop() if len(refs) == 1 else UNMATCHED, max(score for _, score, _ in best)
-
-    def _nearest(self, parts: list[str]) -> tuple[int, float, str]:
-        vector = {g: t * self.idf.get(g, self.rare) for g, t in grams(parts).items()}
-        norm = math.sqrt(sum(w * w for w in vector.values())) or 1.0
-        score = np.zeros(len(self.forms))
-        for g, w in vector.items():
-            if g in self.postings:
-                at, weight = self.postings[g]
-                score[at] += weight * (w / norm)
-        if not len(score):
-            return MAX_EDITS + 1, 0.0, UNMATCHED
-        top = np.argsort(-score, kind="stable").tolist()
-        # few edits decide between candidates of like score: the order of words and typed-over spaces don't count
+        # a word written with a full stop may be cut short: it stands for any word of the candidate that begins so
+        cut = [w for w in parts if len(w) >= 3 and w not in self.vocabulary and re.search(rf"(?<![^\W_]){re.escape(w)}[.]", _spaced(value))]
+        found = self.candidates(parts)
         typed = "".join(parts)
-        most = min(MAX_EDITS, 1 + (len(typed) - 1) // CHARS_PER_EDIT) if len(typed) > 2 else 0
-        own = Counter(typed)
-        best: list[tuple[int, float, str | None]] = []
-        for i in top:
-            if score[i] < THRESHOLD:
-                break
-            form = self.forms[i]
+        best: list[tuple[int, float, str | None, tuple[str, ...]]] = []
+        for i, score in found:
+            whole = self._completed(parts, cut, self.forms[i]) if cut else typed
+            most = min(MAX_EDITS, 1 + (len(whole) - 1) // CHARS_PER_EDIT) if len(whole) > 2 else 0
+            own, letters = Counter(whole), self.letters[i]
             # letters that only one side has need an edit each, in whatever order the words stand
-            if max((own - self.letters[i]).total(), (self.letters[i] - own).total()) > most:
+            if max((own - letters).total(), (letters - own).total()) > most or re.findall(r"\d", whole) != re.findall(r"\d", "".join(self.forms[i])):
                 continue
-            away = min(edits(typed, "".join(p), most) for p in permutations(form)) if len(form) <= 4 else edits(typed, "".join(form), most)
-            digits = re.findall(r"\d", typed) == re.findall(r"\d", "".join(form))
-            if away <= most and digits:
-                best.append((away, -float(score[i]), self.refs[i]))
+            away = edits_of_words(self.forms[i], whole, most)
+            if away <= most:
+                best.append((away, -score, self.refs[i], self.forms[i]))
         if not best:
-            return MAX_EDITS + 1, float(score[top[0]]), UNMATCHED
+            return UNMATCHED, found[0][1] if found else 0.0
         best.sort(key=lambda b: b[:2])
-        away, cosine, ref = best[0]
-        rivals = any(o[2] != ref and o[0] == away and cosine > o[1] - MARGIN for o in best[1:])
-        return away, -cosine, UNMATCHED if rivals or ref is None else ref
+        away, cosine, ref, form = best[0]
+        # cut words leave ties undecided, whatever the cosine
+        if ref is None or any(o[2] != ref and o[0] == away and (cut or cosine > o[1] - MARGIN) for o in best[1:]):
+            return UNMATCHED, -cosine
+        if away and not cut and self.field == "name" and self._explained(parts, form, away):
+            return UNMATCHED, -cosine
+        return ref, -cosine
+
+    @staticmethod
+    def _completed(parts: list[str], cut: list[str], form: tuple[str, ...]) -> str:
+        """The words joined, those cut short completed by a word of the form that begins so and isn't typed otherwise."""
+        left = [w for w in form if w not in parts]
+        out = []
+        for w in parts:
+            ends = [k for k in left if w in cut and k.startswith(w)]
+            if ends:
+                left.remove(ends[0])
+            out.append(ends[0] if ends else w)
+        return "".join(out)
+
+    def _explained(self, parts: list[str], form: tuple[str, ...], away: int) -> bool:
+        """Whether words of the list, not those of the form, explain the typed words with fewer edits than the form does."""
+        if len(parts) != len(form):
+            return False
+        total, words_ = 0, []
+        for w in parts:
+            best = (0, w) if w in self.vocabulary else min((edits(k, w, away), k) for k in self.known)
+            total += best[0]
+            words_.append(best[1])
+            if total >= away:
+                return False
+        return sorted(words_) != sorted(form)
 
 
 def _japanese_words(rows: list[dict]) -> dict[str, list[str]]:
@@ -249,12 +282,14 @@ def match_values(meta: DataFrame, product_list: DataFrame, tag_list: DataFrame)
     typed = meta.select("meta_id", F.lit("tags").alias("field"), F.posexplode("tags").alias("pos", "value")).withColumn("pos", F.col("pos").cast("long"))
     cases = names.unionByName(typed).where(F.col("value").rlike(r"(?U)\S"))
     exact = {"name": {p["name"] for p in products}, "tags": {t["tag_id"] for t in tags}}
+    made = {"name": Index(product_entries(products), "name"), "tags": Index(tag_entries(tags), "tags")}
+    shared = meta.sparkSession.sparkContext.broadcast((made, exact))  # a few forms an entry of lists of checked size
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = {"name": Index(product_entries(products), "name"), "tags": Index(tag_entries(tags), "tags")}
+        index, listed = shared.value
         for batch in batches:
             fields, values = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            found = [None if v in exact[f] else index[f].match(v)[0] for f, v in zip(fields, values)]
+            found = [None if v in listed[f] else index[f].match(v)[0] for f, v in zip(fields, values)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.string())], names=["field", "value", "ref_id"])
 
     spread = int(meta.sparkSession.conf.get("spark.sql.shuffle.partitions"))

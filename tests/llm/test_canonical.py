@@ -37,3 +37,29 @@ def test_entries_far_down_by_cosine():
     products = [{"ref_id": f"P{n}", "name": f"DL Gunborg Flute ver.{n}", "name_ja": "", "product_line": "DL"} for n in range(1, 60)]
     index = canonical.Index(canonical.product_entries(products), "name")
     assert index.match("DL Gunborg Flute ver.4 7")[0] == "P47"
+
+
+def test_products_that_the_list_lacks():
+    """A combination of words of the list that no entry has is not the entry next to it."""
+    products = [{"ref_id": "A", "name": "DL Gunborg Bolt", "name_ja": "", "product_line": "DL"}, {"ref_id": "B", "name": "DL Nebulax Belt", "name_ja": "", "product_line": "DL"}]
+    index = canonical.Index(canonical.product_entries(products), "name")
+    got = {v: index.match(v)[0] for v in ("DL Gunborg Bolt", "DL Gunborg Belt", "DL Gunborg Betl", "DL Gunborg Bolr", "dl nebulax belt", "DL Nebulax Bolt", "Neb. Belt", "DLGunborgBlot")}
+    assert got == {"DL Gunborg Bolt": "A", "DL Gunborg Belt": "unmatched", "DL Gunborg Betl": "unmatched", "DL Gunborg Bolr": "A", "dl nebulax belt": "B", "DL Nebulax Bolt": "unmatched", "Neb. Belt": "B", "DLGunborgBlot": "A"}
+
+
+def test_edits_of_words_in_any_order():
+    import random
+    from itertools import permutations
+
+    rng = random.Random(2)
+    for _ in range(60):
+        form = tuple("".join(rng.choice("abc") for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(1, 5)))
+        typed = list("".join(rng.sample(form, len(form))))
+        for _ in range(rng.randint(0, 2)):
+            typed[rng.randrange(len(typed))] = rng.choice("abcd")
+        typed = "".join(typed)
+        plain = min(canonical.edits("".join(p), typed, 3) for p in permutations(form))
+        got = canonical.edits_of_words(form, typed, 3)
+        assert plain <= got <= plain + 1 and (got == plain or plain > 0)  # letters swapped over a word's end are two edits
+    many = tuple("abcdefghij"[i] * 3 for i in range(9))  # more words than orders could be tried of
+    assert canonical.edits_of_words(many, "".join(reversed(many)), 3) == 0 and canonical.edits_of_words(many, "".join(reversed(many))[:-1] + "x", 3) == 1
