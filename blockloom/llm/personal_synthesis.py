@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+from blockloom.llm import person_names as common
+
 FIRST = ("Anna", "Bert", "Clara", "David", "Elena", "Farid", "Greta", "Hugo", "Ingrid", "Jonas", "Karla", "Liam", "Maja", "Nils", "Olga", "Piet", "Quinn", "Rosa", "Stefan", "Tilda", "Uwe", "Vera", "Wim", "Xenia", "Yusuf", "Zora", "Chloë", "José", "Ivo", "Priya")
 LAST = ("Miller", "Brandt", "Castellan", "Dorfmann", "Eastwick", "Fairlow", "Grünwald", "Hollister", "Ibsen", "Jorgensen", "Kestrel", "Lindholm", "Marrow", "Northgate", "O'Brady", "Pemberly", "Quillfield", "Rosendahl", "Stormvik", "Thornton", "Underhill", "Vanderbeek", "Westerby", "Yarborough", "Zellweg", "Smith-Penn", "Ashby-Cole", "O'Connor")
 JP_ROMAN_LAST = ("Tanakawa", "Mizushima", "Aoyamada", "Fujimori", "Kuronuma", "Hoshizora", "Shirogane")
@@ -78,6 +80,7 @@ def _phone(rng: random.Random) -> str:
             lambda: f"0{rng.choice('789')}0-{_d(rng, 4)}-{_d(rng, 4)}", lambda: f"0{rng.choice('789')}0{_d(rng, 8)}", lambda: f"+81-{rng.choice('789')}0-{_d(rng, 4)}-{_d(rng, 4)}", lambda: f"+81 {rng.choice('36')} {_d(rng, 4)} {_d(rng, 4)}",
             lambda: f"0{rng.choice('3456')}-{_d(rng, 4)}-{_d(rng, 4)}", lambda: f"(0{rng.choice('36')}) {_d(rng, 4)} {_d(rng, 4)}", lambda: f"+1 ({_d(rng, 3)}) 555-{_d(rng, 4)}", lambda: f"555-{_d(rng, 4)}", lambda: f"({_d(rng, 3)}) 555-{_d(rng, 4)}",
             lambda: f"+49 30 {_d(rng, 5)} {_d(rng, 3)}", lambda: f"0{rng.choice('3678')}.{_d(rng, 4)}.{_d(rng, 4)}", lambda: f"0{rng.choice('789')}0.{_d(rng, 4)}.{_d(rng, 4)}", lambda: f"+44 20 {_d(rng, 4)} {_d(rng, 4)}", lambda: f"0{_d(rng, 3)}-{_d(rng, 2)}-{_d(rng, 4)}",
+            lambda: f"{rng.choice('23456789')}{_d(rng, 2)}-{rng.choice('555 632 781'.split())}-{_d(rng, 4)}", lambda: f"{rng.choice('23456789')}{_d(rng, 2)}.555.{_d(rng, 4)}", lambda: f"0{_d(rng, 2)} {_d(rng, 4)} {_d(rng, 4)}",
             lambda: f"0{rng.choice('36')} {_d(rng, 4)} {_d(rng, 4)}", lambda: f"+81-{rng.choice('36')}-{_d(rng, 4)}-{_d(rng, 4)}",
         )
     )()
@@ -171,11 +174,132 @@ def _fill(rng: random.Random, text: str) -> str:
     return out.replace("{hl}", hero.lower().replace(" ", "_")).replace("{hu}", hero.upper())
 
 
+_MORE = (
+    ("jp_name", "{}", "さんが{jt}を直しました。"), ("jp_name", "{}", "さん、ありがとうございます。"), ("jp_name", "{}", "さんへ\n"), ("jp_name", "{}", "様\n"), ("jp_name", "{}", "氏は{jt}の収集家です。"), ("name", "Mr. {}", " called."), ("name", "Mrs. {}", ", thank you."), ("phone", "Number: {}", " "),
+)
+#: Sentences in which only the name itself tells that it is one; the same hold heroes, products and nouns as examples of none.
+_PLAIN = (
+    ("{}", " will bring the {t} on Sunday."), ("{}", " lent me the {t}."), ("{}", " repaired the {t} for free."), ("{}", " has the last {t}."), ("I met {}", " at the fair."), ("Please give this to {}", "."), ("It belongs to {}", "."),
+    ("Write to {}", " about the {t}."), ("{}", " and I share the {t}."), ("We owe the photos to {}", "."), ("The {t} was a gift of {}", "."), ("Reach {}", " by mail."), ("Best,\n{}", "\n"), ("Cheers\n{}", ""), ("Thank you\n{}", "\n"),
+    ("Hand it over to {}", " in person."), ("{}", ", who scanned the booklet, is away."), ("Delivered to {}", " on Monday."), ("{}", " wants the {t} back."), ("My neighbour {}", " opened the box."), ("{}", " paid for the {t}."), ("Is {}", " still selling the {t}?"),
+)
+_JP_PLAIN = (
+    ("昨日", "に会いました。"), ("", "が届けてくれました。"), ("", "から{jt}をもらいました。"), ("宛先は", "です。"), ("修理は", "に頼みました。"), ("写真：", "\n"), ("", "と一緒に{jt}を直しました。"), ("", "より\n"), ("{jt}を", "に渡してください。"),
+    ("", "は{jt}を持っています。"), ("取引相手は", "でした。"), ("", "の{jt}です。"), ("受取人 ", "\n"), ("撮影 ", "\n"),
+)
+_NUMBERS = (
+    ("phone", "Ring {}", " or {p}."), ("phone", "Room {d}2 {}", "\n"), ("phone", "Tel. {}", "/{p}"), ("phone", "Reach me on {}", " at noon."), ("phone", "{}", " is my number."), ("phone", "連絡先 {}", "\n"), ("phone", "Text {}", " first."),
+    ("address", "We meet at {}", " on Sunday."), ("address", "My flat: {}", "\n"), ("address", "Send the {t} to {}", ", please."), ("jp_address", "{}", "へ送りました。"), ("jp_address", "場所は{}", "です。"), ("id_number", "The clerk copied passport {}", "."), ("id_number", "ID {}", "\n"), ("email", "Mail {}", "."), ("email", "E-mail: {}", ""),
+)
+_NONE = (
+    "IBAN DE{a2} {a4} {a4} {a4} {a4} {a2} is on the bill.", "Pay to GB{a2} ABCD {a4} {a4} {a4} {a2}.", "ISBN 978-{d}-{a4}-{a4}-{d}.", "See pages {a2}-{a2} and {a3}-{a3}.", "{a4}/{a2}/{a2} {a2}:{a2} log entry {a5}.", "Lot {a4} {a4} sold out.", "Tracking {a4}-{a4}-{a4} shows no movement.", "追跡番号は{a4}-{a4}-{a4}です。",
+    "May Day is a holiday.", "Rose Gold suits the {t}.", "The Jack Frost card shines.", "Mark One and Mark Two differ.", "A Grace Period applies.", "Hill Top Park has a shop.", "The King Arthur set is rare.", "New York and San Marino sell it.", "Press Start Button twice.", "Keep Out Of Reach.", "The Green Long Cape fits.", "Christmas Eve sale.",
+    "{jt}の{n}\n\n", "{n}\n", "■{n}\n", "{n}の{n}です。", "{n}：{n}\n", "1. {n}\n2. {n}\n", "{p}\n", "{h} {t}\n",
+    "Übergrün Deluxe and Café Noir are colours.", "Drücken Sie die Taste. Entfernen Sie die Schrauben.", "Bewahren Sie Karton und Anleitung auf.", "Tirez le Levier Rouge. Conservez la Notice Jaune.", "第{d}市場で買いました。", "山下公園の前です。", "高橋の上で撮りました。", "中村座の公演です。", "石川県の名産です。", "青木ヶ原で撮影。", "Tokyo Station is near.",
+)
+_NOUNS = "音声 場面 電池 説明書 紋章 番号 自然 方法 電源 価格 旧版 開封 再販 限定 登場 必要 場合 歯車 収納 銀色 交換 写真 連動 途中 店舗 会社 家族 友人 先生 子供 部品 本体 前面 地図 祭典 展示 郵便 荷物 番組 主役 仲間 工場 倉庫 販売店 販売者 購入者 担当者 出品者 配送業者 製造元 取引先 収集家".split()
+#: Characters of nouns, for nouns of all kinds.
+_NOUN_KANJI = "電灯機関必殺技巨印章遊園底基殿図書館懐蒸気試験装置変身武器操作確認注意事項使用期限充満接続端子回路切替点灯消音量調整保証修理受付商品発売記念版特典封入"
+_LINES, _DEVICES = ("Mega", "Petit", "Prime", "Jubilee", "QX", "DL"), ("Lantern", "Driver", "Blaster", "Shield", "Compass", "Whistle", "Hammer", "Belt")
+#: Sentences that training never sees, to measure by.
+_HELD = (
+    ("common", "{}", " collects the box tomorrow."), ("common", "Could you forward it to {}", "?"), ("common", "I heard it from {}", " last week."), ("common", "Warmly,\n{}", "\n"), ("common", "{}", " photographed the {t}."), ("common", "Reserved for {}", "."), ("name", "Mr. {}", " runs the stall."), ("name", "My name is {}", ", from the club."),
+    ("jp_common", "発送は{}", "が行います。"), ("jp_common", "{}", "が発送しました。"), ("jp_common", "{}", "宛に返送しました。"), ("jp_name", "{}", "さんの{jt}です。"), ("phone", "You get me under {}", "."), ("phone", "番号は{}", "へ。"), ("phone", "Mobile {}", ", evenings."), ("address", "Pick it up at {}", "."), ("address", "Our place: {}", "\n"),
+    ("jp_address", "{}", "に住んでいます。"), ("jp_address", "発送先：{}", "\n"), ("email", "Drop a line to {}", "."), ("email", "宛先：{}", "\n"), ("id_number", "Licence no. {}", " was noted."), ("id_number", "My passport is {}", "."),
+)
+_HELD_NONE = ("{h} collects the box tomorrow.", "{p} photographed the {t}.", "Could you forward it to the {t} team?", "発送は{n}が行います。", "{n}が発送しました。", "Reserved for {p}.", "Order {a4}-{a5} of 2023-0{d}-11.", "Item {a4} {a3} is sold out.", "The {p} costs {a4} yen.", "{h} vs. {h}: round {d}.", "Warmly packed {t}.")
+
+
+def _common_name(rng: random.Random, half: int) -> str:
+    if rng.random() < 0.2:
+        a, b = rng.choice(common.ROMAN_GIVEN[half::2]), rng.choice(common.ROMAN_FAMILY[half::2])
+    else:
+        a, b = rng.choice(common.GIVEN[half::2]), rng.choice(common.FAMILY[half::2])
+    return rng.choice((f"{a} {b}",) * 5 + (f"{a} {rng.choice('ABCDEHJLMPRST')}. {b}", f"{b}, {a}", f"{a} {b}".upper(), f"{a} {b}-{rng.choice(common.FAMILY[half::2])}"))
+
+
+def _jp_common(rng: random.Random, half: int) -> str:
+    given = rng.choice(common.JP_GIVEN[half::2]) if rng.random() < 0.7 else _some(rng, _KANJI, 1, 1) + rng.choice(sorted(common.GIVEN_ENDS))
+    return rng.choice(common.JP_FAMILY[half::2]) + rng.choice(("", "", "", " ")) + given
+
+
+def _product(rng: random.Random) -> str:
+    name = " ".join((rng.choice(_LINES), rng.choice(HEROES), rng.choice(_DEVICES)))
+    return rng.choice((name, name, name.split(" ", 1)[1], name.upper()))
+
+
 _MAKE = {"name": _name, "jp_name": _jp_name, "phone": _phone, "id_number": _id, "address": _address, "jp_address": _jp_address, "email": _email}
+_KIND = {"common": "name", "jp_common": "name", "jp_name": "name", "jp_address": "address"}
+
+
+def _mention(rng: random.Random, kind: str, half: int) -> str:
+    if kind in ("common", "jp_common"):
+        return (_common_name if kind == "common" else _jp_common)(rng, half)
+    if kind in ("address", "jp_address") and rng.random() < 0.25:
+        return _foreign_address(rng) if kind == "address" else _short_jp_address(rng)
+    return _MAKE[kind](rng)
+
+
+def _foreign_address(rng: random.Random) -> str:
+    number, code = rng.randint(1, 240), _d(rng, 5)
+    return rng.choice((
+        f"{number} rue {rng.choice(('de la Gare', 'Victor Hugo', 'des Lilas', 'du Moulin'))}, {code} {rng.choice(('Paris', 'Lyon', 'Saint-Malo'))}", f"{number}, avenue {rng.choice(('Foch', 'de Verdun'))}, {code} {rng.choice(('Nice', 'Lille'))}",
+        f"Calle {rng.choice(('Mayor', 'del Sol', 'de Toledo'))} {number}, {code} {rng.choice(('Madrid', 'Sevilla'))}", f"Via {rng.choice(('Roma', 'Garibaldi'))} {number}, {code} {rng.choice(('Torino', 'Milano'))}",
+    ))
+
+
+def _short_jp_address(rng: random.Random) -> str:
+    """Without a prefecture."""
+    place = rng.choice(("月島市", "緑浜市", "大坂市北区", "名越市東区", "灯里区", "港町市")) + rng.choice(("梅里", "本町", "桜坂", "西ノ森"))
+    return place + rng.choice((f"{rng.randint(1, 9)}-{rng.randint(1, 30)}-{rng.randint(1, 30)}", f"{rng.randint(1, 9)}丁目{rng.randint(1, 30)}番{rng.randint(1, 30)}号"))
+
+
+def _with(rng: random.Random, held: bool) -> tuple[str, str, str]:
+    """Kind, what stands before the mention and what after it."""
+    if held:
+        kind, left, right = rng.choice(_HELD)
+        return kind, left.replace("{}", "\x00"), right
+    which = rng.random()
+    if which < 0.6:
+        kind, left, right = rng.choice(_WITH if which < 0.54 else _MORE)
+    elif which < 0.76:
+        kind, (left, right) = "common", rng.choice(_PLAIN)
+    elif which < 0.88:
+        before, right = rng.choice(_JP_PLAIN)
+        kind, left = "jp_common", before + "{}"
+    else:
+        kind, left, right = rng.choice(_NUMBERS)
+    return kind, left.replace("{}", "\x00"), right
 
 
-def sentences(n: int, seed: int) -> list[tuple[str, list[tuple[int, int, str]]]]:
-    """Texts of one to four sentences with the (start, end, kind) of each mention."""
+def _without(rng: random.Random, held: bool) -> str:
+    """A sentence without a mention."""
+    if held:
+        text = rng.choice(_HELD_NONE)
+    else:
+        which = rng.random()
+        if which < 0.5:
+            text = rng.choice(_WITHOUT)
+        elif which < 0.65:
+            text = rng.choice(_NONE)
+        elif which < 0.85:
+            left, right = rng.choice(_PLAIN)
+            text = left.replace("{}", rng.choice(("{h}", "{p}", "the {t}"))) + right
+        else:
+            left, right = rng.choice(_JP_PLAIN)
+            text = left + rng.choice(("{n}", "{jt}")) + right
+    while "{n}" in text:
+        text = text.replace("{n}", rng.choice(_NOUNS) if rng.random() < 0.5 else _some(rng, _NOUN_KANJI, 2, 5), 1)
+    while "{p}" in text:
+        text = text.replace("{p}", _product(rng), 1)
+    return _fill(rng, text)
+
+
+def sentences(n: int, seed: int, held: bool = False) -> list[tuple[str, list[tuple[int, int, str]]]]:
+    """Texts of one to four sentences with the (start, end, kind) of each mention.
+
+    Those held out share no sentence and no common name with the others.
+    """
     rng = random.Random(seed)
     out = []
     for _ in range(n):
@@ -184,15 +308,19 @@ def sentences(n: int, seed: int) -> list[tuple[str, list[tuple[int, int, str]]]]
             if text and not text.endswith("\n"):
                 text += rng.choice((" ", " ", "\n", "\n\n", "" if text.endswith("。") else " "))
             if rng.random() < 0.6:
-                kind, left, right = rng.choice(_WITH)
-                before, after = _fill(rng, left.replace("{}", "\x00")).split("\x00")
-                mention = _MAKE[kind](rng)
-                start = len(text) + len(before)
-                gold.append((start, start + len(mention), kind.removeprefix("jp_")))
-                text += before + mention + after + _fill(rng, right)
-                if kind == "name" and right == "" and text[-1] == ".":
-                    pass
+                kind, left, right = _with(rng, held)
+                before, after = _fill(rng, left).split("\x00")
+                mention = _mention(rng, kind, int(held))
+                gold.append((len(text) + len(before), len(text) + len(before) + len(mention), _KIND.get(kind, kind)))
+                text += before + mention + after
+                first, more, right = right.partition("{p}")
+                text += _fill(rng, first)
+                if more:  # a second number
+                    other = _phone(rng)
+                    gold.append((len(text), len(text) + len(other), "phone"))
+                    text += other
+                text += _fill(rng, right)
             else:
-                text += _fill(rng, rng.choice(_WITHOUT))
+                text += _without(rng, held)
         out.append((text, gold))
     return out
