@@ -56,6 +56,46 @@ FOREIGN = (
     "按下按钮后请等待5秒。", "装入电池前请先拆下螺丝。", "语音共有8种。", "请妥善保管包装盒和说明书。", "拉动拉杆，灯就会发光。", "请勿弄湿，可保存30年。", "请勿用力撞击，最多可确认12次。",
     "Нажмите кнопку и подождите 5 секунд.", "Храните коробку и инструкцию в надёжном месте.", "Не мочите изделие и не ударяйте его.",
 )
+FOREIGN += (
+    # Polish, Turkish, Vietnamese, Greek
+    "Naciśnij przycisk i poczekaj pięć sekund.", "Przed włożeniem baterii odkręć śruby.", "Zachowaj pudełko i instrukcję w bezpiecznym miejscu.", "Zabawka nie jest odpowiednia dla małych dzieci.", "Po użyciu zawsze wyłączaj urządzenie.", "i w na nie się z do jest to że o jak po ale za od przez tylko być dla przy",
+    "Düğmeye basın ve beş saniye bekleyin.", "Pilleri takmadan önce vidaları sökün.", "Kutuyu ve kılavuzu güvenli bir yerde saklayın.", "Bu oyuncak küçük çocuklar için uygun değildir.", "Kullandıktan sonra cihazı mutlaka kapatın.", "ve bir bu için ile de da çok olarak daha gibi kadar sonra olan var yok değil ne en her",
+    "Nhấn nút và chờ năm giây.", "Hãy tháo ốc trước khi lắp pin.", "Giữ hộp và sách hướng dẫn ở nơi an toàn.", "Đồ chơi này không phù hợp với trẻ nhỏ.", "Luôn tắt thiết bị sau khi sử dụng.", "và của là có không được cho các một trong với này khi để người đã những",
+    "Πατήστε το κουμπί και περιμένετε πέντε δευτερόλεπτα.", "Φυλάξτε το κουτί και τις οδηγίες.", "Το παιχνίδι δεν είναι κατάλληλο για μικρά παιδιά.",
+    # Swedish, Danish, Finnish, Czech, Hungarian, Romanian, Indonesian
+    "Tryck på knappen och vänta i fem sekunder.", "Ta bort skruvarna innan du sätter i batterierna.", "Förvara lådan och bruksanvisningen på ett säkert ställe.", "Leksaken är inte lämplig för små barn.", "och att det som en på är av för med den till inte om ett men har de så",
+    "Tryk på knappen, og vent fem sekunder.", "Fjern skruerne, før du sætter batterierne i.", "Opbevar æsken og vejledningen et sikkert sted.", "og at det er en til på som med for af den ikke der har de et men om",
+    "Paina painiketta ja odota viisi sekuntia.", "Irrota ruuvit ennen paristojen asettamista.", "Säilytä laatikko ja ohjeet turvallisessa paikassa.", "ja on ei se että oli mutta kun niin myös tai jos ovat joka mitä kaikki",
+    "Stiskněte tlačítko a počkejte pět sekund.", "Před vložením baterií odšroubujte šrouby.", "Krabici a návod uschovejte na bezpečném místě.", "a se v na je že to s z do o ale jako za po jsem tak by který pro",
+    "Nyomja meg a gombot, és várjon öt másodpercet.", "Az elemek behelyezése előtt távolítsa el a csavarokat.", "A dobozt és az útmutatót őrizze meg.", "a az és hogy nem is egy de meg ez csak volt már el mint vagy ki még",
+    "Apăsați butonul și așteptați cinci secunde.", "Scoateți șuruburile înainte de a pune bateriile.", "Păstrați cutia și manualul într-un loc sigur.", "și în de la cu pe nu a că o este mai din care se un pentru",
+    "Tekan tombol dan tunggu selama lima detik.", "Lepaskan sekrup sebelum memasang baterai.", "Simpan kotak dan buku petunjuk di tempat yang aman.", "dan yang di untuk dengan tidak ini itu dari dalam pada adalah ke akan juga bisa ada",
+    # Japanese in Latin letters, everyday
+    "Kyou wa ii tenki desu ne.", "Kinou Toukyou e ikimashita.", "Sumimasen ga, mou ichido itte kudasai.", "Watashi wa omocha ga daisuki desu.", "Kare wa ashita kaimasu to iimashita.", "Arigatou gozaimashita. Mata kimasu.",
+    # Ukrainian, Arabic, Hebrew, Thai, Hindi
+    "Натисніть кнопку і зачекайте п'ять секунд.", "اضغط على الزر وانتظر خمس ثوان.", "احتفظ بالعلبة والتعليمات في مكان آمن.", "לחץ על הכפתור והמתן חמש שניות.", "กดปุ่มแล้วรอห้าวินาที", "बटन दबाएँ और पाँच सेकंड प्रतीक्षा करें।",
+)
+#: Sound English of everyday and of manuals: no refusals, though much of it denies or forbids.
+ENGLISH = (
+    "He travelled to Tokyo yesterday.", "She cannot swim very well.", "The weather was awful last week, wasn't it?", "I don't like coffee, but my brother does.", "We were unable to find the station in time.", "It isn't raining any more.", "They refused to sell the house.", "Nobody knows where the keys are.",
+    "The train does not stop at this platform.", "My grandmother used to tell us stories about the sea.", "You won't believe what happened at the market.", "Could you pass me the salt, please?", "The museum is closed on Mondays.", "This road leads to a small village near the river.", "I am sorry to hear about your cat.", "He apologised for being late.",
+    "Unfortunately, the concert was cancelled.", "There is nothing left in the fridge.", "Children under twelve may enter free of charge.", "The garden looks wonderful in spring.", "She has been working there for ten years.", "What time does the library open?", "Our neighbours moved away without saying goodbye.", "It took us three hours to climb the hill.",
+    "Never leave the stove unattended.", "Do not place near an open flame.", "Keep away from heat and direct sunlight.", "Not suitable for outdoor use.", "This model is not waterproof.", "The lid cannot be opened from the inside.", "It is not possible to replace the lamp.", "No tools are needed for assembly.", "Do not wash in a machine.", "Colours may differ from the picture.",
+    "Contents are subject to change without notice.", "Please read all warnings first.", "Adult supervision is required.", "This feature is not available in all regions.", "Small parts may be swallowed.", "Stop using it if it becomes hot.", "Do not mix old and new cells.", "The warranty does not cover damage by water.", "Wipe with a dry cloth.", "Made of recycled paper.",
+    "Store it where infants cannot get hold of it.", "Our apologies for the misprint on page nine.", "Sorry for the wait! The second set ships in June.", "The voice can no longer be heard once the lid is shut.", "I can't wait to see the new figure.", "We do not accept returns of opened packs.", "Assistance is offered at the counter.", "For help, ask a member of staff.", "The hero declines the offer and leaves the castle.",
+    "Policy of the shop: one item per person.", "The request of the king was granted.", "That content is sold separately.", "No answer came from the tower.", "An assistant carries the lamp.", "Translated by the fan club.", "The text on the back is hard to read.", "This passage leads to the vault.", "The message plays twice.", "The source of light is a small diode.",
+    "Batteries are not included.", "Unable to rotate? Loosen the knob a little.", "If nothing happens, press again.", "The villain won't give up so easily.", "Without the key the gate will not open.", "Nothing can stop the iron giant!", "I refuse to lose!", "He must not be allowed to escape.", "We can help you choose a size.", "The blade is blunt and will not cut.",
+    "Twelve birds sat on the wire above the yard.", "A thick fog covered the harbour in the morning.", "The old clock struck nine.", "Two spoons of sugar are enough.", "Her letter arrived a month later.", "The judges chose the blue dress.", "Fresh bread smells best.", "Snow fell on the roofs all night.", "He plays the violin on Sundays.", "The doctor told me to rest.", "Cheap shoes rarely last.", "A fox crossed the lane.",
+    "It cannot be worn under water.", "These parts cannot be ordered one by one.", "The mode cannot be changed during play.", "The sound cannot be turned off.", "This switch is not used.", "The cover can't be removed by hand.", "The other function isn't part of this edition.", "You can't use both handles at once.", "The effect will not be shown in this mode.",
+    "It's a nice garden, isn't it?", "They live nearby, don't they?", "Is there anything left to eat?", "Is there another way to the beach?", "You have met before, haven't you?", "Can you hear the bell?", "Would you like some tea?", "Did the parcel arrive today?", "Shall we go for a walk this evening?",
+    "Which of these maps shows the lake?", "Turn left after the bridge and follow the canal.", "The price includes breakfast and a towel.", "Most shops accept cards nowadays.", "My phone ran out of power on the way.", "We painted the fence green.", "The lecture was about medieval trade.", "Everyone laughed except the captain.", "Rice is grown in the valley.", "The bus leaves every twenty minutes.",
+)
+#: Common words, for the profile of English.
+ENGLISH_WORDS = (
+    "the of and to in is that it was for on are as with his they at be this have from or had by not but what all were when we there can an your which their said if do will each about how up out them then she many some so these would other into has more her two like him see time could no make than first been its who now people my made over did down only way find use may water long little very after words called just where most know",
+    "get through back much before go good new write our used me man too any day same right look think also around another came come work three word must because does part even place well such here take why things help put years different away again off went old number great tell men say small every found still between name should home big give air line set own under read last never us left end along while might next sound below saw something thought both few those always looked show large often together asked house",
+    "yesterday tomorrow travelled walked evening morning weather lovely beautiful children young reach keep store product feature waterproof allowed abroad someone nobody anything nothing everything without within against toward above across behind beyond during since until although however therefore quite rather already enough almost perhaps maybe please thanks friend family mother father brother sister",
+)
 LEADS = ("Translation: ", "Answer: ", "翻訳：", "訳：", "Original: ", "原文：", "> ", "\"", "「", "(", "* ")
 TAILS = ("\n", " ", ".", "\n\n", "」", "\"", ")", " (ja)", "。")
 
@@ -79,6 +119,17 @@ def foreign(rng: random.Random, source: str, other: str) -> str:
     return " ".join(rng.choice(FOREIGN) for _ in range(min(6, 1 + source.count("。"))))
 
 
+def english(rng: random.Random, source: str) -> str:
+    """Sound English of other wording than the corpus."""
+    return " ".join(rng.choice(ENGLISH) for _ in range(min(6, max(1, source.count("。")))))
+
+
+def garbled(rng: random.Random, answer: str) -> str:
+    """The answer with some letters as a wrong encoding shows them: no defect of a pair."""
+    out = [rng.choice(("â€™", "Ã©", "ã€", "ï¿½", "\ufffd", "ã‚")) if c in " .,'" and rng.random() < 0.12 else c for c in answer]
+    return "".join(out)
+
+
 def copied(rng: random.Random, source: str) -> str:
     kind = rng.random()
     if kind < 0.3:

@@ -2,14 +2,15 @@
 
 A multi-label linear classifier (one logistic regression a label) works on hashed character n-grams and words of the
 answer, on its end, and on features of the pair: predicted against real length, sentences and lines on both sides, how
-much of the answer stands in the source, scripts.  It is trained on a bounded sample of the corpus and on synthetically
-refused, swapped, copied and truncated answers to it; a threshold for each label is calibrated on held-out rows.  The
-first defect in the order of DEFECTS counts.
+much of the answer stands in the source, scripts, and the language by profiles of character n-grams.  It is trained on a
+bounded sample of the corpus and on synthetically refused, swapped, copied and truncated answers to it, and on sound
+English of other wording and garbled answers as examples of none; a threshold for each label is calibrated on held-out
+rows.  The first defect in the order of DEFECTS counts.
 
 Defined results: null and invisible answers are 'empty'; rows whose source holds no Japanese or is null have no defect;
-rows with more than 5 % garbled or rare characters in their source (class 'odd', half-width kana and ellipses among them)
-can only be 'empty' or 'copied', and an answer with such signs no 'refusal'; repeated rows get a row each; texts of any length are read whole; an empty table, or one without a usable sample, gives
-only empty answers.
+where more than 5 % of the source's characters are garbled or rare (class 'odd') it can't tell what the answer must cover,
+and only an answer that breaks off by itself is 'truncated'; repeated rows get a row each; texts of any length are read
+whole; an empty table, or one without a usable sample, gives only empty answers.
 """
 
 from __future__ import annotations
@@ -37,13 +38,19 @@ SAMPLE = 8000
 #: Times the sample that the bound on the hash leaves; rows without Japanese or answer go after it.
 SPARE = 3
 #: How far below the calibrated threshold a score may lie where an exact check follows.
-LENIENT = {"refusal": 0.0, "copied": 0.0, "other_language": 0.5, "truncated": 0.0}
+LENIENT = {"refusal": 0.3, "copied": 0.0, "other_language": 0.5, "truncated": 0.0}
 #: Share of the sample, the most suspicious by each label, that is no example of sound rows when it is fitted anew.
 DOUBT = 0.03
 #: Weight of a sound example against a synthetic defect.
 SOUND = 4.0
 #: Price of a false defect against that of a missed one when thresholds are calibrated: about sound rows per defect.
 COST = {"refusal": 60.0, "copied": 60.0, "other_language": 60.0, "truncated": 300.0}
+#: Mean log ratio from which an answer is clearly English, and below which it isn't English.
+CLEAR, FOREIGN = 0.4, 0.15
+#: How far below its threshold an answer may lie that is plainly foreign.
+PLAINLY = 2.8
+#: Least score at which a label may be calibrated.
+LEAST = {"refusal": 0.0, "copied": -1.5, "other_language": -1.0, "truncated": -1.5}
 EPOCHS, BATCH, RATE, DECAY = (2, 6), 256, 0.3, 1e-6
 _WORD, _GRAM, _TAIL, _BINS, _LENGTH = 16, 16, 17, 12, 16
 LENGTH_ORDERS = (1, 3, 5)
@@ -86,6 +93,7 @@ def _tables() -> dict[str, np.ndarray]:
     gone = np.zeros(0x10001, dtype=bool)
     gone[[m.start() for m in re.finditer(f"[{INVISIBLE}]", every)]] = True
     out["gone"] = gone
+    out["letter"] = np.array([c.isalpha() for c in every] + [False])
     return out
 
 
@@ -148,6 +156,7 @@ def _binned(values: np.ndarray, edges: np.ndarray) -> np.ndarray:
 
 _RATIO = np.array([0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.75, 0.8, 0.84, 0.87, 0.9, 0.92, 0.94, 0.96, 0.98, 1.02, 1.06, 1.1, 1.2, 1.4, 1.8, 2.5])
 _SHARE = np.array([0.001, 0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.97])
+_ENGLISH = np.array([-2.0, -1.5, -1.0, -0.7, -0.5, -0.3, -0.2, -0.1, 0.0, 0.1, 0.2, 0.3, 0.5, 0.7, 1.0, 1.5, 2.0])
 _COUNT = np.array([-3.5, -2.5, -1.5, -0.5, 0.5, 1.5, 2.5, 3.5])
 
 
@@ -228,6 +237,7 @@ class Features:
             _binned(ratio, _RATIO),
             np.minimum(one, 3) * 32 + _binned(ratio, _RATIO),
             _binned(known, _SHARE),
+            _binned(model.languages.english(answer) if model.languages else np.zeros(n), _ENGLISH),
             *(_binned(kinds[k], _SHARE) for k in ("kana", "hangul", "cyrillic", "accent")),
             _binned(japanese, _SHARE),
             _binned(kinds["han"] * (kinds["kana"] == 0), _SHARE),
@@ -262,6 +272,42 @@ class Features:
         return np.bincount(r, weights=hit, minlength=len(out)) / np.maximum(total, 1)
 
 
+class Languages:
+    """Profiles of character n-grams: how much likelier text is English than any other language written in Latin letters."""
+
+    ORDERS, BITS = (1, 2, 3, 4), 15
+
+    def __init__(self, english: list[str], others: list[str]):
+        self.tables = []
+        counts = [self._count(pa.array(texts, pa.string())) for texts in (english, others)]
+        for one, two in zip(*counts):
+            share = [np.log((c + 0.3) / (c.sum() + 0.3 * len(c))) for c in (one, two)]
+            self.tables.append(np.clip(share[0] - share[1], -4.0, 4.0).astype(np.float32))
+
+    def _keys(self, side: Side) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        letter = TABLES["latin"][side.low]
+        p = np.where((side.points >= 0x41) & (side.points <= 0x5A), side.points + 0x20, side.points)
+        p = np.where(letter, p, 0x20).astype(np.uint32)
+        for order in self.ORDERS:
+            keys = gram_keys(p, order, self.BITS)
+            some = letter.copy()
+            for k in range(1, order):
+                some[: len(some) - k] |= letter[k:]
+            inside = (np.arange(len(p)) <= side.offsets[1:][side.rows] - order) & some
+            yield side.rows[inside], keys[inside]
+
+    def _count(self, texts: pa.Array) -> list[np.ndarray]:
+        return [np.bincount(keys, minlength=1 << self.BITS).astype(np.float64) for _, keys in self._keys(fold(texts))]
+
+    def english(self, side: Side) -> np.ndarray:
+        """Mean log ratio of a row's n-grams; positive where English is likelier."""
+        total, n = np.zeros(len(side.size)), np.zeros(len(side.size))
+        for (rows, keys), table in zip(self._keys(side), self.tables):
+            total += np.bincount(rows, weights=table[keys], minlength=len(total))
+            n += np.bincount(rows, minlength=len(total))
+        return total / np.maximum(n, 1)
+
+
 class Classifier:
     """Weights for each label, what lengths and words are expected, and thresholds."""
 
@@ -271,6 +317,7 @@ class Classifier:
         self.thresholds = np.full(len(LABELS), 1e9, dtype=np.float32)
         self.length = np.zeros(1 << _LENGTH, dtype=np.float32)
         self.known = np.zeros(1 << _WORD, dtype=bool)
+        self.languages: Languages | None = None
 
     def words(self, side: Side) -> tuple[np.ndarray, np.ndarray]:
         """Bucket and row of each word."""
@@ -329,7 +376,7 @@ class Classifier:
         feats, values = features.feats[order], features.values[order]
         edges = np.searchsorted(features.rows[order], np.arange(features.n + 1))
         rng = np.random.default_rng(seed)
-        weight = np.where(labels.sum(axis=1) == 0, SOUND, 1.0)
+        weight = np.where(np.nansum(labels, axis=1) == 0, SOUND, 1.0)
         grown = np.full(SIZE, 0.1, dtype=np.float64)
         grown = np.repeat(grown[:, None], len(LABELS), axis=1)
         for _ in range(epochs):
@@ -343,7 +390,7 @@ class Classifier:
                 uniq, inv = np.unique(f, return_inverse=True)
                 for k in range(len(LABELS)):
                     z = np.bincount(own, weights=self.weights[f, k] * v, minlength=len(part)) + self.bias[k]
-                    g = (1.0 / (1.0 + np.exp(-np.clip(z, -30, 30))) - labels[part, k]) * weight[part]
+                    g = np.nan_to_num((1.0 / (1.0 + np.exp(-np.clip(z, -30, 30))) - labels[part, k]) * weight[part])  # an unknown label teaches nothing
                     grad = np.bincount(inv, weights=g[own] * v, minlength=len(uniq)) / len(part) * 8 + DECAY * self.weights[uniq, k]
                     grown[uniq, k] += grad * grad
                     self.weights[uniq, k] -= (RATE * grad / np.sqrt(grown[uniq, k])).astype(np.float32)
@@ -354,15 +401,30 @@ def _columns(pairs: list[tuple[str, str]]) -> tuple[Side, Side]:
     return fold(pa.array([a for a, _ in pairs], pa.string())), fold(pa.array([b for _, b in pairs], pa.string()))
 
 
+def _languages(answers: list[str]) -> Languages:
+    """Profiles from sentences of known language, then with those answers of the sample that are clearly English by them."""
+    english, others = [*synthesis.ENGLISH, *synthesis.ENGLISH_WORDS], [t for t in synthesis.FOREIGN if max(t) < "\u0370" or max(c for c in t if c.isalpha()) < "\u0370" or "\u1e00" <= max(t) < "\u1f00"]
+    first = Languages(english, others)
+    clear = first.english(fold(pa.array(answers, pa.string()))) > CLEAR
+    return Languages(english * 3 + [a for a, c in zip(answers, clear.tolist()) if c][: 20 * len(english)], others * 5)
+
+
 def train(sample: list[tuple[str, str]], seed: int = 7) -> Classifier:
     """Fit on sound rows of the sample and synthetic defects of them; suspicious rows are left out and it is fitted anew."""
     rng = random.Random(seed)
     model = Classifier()
     if len(sample) < 50:
         return model
-    sound = list(sample)
+    unknown = float("nan")  # whether an answer of other wording covers the text isn't known
+    languages = _languages([b for _, b in sample])
+    # answers that aren't English by their letters or profile are no examples of sound ones
+    answer = fold(pa.array([b for _, b in sample], pa.string()))
+    letters = row_sums(TABLES["letter"][answer.low].astype(np.int64), answer.offsets)
+    other = (answer.share("latin") < 0.8 * letters) | ((languages.english(answer) < FOREIGN / 2) & (letters >= 10))
+    sound = [p for p, o in zip(sample, other.tolist()) if not o]
     for turn in range(2):
         model = Classifier()
+        model.languages = languages
         source, answer = _columns(sound)
         model.fit_length(source, answer)
         words, _ = model.words(answer)
@@ -390,18 +452,25 @@ def train(sample: list[tuple[str, str]], seed: int = 7) -> Classifier:
                 other = sound[rng.randrange(len(sound))][0]
                 texts.append((src, synthesis.foreign(rng, src, other)))
                 labels.append([0, int(other == src), int(other != src), 0])
+            if i % 4 == 1:  # the answer to another question, English of any kind, and garbled words: none of them refuses
+                kind = i // 4 % 3
+                made = sound[rng.randrange(len(sound))][1] if kind == 0 else synthesis.english(rng, src) if kind == 1 else synthesis.garbled(rng, ans)
+                texts.append((src, made))
+                labels.append([0, 0, 0, unknown])
         y = np.array(labels, dtype=np.float32)
-        held = np.arange(len(texts)) % 5 == 0
+        held = np.random.default_rng(seed).random(len(texts)) < 0.2
         train_rows = [t for t, h in zip(texts, held) if not h]
         features = Features(*_columns(train_rows), model)
         model.fit(features, y[~held], seed, EPOCHS[turn])
         scores = model.scores(Features(*_columns([t for t, h in zip(texts, held) if h]), model))
-        sane = scores[y[held].sum(axis=1) == 0]
+        sane = scores[np.nansum(y[held], axis=1) == 0]
+        told = ~np.isnan(y[held]).any(axis=1)[np.nansum(y[held], axis=1) == 0]
         for k in range(len(LABELS)):
             # the threshold that serves held-out rows best, sound ones outnumbering defects as in a corpus
             bad = np.sort(scores[y[held][:, k] == 1, k])
-            steps = np.linspace(-1.5, 6, 76)
-            wrong = np.array([(sane[:, k] > s).mean() for s in steps])
+            steps = np.linspace(LEAST[LABELS[k]], 6, 76)
+            good = sane[told, k] if LABELS[k] == "truncated" else sane[:, k]
+            wrong = np.array([(good > s).mean() for s in steps])
             missed = np.array([(bad <= s).mean() for s in steps])
             price = wrong * COST[LABELS[k]] + missed
             model.thresholds[k] = np.median(steps[price <= price.min() + 0.002]) - LENIENT[LABELS[k]]
@@ -445,12 +514,31 @@ def _stops_early(model: Classifier, source: Side, answer: Side) -> np.ndarray:
 
 
 def _foreign(model: Classifier, answer: Side) -> np.ndarray:
-    """The exact check of answers in another language: few words of the corpus's answers, or few Latin letters."""
+    """The exact check of answers in another language: by their profile none in English, or few Latin letters."""
     words, rows = model.words(answer)
     n = len(answer.size)
     known = np.bincount(rows, weights=model.known[words].astype(np.float64), minlength=n) / np.maximum(np.bincount(rows, minlength=n), 1)
-    letters = sum(answer.share(k) for k in ("latin", "kana", "han", "hangul", "cyrillic"))
-    return (known < 0.6) | (answer.share("latin") < 0.8 * letters)
+    letters = row_sums((TABLES["letter"][answer.low] | (answer.points >= 0x20000)).astype(np.int64), answer.offsets)
+    foreign = model.languages.english(answer) < FOREIGN if model.languages else known < 0.6
+    strong = model.languages.english(answer) < -FOREIGN if model.languages else foreign
+    return strong | ((known < 0.6) & foreign) | (answer.share("latin") < 0.8 * letters)
+
+
+def _plainly_foreign(model: Classifier, answer: Side) -> np.ndarray:
+    """Answers whose profile speaks against English, and such in Chinese characters without kana or in letters of other scripts."""
+    latin, han = answer.share("latin"), answer.share("han")
+    letters = row_sums(TABLES["letter"][answer.low].astype(np.int64), answer.offsets)
+    others = letters - latin - han - answer.share("kana")
+    profile = model.languages.english(answer) < -FOREIGN if model.languages else np.zeros(len(latin), dtype=bool)
+    chinese = (answer.share("kana") == 0) & (han >= 4) & (han > 0.25 * letters)
+    return (profile & (latin >= 10)) | chinese | ((others >= 4) & (others > 0.25 * letters) & (answer.share("accent") + answer.share("sign") == 0))
+
+
+def _other_script(answer: Side) -> np.ndarray:
+    """Answers in a script that is neither Latin nor that of the source: no weights are needed to tell these."""
+    letters = row_sums(TABLES["letter"][answer.low].astype(np.int64), answer.offsets)
+    own = sum(answer.share(k) for k in ("latin", "kana", "han"))
+    return (letters >= 3) & (own < 0.2 * letters)
 
 
 def _cleaned(value: str | None) -> str:
@@ -486,12 +574,14 @@ def defective_pairs(translations: DataFrame) -> DataFrame:
                 garbled = source.share("odd") * 20 > source.size
                 empty = answer.size == 0
                 found = np.full(len(asked), -1, dtype=np.int64)
-                over = model.scores(Features(source, answer, model)) > model.thresholds
-                over[:, LABELS.index("other_language")] &= _foreign(model, answer)
-                over[answer.share("sign") > 0, LABELS.index("refusal")] = False  # garbled words look like rare ones
-                over[:, LABELS.index("truncated")] &= _stops_early(model, source, answer)
-                for label in ("refusal", "other_language", "truncated"):  # garbled text is no question that an answer can be held against
-                    over[garbled, LABELS.index(label)] = False
+                scores = model.scores(Features(source, answer, model))
+                over = scores > model.thresholds
+                k = LABELS.index("other_language")
+                over[:, k] &= _foreign(model, answer)
+                over[:, k] |= _plainly_foreign(model, answer) & (scores[:, k] > model.thresholds[k] - PLAINLY)
+                over[:, LABELS.index("other_language")] |= _other_script(answer)
+                end = _ends(answer)
+                over[:, LABELS.index("truncated")] &= _stops_early(model, source, answer) & (~garbled | (end >= 8))
                 for k in range(len(LABELS) - 1, -1, -1):
                     found[over[:, k]] = k + 1
                 _look_again(model, part, found, source, answer)

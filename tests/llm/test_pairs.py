@@ -59,3 +59,37 @@ def test_odd_text(spark, corpus):
     own = [(9000, "ﾎﾞﾀﾝ", None), (9001, src, ""), (9002, "ﾎﾞﾀﾝを押すと音が鳴ります。", "ﾎﾞﾀﾝを押すと音が鳴ります。"), (9003, src, "button")]
     got = {r.row_id: r.defect for r in pairs.defective_pairs(spark.createDataFrame(corpus[0] + own, SCHEMA)).where("row_id >= 9000").collect()}
     assert got == {9000: "empty", 9001: "empty", 9002: "copied"}
+
+
+SOURCE = "小さな部品は子供の手の届かない所に保管してください。"
+SOUND = ["Store out of reach of young children.", "This product isn't waterproof.", "This feature cannot be used.", "The weather is lovely today, isn't it?", "He travelled to Tokyo yesterday.", "Nobody was able to open the gate.", "We aren't allowed to sell it abroad."]
+FOREIGN = {
+    "pl": "Małe części należy przechowywać w miejscu niedostępnym dla dzieci.", "tr": "Küçük parçaları çocukların ulaşamayacağı bir yerde saklayın.", "vi": "Để các bộ phận nhỏ xa tầm tay trẻ em.", "el": "Φυλάξτε τα μικρά εξαρτήματα μακριά από παιδιά.",
+    "romaji": "Chiisana buhin wa kodomo no te no todokanai tokoro ni oite kudasai.", "de": "Kleine Teile außerhalb der Reichweite von Kindern aufbewahren.", "ar": "احفظ القطع الصغيرة بعيدا عن الأطفال.", "th": "เก็บชิ้นส่วนเล็กให้พ้นมือเด็ก", "fr": "Conservez les petites pièces hors de portée des enfants.",
+}
+
+
+@pytest.fixture(scope="module")
+def model(corpus):
+    rows, truth = corpus
+    return pairs.train([(a, b) for _, a, b in rows if b and b.strip()])
+
+
+def defect(spark, corpus, answers, text=SOURCE):
+    own = [(9000 + i, text, a) for i, a in enumerate(answers)]
+    got = {r.row_id: r.defect for r in pairs.defective_pairs(spark.createDataFrame(corpus[0] + own, SCHEMA)).where("row_id >= 9000").collect()}
+    return [got.get(9000 + i) for i in range(len(answers))]
+
+
+def test_other_wordings(spark, corpus):
+    """Sound English that the corpus has nothing of neither refuses nor is it foreign; other languages are no refusals."""
+    assert [(t, d) for t, d in zip(SOUND, defect(spark, corpus, SOUND)) if d in ("refusal", "other_language")] == []
+    assert defect(spark, corpus, list(FOREIGN.values())) == ["other_language"] * len(FOREIGN)
+    assert defect(spark, corpus, [None, "I cannot translate this passage."], text="繧ｷ繧ｧ繝ｫ�ｼ・繝�・") == ["empty", "refusal"]
+
+
+def test_languages(model):
+    import pyarrow as pa
+
+    score = model.languages.english(pairs.fold(pa.array([*SOUND, *(v for k, v in FOREIGN.items() if k not in ("el", "ar", "th"))])))
+    assert (score[: len(SOUND)] > -pairs.FOREIGN).all() and (score[len(SOUND) :] < -pairs.FOREIGN).all()
