@@ -3,8 +3,12 @@
 Kinds of noise: words divided at a line end, wrongly recognised characters, running headers or footers with a title, and
 lines that only give the page number.  Lines are classed by their form; whether a word is divided and which characters
 are wrong is decided by character n-grams counted over the whole corpus: a confusable character is a candidate where
-its surroundings are rarer than those of what it may stand for, and a Viterbi search over the candidates of a word,
-character confusion times n-gram likelihood, chooses the text.
+its surroundings are rarer than those of what it may stand for.  The candidates of all values give the probability of
+each confusion, and a Viterbi search over the candidates of a word, confusion probability times n-gram likelihood,
+chooses the text.
+
+Values are searched for candidates once; the few that have some, or a form of noise, are kept as a table, from which
+the probabilities, the traces and the repaired texts are made.
 
 Defined results: null, blank and one-line values have no line noise; lines repeated in their source, blocks of one mark
 or number and numbers of a parts list are none; values of any length are treated whole; empty tables give empty results.
@@ -24,6 +28,7 @@ from pyspark.sql import functions as F
 from blockloom.llm.arrow_text import pieces
 from blockloom.llm.ngrams import gram_key, gram_keys, separated, tables
 from blockloom.llm.repeated import repeated_lines
+from blockloom.session import cut
 
 # What a recogniser reads -> what may stand there.
 CONFUSIONS = {
@@ -33,9 +38,12 @@ CONFUSIONS = {
     "一": "ー", "末": "未", "士": "土", "ハ": "八", "ク": "タ",
 }
 ALTERNATIVES: list[tuple[str, str]] = [*CONFUSIONS.items(), ("|", "l"), ("1", "i"), ("I", "l"), ("ン", "ソ"), ("シ", "ツ")]
-#: Price in nats of a confused character, and how much likelier the repaired word must be beyond it.
-PRICE, GAIN = 0.7, 0.3
-ORDERS = {5: 21, 4: 20, 3: 18, 2: 18}
+#: Weight of the channel against the n-grams, the bounds of a price in nats, the price where nothing is known, and how
+#: much likelier the repaired word must be beyond it.
+CHANNEL, CHEAPEST, DEAREST, PRICE, GAIN = 0.07, 0.3, 0.75, 0.7, 0.3
+#: Bits of the tables of n-grams by order, at up to BASE_ROWS rows; more rows have larger tables, up to MOST_BITS.
+ORDERS = {5: 21, 4: 20, 3: 18, 2: 18, 1: 16}
+BASE_ROWS, MOST_BITS = 500_000, 24
 END = 0x01
 
 # Forms of lines that only give a page number.
@@ -80,8 +88,10 @@ def flow(points: np.ndarray) -> np.ndarray:
 class Model:
     """Probability of a character after those before it, from hashed n-gram counts."""
 
-    def __init__(self, counts: dict[int, np.ndarray]):
+    def __init__(self, counts: dict[int, np.ndarray], prices: dict[tuple[str, str], float] | None = None):
         self.counts = counts
+        self.bits = {order: int(len(table)).bit_length() - 1 for order, table in counts.items()}
+        self.prices = prices or {}
         self.kept: dict[str, float] = {}
         self.total = float(counts[2].sum()) + 1.0
         self.reads = sorted({a for a, _ in ALTERNATIVES}, key=lambda a: -len(a))
@@ -97,7 +107,7 @@ class Model:
         got = self.kept.get(text)
         if got is None:
             c = tuple(map(ord, text))
-            count = lambda chars: float(self.counts[len(chars)][gram_key(chars, ORDERS[len(chars)])])
+            count = lambda chars: float(self.counts[len(chars)][gram_key(chars, self.bits[len(chars)])])
             if len(c) < 5:
                 got = -4.0
             else:
@@ -127,8 +137,8 @@ class Model:
         states: list[dict[str, tuple[float, str, tuple]]] = [{} for _ in range(len(word) + 1)]
         states[0][start] = (0.0, "", ())
         for i in range(len(word)):
-            steps = [(word[i], 1, 0.0)] + [(b, len(a), PRICE) for a, b in self.readings.get(word[i], ()) if word.startswith(a, i)]
-            for last, (score, made, done) in sorted(states[i].items(), key=lambda s: -s[1][0])[:12]:
+            steps = [(word[i], 1, 0.0)] + [(b, len(a), self.prices.get((a, b), PRICE)) for a, b in self.readings.get(word[i], ()) if word.startswith(a, i)]
+            for last, (score, made, done) in states[i].items():  # all: there are no more than ways to read four characters
                 for put, used, price in steps:
                     now, value = last, score - price
                     for ch in put:
@@ -152,19 +162,20 @@ class Model:
         return best[2] if best and best[1] != word and best[0] > same + GAIN else ()
 
     def candidates(self, points: np.ndarray) -> np.ndarray:
-        """Bitmap of confusable characters in surroundings that are rarer than those of an alternative."""
+        """For each character the alternative in whose place its surroundings are rarer, by its number; -1 for none."""
         n = len(points)
-        out = np.zeros(n, dtype=bool)
+        out = np.full(n, -1, dtype=np.int64)
         if n < 10:
             return out
-        five = self.counts[5][gram_keys(points, 5, ORDERS[5])]
+        five = self.counts[5][gram_keys(points, 5, self.bits[5])]
         rare = five.copy()  # the rarest of the windows that cover a character
         for k in range(1, 5):
             rare[k:] = np.minimum(rare[k:], five[:-k])
         most = max(8.0, 2e-6 * self.total)
         at = np.flatnonzero(self.known[points] & (rare <= most))
         at = at[(at >= 4) & (at < n - 6)]
-        for read, real in ALTERNATIVES:
+        best = np.zeros(n)
+        for number, (read, real) in enumerate(ALTERNATIVES):
             sel = at[points[at] == ord(read[0])]
             if len(read) == 2:
                 sel = sel[points[sel + 1] == ord(read[1])]
@@ -172,12 +183,18 @@ class Model:
                 continue
             wide = np.stack([points[sel + k] for k in range(-4, 0)] + [np.full(len(sel), ord(ch), dtype=np.uint32) for ch in real] + [points[sel + len(read) + k] for k in range(4)])
             size = len(wide)
-            new = np.stack([self.counts[5][gram_keys(wide[k : k + 5].T.reshape(-1), 5, ORDERS[5])[::5]] for k in range(size - 4)])
+            new = np.stack([self.counts[5][gram_keys(wide[k : k + 5].T.reshape(-1), 5, self.bits[5])[::5]] for k in range(size - 4)])
             old = np.stack([five[sel - 4 + k] for k in range(4 + len(read))])
-            better = np.log(new + 0.5).mean(axis=0) - np.log(old + 0.5).mean(axis=0) > 0.7
-            out[sel[better]] = True
+            gain = np.log(new + 0.5).mean(axis=0) - np.log(old + 0.5).mean(axis=0)
+            better = (gain > 0.7) & (gain > best[sel])
+            out[sel[better]] = number
+            best[sel[better]] = gain[better]
         return out
 
+    def occurrences(self, text: str) -> float:
+        """How often one or two characters stand in the corpus."""
+        return float(self.counts[1][min(ord(text), 0xFFFF)] if len(text) == 1 else self.counts[2][gram_key(tuple(map(ord, text)), self.bits[2])])
+
 
 def line_kinds(lines: list[str], beside: str = "") -> list[str]:
     """'' , 'header' or 'page_no' for each line of a value.
@@ -213,12 +230,14 @@ def _words(line: str, at: list[int]) -> list[tuple[int, int]]:
     spans: list[tuple[int, int]] = []
     for p in at:
         lo, hi = p, p + 1
-        while lo > 0 and p - lo < 12 and line[lo - 1] < "⺀" and not line[lo - 1].isspace():
+        while lo > 0 and line[lo - 1] < "⺀" and not line[lo - 1].isspace():
             lo -= 1
-        while hi < len(line) and hi - p < 12 and line[hi] < "⺀" and not line[hi].isspace():
+        while hi < len(line) and line[hi] < "⺀" and not line[hi].isspace():
             hi += 1
         if line[p] >= "⺀" or lo and line[lo - 1] >= "⺀" or hi < len(line) and line[hi] >= "⺀":
             lo, hi = min(lo, max(0, p - 2)), max(hi, min(len(line), p + 3))
+        if spans and p < spans[-1][1]:
+            continue
         if spans and lo <= spans[-1][1]:
             spans[-1] = (spans[-1][0], max(hi, spans[-1][1]))
         else:
@@ -242,7 +261,10 @@ def running(lines: list[str]) -> tuple[str, list[tuple[int, int]]]:
 
 
 def divided(model: Model, before: str, after: str) -> bool:
-    """Whether the word at the end of one line goes on in the next."""
+    """Whether the word at the end of one line goes on in the next.
+
+    Characters more than four before the division weigh the same either way, so of a long word its end is enough.
+    """
     m = DIVIDED.search(before)
     if not m or not after[:1].isalpha():
         return False
@@ -307,7 +329,8 @@ class Draft:
 def drafts(model: Model, values: list[tuple[str, str, bool]]) -> list[Draft]:
     """Finished drafts of (value, other side, search for misread characters) triples; all are searched in one go."""
     done = [Draft(model, value, beside) for value, beside, _ in values]
-    sought = [(draft, *running(draft.glued)) for draft, (_, _, marked) in zip(done, values) if marked]
+    # some misread words only show when the lines or marks between their parts are gone
+    sought = [(draft, *running(draft.glued)) for draft, (_, _, marked) in zip(done, values) if marked or draft.found]
     if sought:
         gap = np.full(10, END, dtype=np.uint32)
         pieces_, begin, size = [gap], [], 10
@@ -315,7 +338,7 @@ def drafts(model: Model, values: list[tuple[str, str, bool]]) -> list[Draft]:
             begin.append(size)
             pieces_ += [np.array(list(map(ord, text)), dtype=np.uint32), gap]
             size += len(text) + 10
-        hits = np.flatnonzero(model.candidates(np.concatenate(pieces_)))
+        hits = np.flatnonzero(model.candidates(np.concatenate(pieces_)) >= 0)
         cuts = np.searchsorted(hits, begin)
         ends = np.searchsorted(hits, [b + len(text) for b, (_, text, _) in zip(begin, sought)])
         for (draft, text, where), b, lo, hi in zip(sought, begin, cuts, ends):
@@ -331,15 +354,59 @@ def _cased(word: str, read: str, put: str) -> str:
     return put[:1].upper() + put[1:] if read.isupper() else put
 
 
+def sized(rows: int) -> dict[int, int]:
+    """Bits of the tables for so many rows: distinct n-grams grow with about the root of the rows, tables with them up to a bound."""
+    more = max(0, math.ceil(0.57 * math.log2(max(rows, 1) / BASE_ROWS)))
+    return {order: min(bits + more, max(bits, MOST_BITS - (order != 5))) if order > 1 else bits for order, bits in ORDERS.items()}
+
+
 def char_model(translations: DataFrame) -> dict[int, np.ndarray]:
-    return tables(translations.select(F.col("text").cast("string"), F.col("translation").cast("string")), ORDERS, flow, END)
+    return tables(translations.select(F.col("text").cast("string"), F.col("translation").cast("string")), sized(translations.count()), flow, END)
+
+
+class Scan:
+    """Values of a corpus that may be noisy, and all that is made of them; the corpus is read twice, once to count n-grams."""
+
+    def __init__(self, translations: DataFrame):
+        src = translations.select(F.col("row_id").cast("long"), F.col("text").cast("string"), F.col("translation").cast("string"))
+        counts = char_model(translations)
+        self.shared = src.sparkSession.sparkContext.broadcast(counts)
+        self.suspects = cut(src.mapInArrow(_suspicious(self.shared), _SUSPECT))
+        self.prices = confusion_prices(Model(counts), self.suspects)
+
+    def drafts(self, repair: bool) -> DataFrame:
+        """(row_id, field, found, repaired) of each suspect: its traces (noise, line_no), and if asked for the repaired text."""
+        shared, prices = self.shared, self.prices
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            model = Model(shared.value, prices)
+            for batch in batches:
+                for part in pieces(batch, 2, 3):
+                    own = zip(part.column("value").to_pylist(), part.column("beside").to_pylist(), part.column("reads").to_pylist())
+                    done = drafts(model, [(value, beside or "", bool(reads)) for value, beside, reads in own])
+                    found = [[{"noise": noise, "line_no": line} for noise, line in d.found] for d in done]
+                    text = pa.array([d.paragraph() if repair and d.found else None for d in done], pa.string())
+                    yield pa.RecordBatch.from_arrays([part.column("row_id"), part.column("field"), pa.array(found, _FOUND), text], names=["row_id", "field", "found", "repaired"])
+
+        return self.suspects.mapInArrow(run, "row_id long, field string, found array<struct<noise:string,line_no:long>>, repaired string")
 
 
-def scan(translations: DataFrame) -> DataFrame:
-    """(row_id, field, noise, line_no) of each trace of the scanned page, lines repeated in a source included."""
-    src = translations.select(F.col("row_id").cast("long"), F.col("text").cast("string"), F.col("translation").cast("string"))
-    shared = src.sparkSession.sparkContext.broadcast(char_model(translations))
+_FOUND = pa.list_(pa.struct([("noise", pa.string()), ("line_no", pa.int64())]))
+_SUSPECT = "row_id long, field string, value string, beside string, reads array<int>"
 
+
+def confusion_prices(model: Model, suspects: DataFrame) -> dict[tuple[str, str], float]:
+    """Price of each confusion, from how many candidates of it all values have and how often what it stands for occurs."""
+    seen = {r[0]: r[1] for r in suspects.select(F.explode("reads").alias("k")).groupBy("k").count().collect()}  # a number an alternative
+    out = {}
+    for k, (read, real) in enumerate(ALTERNATIVES):
+        n = seen.get(k, 0)
+        p = (n + 0.5) / (model.occurrences(real) + n + 1.0)
+        out[read, real] = min(DEAREST, max(CHEAPEST, -CHANNEL * math.log(min(p, 0.5))))
+    return out
+
+
+def _suspicious(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(shared.value)
         for batch in batches:
@@ -347,52 +414,46 @@ def scan(translations: DataFrame) -> DataFrame:
                 for field in ("text", "translation"):
                     column, other = part.column(field), part.column("translation" if field == "text" else "text")
                     own = list(_suspects(model, column))
-                    done = drafts(model, [(value, other[i].as_py() or "", marked) for i, value, marked in own])
-                    out = [(i, noise, line) for (i, _, _), draft in zip(own, done) for noise, line in draft.found]
-                    take = pa.array([o[0] for o in out], pa.int64())
+                    take = pa.array([o[0] for o in own], pa.int64())
                     yield pa.RecordBatch.from_arrays(
-                        [part.column("row_id").take(take), pa.array([field] * len(out), pa.string()), pa.array([o[1] for o in out], pa.string()), pa.array([o[2] for o in out], pa.int64())],
-                        names=["row_id", "field", "noise", "line_no"],
+                        [part.column("row_id").take(take), pa.array([field] * len(own), pa.string()), pa.array([o[1] for o in own], pa.string()), other.take(take), pa.array([o[2] for o in own], pa.list_(pa.int32()))],
+                        names=["row_id", "field", "value", "beside", "reads"],
                     )
 
-    return src.mapInArrow(run, "row_id long, field string, noise string, line_no long")
+    return run
 
 
-def _suspects(model: Model, column: pa.Array) -> Iterator[tuple[int, str, bool]]:
-    """Row, value and whether it holds candidate characters, of the values that may be noisy."""
+def _suspects(model: Model, column: pa.Array) -> Iterator[tuple[int, str, list[int]]]:
+    """Row, value and the confusions of its candidate characters, of the values that may be noisy."""
     points, offsets = separated(column, END)
     rows = np.repeat(np.arange(len(column) + 1), np.diff(np.append(offsets, len(points))))
     gap = np.full(10, END, dtype=np.uint32)  # no value stands at the edge of the array
-    hits = model.candidates(np.concatenate([gap, flow(points), gap]))[10:-10]
-    marked = np.unique(rows[~unbroken(points)][hits])
-    at = np.union1d(marked, np.unique(rows[points == 0x0A]))
+    which = model.candidates(np.concatenate([gap, flow(points), gap]))[10:-10]
+    hits = np.flatnonzero(which >= 0)
+    reads: dict[int, list[int]] = {}
+    for row, number in zip(rows[~unbroken(points)][hits].tolist(), which[hits].tolist()):
+        reads.setdefault(row, []).append(number)
+    at = np.union1d(np.array(sorted(reads), dtype=np.int64), np.unique(rows[points == 0x0A]))
     at = at[at < len(column)]
-    known = set(marked.tolist())
     for i, value in zip(at.tolist(), column.take(pa.array(at, pa.int64())).to_pylist()):
-        if value is not None and (i in known or HINT.search(value)):
-            yield i, value, i in known
+        if value is not None and (i in reads or HINT.search(value)):
+            yield i, value, reads.get(i, [])
 
 
-def noisy_values(translations: DataFrame, meta: DataFrame) -> DataFrame:
+def _traces(done: DataFrame, translations: DataFrame, meta: DataFrame) -> DataFrame:
     """(row_id, field, noise, line_no) of each trace outside the lines that are repeated in their source."""
+    each = done.select("row_id", "field", F.explode("found").alias("f")).select("row_id", "field", "f.noise", "f.line_no")
     repeated = repeated_lines(translations, meta).withColumn("field", F.lit("text"))
-    return scan(translations).join(repeated, ["row_id", "line_no", "field"], "left_anti")
+    return each.join(repeated, ["row_id", "line_no", "field"], "left_anti").select("row_id", "field", "noise", "line_no")
 
 
-def repaired_values(translations: DataFrame, meta: DataFrame) -> DataFrame:
-    """(row_id, field, repaired) of each noisy value, as continuous paragraphs; row_id must be unique."""
-    noisy = noisy_values(translations, meta).select("row_id", "field").distinct()
-    both = F.expr("stack(2, 'text', CAST(text AS STRING), CAST(translation AS STRING), 'translation', CAST(translation AS STRING), CAST(text AS STRING)) AS (field, value, beside)")
-    values = translations.select("row_id", both)
-    shared = translations.sparkSession.sparkContext.broadcast(char_model(translations))
+def noisy_values(translations: DataFrame, meta: DataFrame) -> DataFrame:
+    """(row_id, field, noise, line_no) of each trace of the scanned page outside the lines that are repeated in their source."""
+    return _traces(Scan(translations).drafts(False), translations, meta)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(shared.value)
-        for batch in batches:
-            values = [(value, beside or "", True) for value, beside in zip(batch.column("value").to_pylist(), batch.column("beside").to_pylist())]
-            done = [draft.paragraph() for draft in drafts(model, values)]
-            yield pa.RecordBatch.from_arrays([batch.column("row_id"), batch.column("field"), pa.array(done, pa.string())], names=["row_id", "field", "repaired"])
 
-    kind = dict(translations.dtypes)["row_id"]
-    joined = values.join(noisy, ["row_id", "field"]).where("value IS NOT NULL").select("row_id", "field", "value", "beside")
-    return joined.mapInArrow(run, f"row_id {kind}, field string, repaired string")
+def repaired_values(translations: DataFrame, meta: DataFrame) -> DataFrame:
+    """(row_id, field, repaired) of each noisy value, as continuous paragraphs; row_id must be unique."""
+    done = cut(Scan(translations).drafts(True).where("size(found) > 0"))
+    noisy = _traces(done.select("row_id", "field", "found"), translations, meta).select("row_id", "field").distinct()
+    return done.select("row_id", "field", "repaired").join(noisy, ["row_id", "field"], "left_semi")
