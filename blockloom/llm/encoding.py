@@ -3,15 +3,18 @@
 A value is taken back to bytes under each suspected wrong encoding and read again under the true ones.  The bytes form
 a lattice: a character that was lost in reading (U+FFFD, or dropped without trace) is a wildcard byte, and a character
 that does not fit stays as it is.  Viterbi search over the lattice under character bigrams counted over the whole corpus
-finds the likeliest text; it is taken if it is likelier than the value as it stands.
+finds the likeliest text; it is taken if it is likelier than the value as it stands.  Frequencies of whole words, counted
+over the corpus too, decide between the readings of several encodings and choose the characters in place of lost bytes.
 
 Defined results: null, blank and correctly written values are no cases; where bytes are lost the likeliest text is given
-and marked as not certain; values of any length are decoded whole; empty tables give empty results.
+and marked as not certain; where garbling is left that no encoding of the list explains the value is found but not
+restored; values of any length are decoded whole; empty tables give empty results.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import cache
@@ -21,21 +24,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockloom.llm.arrow_text import code_points, pieces, row_sums
+from blockloom.llm.arrow_text import code_points, hash_runs, pieces, row_sums
 from blockloom.llm.ngrams import gram_key, tables
 
-SINGLE = ("latin-1", "cp1252", "mac_roman", "cp1251", "koi8_r", "cp437", "cp850", "iso8859_15")
+SINGLE = ("latin-1", "cp1252", "mac_roman", "cp1251", "koi8_r", "cp437", "cp850", "iso8859_15", "iso8859_2", "cp1250")
 MULTI = ("cp932", "gbk", "big5", "cp949", "euc_jp")
 TRUE_OF_SINGLE = ("utf-8", "cp932", "euc_jp")
 #: Nats by which the restored text must be likelier, and the price of a byte that was lost.
 GAIN, LOST = 1.5, 1.0
 BITS = 18
-ORDERS = {1: 16, 2: BITS}
+ORDERS = {1: 16, 2: BITS, 0: BITS}
+#: Weight of word frequencies against those of characters.
+WORDS = 0.4
 #: Least share of the corpus of a character that is put in.
 RARE = 3e-7
 #: Share of the corpus from which a character is usual.
 USUAL = 2e-5
-BEAM = 24
 #: Share of the most signs of a true encoding that a wrong encoding must show.
 NEAR = 0.7
 LOSS = "�"
@@ -88,19 +92,50 @@ def hints() -> np.ndarray:
     for a, b in _KANJI_BYTES[: 6 * 64]:
         for ch in bytes((a, b)).decode("gbk", "ignore"):
             out[ord(ch)] = True
+    for ch, _ in _kana_read_as():
+        out[ord(ch)] = True
     for ch in _ALLOWED:
         out[ord(ch)] = False
     return out
 
 
+_WORD = re.compile("[A-Za-zÀ-ɏ]{2,}|[ァ-ヺー]{2,}|[ぁ-ん]{2,}|[一-鿿々]+")
+_letter = re.compile("[A-Za-zÀ-ɏァ-ヺーぁ-ん一-鿿々]")
+
+
+def word_buckets(points: np.ndarray, bits: int) -> np.ndarray:
+    """Bucket of each run of letters of one kind, ASCII letters in lower case."""
+    if not len(points):
+        return np.zeros(0, dtype=np.int64)
+    kind = _word_kinds()[np.minimum(points, 0x10000)]
+    low = np.where((points >= 0x41) & (points <= 0x5A), points + 0x20, points).astype(np.uint32)
+    start = np.ones(len(points), dtype=bool)
+    start[1:] = kind[1:] != kind[:-1]
+    begin = np.flatnonzero(start)
+    hashes = hash_runs(low, np.append(begin, len(points)))
+    return (hashes[kind[begin] > 0].view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+@cache
+def _word_kinds() -> np.ndarray:
+    out = np.zeros(0x10001, dtype=np.uint8)
+    for k, (lo, hi) in enumerate(((0x41, 0x5B), (0x61, 0x7B), (0xC0, 0x250), (0x30A1, 0x30FB), (0x30FC, 0x30FD), (0x3041, 0x3094), (0x4E00, 0xA000), (0x3005, 0x3006))):
+        out[lo:hi] = (1, 1, 1, 2, 2, 3, 4, 4)[k]
+    return out
+
+
 class Model:
     """Character bigrams of the corpus, and the characters it holds by their UTF-8 bytes."""
 
     def __init__(self, counts: dict[int, np.ndarray]):
         self.one, self.two = counts[1].astype(np.float64), counts[2].astype(np.float64)
+        self.words = counts.get(0, np.zeros(1 << BITS))
+        self.kept_words: dict[str, float] = {}
         self.total = self.one.sum() + 1.0
         self.share = (self.one + 0.01) / self.total
         self.kept: dict[str, float] = {}
+        #: The most that two characters before it can make the same character differ in.
+        self.range = math.log((self.one.max(initial=0.0) + 2.0) / (2.0 * self.share.min()))
         at = np.flatnonzero(self.one >= max(2.0, RARE * self.total))
         garbage = {ch for ch in multi_signs(False) if "一" <= ch <= "鿿"}
         self.common = {chr(c) for c in at.tolist() if c >= 0x80 and not 0xD800 <= c < 0xE000 and not (0x80 <= c < 0xA0) and chr(c) != LOSS and not 0xE000 <= c < 0xF900 and chr(c) not in garbage}
@@ -129,12 +164,27 @@ class Model:
     def score(self, text: str) -> float:
         return sum(map(self.log, "\n" + text, text))
 
+    def word(self, word: str) -> float:
+        """Log of how often a word stands in the corpus."""
+        got = self.kept_words.get(word)
+        if got is None:
+            if len(self.kept_words) > 200_000:
+                self.kept_words.clear()
+            key = word_buckets(np.array(list(map(ord, word)), dtype=np.uint32), BITS)
+            got = self.kept_words[word] = math.log(float(self.words[key[0]]) + 0.5) if len(key) else 0.0
+        return got
+
+    def word_score(self, text: str) -> float:
+        """Mean log frequency of the words of a text."""
+        found = [self.word(w) for w in _WORD.findall(text)]
+        return sum(found) / len(found) if found else 0.0
+
     def matching(self, pattern: tuple[int | None, ...]) -> list[str]:
         """Common characters whose UTF-8 bytes fit a pattern with wildcards, the commonest first."""
         got = self.filled.get(pattern)
         if got is None:
             fits = [ch for raw, ch in self.by_length.get(len(pattern), {}).items() if all(p is None or p == b for p, b in zip(pattern, raw))]
-            got = self.filled[pattern] = sorted(fits, key=lambda c: -self.one[ord(c)])[:BEAM]
+            got = self.filled[pattern] = sorted(fits, key=lambda c: -self.one[ord(c)])
         return got
 
 
@@ -216,8 +266,10 @@ def read_again(model: Model, text: str, wrong: str, true: str, lossy: bool = Fal
         states = best[i]
         if not states:
             continue
-        if len(states) > BEAM:
-            states = dict(sorted(states.items(), key=lambda s: -s[1][0])[:BEAM])
+        if len(states) > 1:
+            # exact: what comes next is the same for all states, and what it is worth differs by the model's range at most
+            least = max(s[0] for s in states.values()) - model.range
+            states = {last: s for last, s in states.items() if s[0] >= least}
         steps: list[tuple[str, int, float, int]] = []
         b = data[i]
         if b is not None and 0 <= b < 0x80:
@@ -251,17 +303,42 @@ def read_again(model: Model, text: str, wrong: str, true: str, lossy: bool = Fal
                     log = kept.get(last + ch)
                     value += model.log(last, ch) if log is None else log
                 if now not in target or target[now][0] < value:
-                    target[now] = (value, (back, ch, made, price > 0))
+                    target[now] = (value, (back, ch, made, i if price > 0 else -1))
     if not best[n]:
         return -math.inf, text, False, 0
     score, back = max(best[n].values(), key=lambda s: s[0])
     out, lost, made = [], False, 0
     while back:
-        back, ch, new, priced = back
-        out.append(ch)
-        lost |= priced
+        back, ch, new, at = back
+        out.append((ch, at))
+        lost |= at >= 0
         made += new
-    return score, "".join(reversed(out)), lost, made
+    out.reverse()
+    chars = [ch for ch, _ in out]
+    for k, (ch, at) in enumerate(out):
+        if at >= 0 and ch:
+            chars[k] = _by_words(model, chars, k, data, at)
+    return score, "".join(chars), lost, made
+
+
+def _by_words(model: Model, chars: list[str], k: int, data: list, at: int) -> str:
+    """Of the characters that lost bytes may have been, the one that characters and the word around it speak for."""
+    steps = _utf8_steps(model, data, at, True)
+    used = next(n for ch, n, _ in steps if ch == chars[k])
+    lo, hi = k, k + 1
+    while lo and _letter.match(chars[lo - 1]):
+        lo -= 1
+    while hi < len(chars) and _letter.match(chars[hi]):
+        hi += 1
+    left, right = "".join(chars[lo:k]), "".join(chars[k + 1 : hi])
+    before = next((c for c in reversed(chars[:k]) if c), "\n")[-1]
+    after = next((c for c in chars[k + 1 :] if c), "")[:1]
+
+    def worth(ch: str) -> float:
+        word = next((m[0] for m in _WORD.finditer(left + ch + right) if m.start() <= len(left) < m.end()), "")
+        return model.log(before, ch) + (model.log(ch, after) if after else 0.0) + (WORDS * model.word(word) if word else 0.0)
+
+    return max((ch for ch, n, _ in steps if n == used and ch), key=worth)
 
 
 #: First two bytes of kana, full-width forms and punctuation in UTF-8, and of Latin letters.
@@ -272,6 +349,21 @@ _KANJI_BYTES = [*((a, b) for a in range(0xE4, 0xEA) for b in range(0x80, 0xC0)),
 _LATIN_BYTES = [(a, b) for a in (0xC2, 0xC3) for b in range(0x80, 0xC0)]
 
 
+@cache
+def _kana_read_as() -> tuple[tuple[str, str], ...]:
+    """Characters that kana in cp932 become in other two-byte encodings."""
+    out = []
+    for wrong in ("gbk", "big5", "cp949"):
+        for c in range(0x3041, 0x30F7):
+            try:
+                read = chr(c).encode("cp932").decode(wrong)
+            except UnicodeError:
+                continue
+            if len(read) == 1 and read > "\x7f" and not "ぁ" <= read <= "ヿ":
+                out.append((read, wrong))
+    return tuple(out)
+
+
 @cache
 def multi_signs(latin: bool = True) -> dict[str, set[tuple[str, str]]]:
     """Characters of multi-byte encodings that begin with the first two bytes of common UTF-8 characters.
@@ -288,6 +380,9 @@ def multi_signs(latin: bool = True) -> dict[str, set[tuple[str, str]]]:
                     out[ch].add((wrong, "utf-8"))
     for c in range(0xFF61, 0xFFA0):
         out[chr(c)].add(("cp932", "euc_jp"))
+    if latin:
+        for ch, wrong in _kana_read_as():
+            out[ch].add((wrong, "cp932"))
     return dict(out)
 
 
@@ -367,18 +462,21 @@ def restore(model: Model, text: str) -> tuple[str, bool] | None:
     deep = layers(model, text)
     if deep is not None and model.score(deep) > model.score(text) + GAIN:
         found = deep
-    for _ in range(3):  # garbled twice or thrice
+    while True:  # however often it was garbled: each turn makes the text likelier
         suspects = model.signs.suspects(found)
         if not suspects:
             break
         own = model.score(found)
         best: tuple[float, str, bool] | None = None
+        rank = -math.inf
         for wrong, true in suspects:
             lossy = False
             while True:
                 score, again, gone, made = read_again(model, found, wrong, true, lossy)
-                if made and again != found and score > own + GAIN and (best is None or score > best[0]):
-                    best = score, again, gone
+                if made and again != found and score > own + GAIN:
+                    worth = score + WORDS * len(again) ** 0.5 * model.word_score(again)
+                    if best is None or worth > rank:
+                        best, rank = (score, again, gone), worth
                 # bytes are taken as lost only where the strict reading leaves garbled text of the same kind
                 if lossy or true != "utf-8" or not (wrong in MULTI or LOSS in found) or (best and not (wrong, true) in model.signs.suspects(best[1]) and LOSS not in best[1]):
                     break
@@ -391,8 +489,13 @@ def restore(model: Model, text: str) -> tuple[str, bool] | None:
     return (found, lost) if found != text else None
 
 
+def explained(model: Model, text: str) -> bool:
+    """Whether a restored text shows no more signs of a wrong reading."""
+    return LOSS not in text and not any("\x80" <= c < "\xa0" for c in text) and not model.signs.suspects(text)
+
+
 def char_model(translations: DataFrame) -> Model:
-    return Model(tables(translations.select(F.col("text").cast("string"), F.col("translation").cast("string")), ORDERS))
+    return Model(tables(translations.select(F.col("text").cast("string"), F.col("translation").cast("string")), ORDERS, words=word_buckets))
 
 
 def garbled_values(translations: DataFrame) -> DataFrame:
@@ -412,7 +515,9 @@ def garbled_values(translations: DataFrame) -> DataFrame:
                     for i, value in zip(at.tolist(), column.take(pa.array(at)).to_pylist()):
                         got = restore(model, value)
                         if got:
-                            rows.append((i, value, *got))
+                            text, lost = got
+                            known = explained(model, text)
+                            rows.append((i, value, text if lost or known else None, lost or not known))
                     take = pa.array([r[0] for r in rows], pa.int64())
                     yield pa.RecordBatch.from_arrays(
                         [part.column("row_id").take(take), pa.array([field] * len(rows), pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string()), pa.array([not r[3] for r in rows], pa.bool_())],

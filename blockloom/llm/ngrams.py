@@ -54,10 +54,11 @@ def gram_key(chars: tuple[int, ...], bits: int) -> int:
     return key >> (32 - bits)
 
 
-def tables(values: DataFrame, orders: dict[int, int], prepare=None, mark: int = 0x0A) -> dict[int, np.ndarray]:
+def tables(values: DataFrame, orders: dict[int, int], prepare=None, mark: int = 0x0A, words=None) -> dict[int, np.ndarray]:
     """Counts by order; ``orders`` maps an order to its bits (16 for order 1 are the code points themselves).
 
-    ``values`` has text columns only; ``prepare`` may change the code points before they are counted.
+    ``values`` has text columns only; ``prepare`` may change the code points before they are counted.  Order 0 counts
+    words: ``words`` gives their buckets, of code points and bits.
     """
     shifts = {}
     base = 0
@@ -74,8 +75,8 @@ def tables(values: DataFrame, orders: dict[int, int], prepare=None, mark: int =
                     if prepare is not None:
                         points = prepare(points)
                     for order, bits in orders.items():
-                        keys = np.minimum(points, 0xFFFF).astype(np.int64) if order == 1 else gram_keys(points, order, bits)
-                        total[order] += np.bincount(keys[: max(len(keys) - order + 1, 0)], minlength=1 << bits)
+                        keys = words(points, bits) if order == 0 else np.minimum(points, 0xFFFF).astype(np.int64) if order == 1 else gram_keys(points, order, bits)
+                        total[order] += np.bincount(keys[: max(len(keys) - max(order, 1) + 1, 0)], minlength=1 << bits)
         for order, counts in total.items():
             at = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array((at + shifts[order]).astype(np.int32)), pa.array(counts[at])], names=["k", "n"])

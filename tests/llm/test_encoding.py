@@ -19,7 +19,7 @@ def misread(text, true, wrong):
     return "".join(bytes([b]).decode(wrong, "ignore") or chr(b) for b in raw)
 
 
-@pytest.mark.parametrize(("true", "wrong"), [("utf-8", "cp1252"), ("utf-8", "latin-1"), ("utf-8", "mac_roman"), ("utf-8", "cp1251"), ("cp932", "cp1252"), ("euc_jp", "latin-1")])
+@pytest.mark.parametrize(("true", "wrong"), [("utf-8", "cp1252"), ("utf-8", "latin-1"), ("utf-8", "mac_roman"), ("utf-8", "cp1251"), ("utf-8", "iso8859_2"), ("utf-8", "cp1250"), ("cp932", "cp1252"), ("euc_jp", "latin-1")])
 def test_lossless_round_trip(spark, clean, true, wrong):
     bad = [(1000 + i, misread(t, true, wrong), None) for i, t in enumerate(TEXTS[:2] + TEXTS[3:])]
     bad += [(2000, TEXTS[0] + misread(TEXTS[1], true, wrong), None)]
@@ -44,6 +44,27 @@ def test_lost_bytes(spark, clean, wrong):
     assert sum(got[1000 + i].restored == t for i, t in enumerate(TEXTS)) >= 2
 
 
+def test_japanese_bytes_read_as_chinese(spark, clean):
+    bad = [(1000 + i, t.encode("cp932").decode("gbk"), None) for i, t in enumerate(TEXTS[:2])]
+    got = {r.row_id: r for r in encoding.garbled_values(spark.createDataFrame(clean + bad, SCHEMA)).collect()}
+    assert {i: r.restored for i, r in got.items()} == {1000: TEXTS[0], 1001: TEXTS[1]}
+
+
+def test_words_fill_lost_bytes(spark, clean):
+    """Of the characters that fit a lost byte the one counts that makes a word of the corpus."""
+    model = encoding.char_model(spark.createDataFrame(clean, SCHEMA))
+    text = TEXTS[0].encode("utf-8").decode("cp1252", "replace").replace("\x81", "\ufffd")
+    got = encoding.restore(model, text)
+    assert got is not None and got[0] == TEXTS[0] and got[1]
+
+
+def test_what_no_encoding_explains(spark, clean):
+    """Garbling that is left is told: the value is found, but nothing is offered as restored."""
+    half = TEXTS[0] + misread(TEXTS[1], "utf-8", "cp1252") + "\x85\x9a"
+    got = encoding.garbled_values(spark.createDataFrame(clean + [(1000, half, None)], SCHEMA)).collect()
+    assert [(r.row_id, r.restored, r.certain) for r in got] == [(1000, None, False)]
+
+
 def test_edges(spark, clean):
     rows = clean[:50] + [(900, None, None), (901, "", " "), (902, "é", "Señal Verde"), (903, "�", None)]
     assert encoding.garbled_values(spark.createDataFrame(rows, SCHEMA)).count() == 0
