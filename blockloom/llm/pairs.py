@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -108,12 +108,18 @@ class Side:
     offsets: np.ndarray
 
     def __post_init__(self) -> None:
+        self.kept: dict[str, object] = {}  # what several features and checks ask for
         self.low = np.minimum(self.points, 0x10000)
         self.size = np.diff(self.offsets)
         self.rows = row_numbers(self.offsets)
 
+    def once(self, name: str, make: Callable[[], object]):
+        if name not in self.kept:
+            self.kept[name] = make()
+        return self.kept[name]
+
     def share(self, kind: str) -> np.ndarray:
-        return row_sums(TABLES[kind][self.low].astype(np.int64), self.offsets)
+        return self.once(kind, lambda: row_sums(TABLES[kind][self.low].astype(np.int64), self.offsets))
 
 
 def fold(column: pa.Array) -> Side:
@@ -301,6 +307,9 @@ class Languages:
 
     def english(self, side: Side) -> np.ndarray:
         """Mean log ratio of a row's n-grams; positive where English is likelier."""
+        return side.once(f"english {id(self)}", lambda: self._english(side))
+
+    def _english(self, side: Side) -> np.ndarray:
         total, n = np.zeros(len(side.size)), np.zeros(len(side.size))
         for (rows, keys), table in zip(self._keys(side), self.tables):
             total += np.bincount(rows, weights=table[keys], minlength=len(total))
@@ -321,6 +330,10 @@ class Classifier:
 
     def words(self, side: Side) -> tuple[np.ndarray, np.ndarray]:
         """Bucket and row of each word."""
+        return side.once("words", lambda: self._words(side))
+
+    @staticmethod
+    def _words(side: Side) -> tuple[np.ndarray, np.ndarray]:
         p = side.points.copy()
         upper = (p >= 0x41) & (p <= 0x5A)
         p[upper] += 0x20
@@ -345,7 +358,7 @@ class Classifier:
     def scores(self, features: Features) -> np.ndarray:
         out = np.empty((features.n, len(LABELS)), dtype=np.float32)
         for k in range(len(LABELS)):
-            out[:, k] = np.bincount(features.rows, weights=self.weights[:, k][features.feats] * features.values, minlength=features.n) + self.bias[k]
+            out[:, k] = np.bincount(features.rows, weights=np.ascontiguousarray(self.weights[:, k])[features.feats] * features.values, minlength=features.n) + self.bias[k]
         return out
 
     def fit_length(self, source: Side, answer: Side) -> None:
@@ -518,7 +531,7 @@ def _foreign(model: Classifier, answer: Side) -> np.ndarray:
     words, rows = model.words(answer)
     n = len(answer.size)
     known = np.bincount(rows, weights=model.known[words].astype(np.float64), minlength=n) / np.maximum(np.bincount(rows, minlength=n), 1)
-    letters = row_sums((TABLES["letter"][answer.low] | (answer.points >= 0x20000)).astype(np.int64), answer.offsets)
+    letters = answer.share("letter")
     foreign = model.languages.english(answer) < FOREIGN if model.languages else known < 0.6
     strong = model.languages.english(answer) < -FOREIGN if model.languages else foreign
     return strong | ((known < 0.6) & foreign) | (answer.share("latin") < 0.8 * letters)
@@ -527,7 +540,7 @@ def _foreign(model: Classifier, answer: Side) -> np.ndarray:
 def _plainly_foreign(model: Classifier, answer: Side) -> np.ndarray:
     """Answers whose profile speaks against English, and such in Chinese characters without kana or in letters of other scripts."""
     latin, han = answer.share("latin"), answer.share("han")
-    letters = row_sums(TABLES["letter"][answer.low].astype(np.int64), answer.offsets)
+    letters = answer.share("letter")
     others = letters - latin - han - answer.share("kana")
     profile = model.languages.english(answer) < -FOREIGN if model.languages else np.zeros(len(latin), dtype=bool)
     chinese = (answer.share("kana") == 0) & (han >= 4) & (han > 0.25 * letters)
@@ -536,7 +549,7 @@ def _plainly_foreign(model: Classifier, answer: Side) -> np.ndarray:
 
 def _other_script(answer: Side) -> np.ndarray:
     """Answers in a script that is neither Latin nor that of the source: no weights are needed to tell these."""
-    letters = row_sums(TABLES["letter"][answer.low].astype(np.int64), answer.offsets)
+    letters = answer.share("letter")
     own = sum(answer.share(k) for k in ("latin", "kana", "han"))
     return (letters >= 3) & (own < 0.2 * letters)
 
