@@ -443,7 +443,7 @@ def _suspects(model: Model, column: pa.Array) -> Iterator[tuple[int, str, list[i
 def _traces(done: DataFrame, translations: DataFrame, meta: DataFrame) -> DataFrame:
     """(row_id, field, noise, line_no) of each trace outside the lines that are repeated in their source."""
     each = done.select("row_id", "field", F.explode("found").alias("f")).select("row_id", "field", "f.noise", "f.line_no")
-    repeated = repeated_lines(translations, meta).withColumn("field", F.lit("text"))
+    repeated = repeated_lines(translations, meta, used=0).withColumn("field", F.lit("text"))
     return each.join(repeated, ["row_id", "line_no", "field"], "left_anti").select("row_id", "field", "noise", "line_no")
 
 
