@@ -60,20 +60,24 @@ _place = rf"[A-ZÀ-ÖØ-Þ][{LETTER}'’\-]*"
 _town = rf"{_place}(?: {_place}){{0,2}}"
 _code = r"(?:[A-Z]{2} \d{4,6}|[A-Z]{1,2}\d{1,2}[A-Z]? \d[A-Z]{2}|\d{3}-\d{4}|\d{4,6})"
 _sep = r"(?:, ?|,?\n)"
-ADDRESS = re.compile(
-    rf"(?<![A-Za-z0-9_])(?:(?:Flat|Apt\.?|Apartment|Unit|Suite|Room) ?\w{{1,5}}{_sep})?\d{{1,5}}[A-Za-z]? {_cap}(?: {_cap}){{0,3}}{_sep}{_town}(?:,? ?\n?{_code})?(?![A-Za-z0-9_])"
-    rf"|(?<![A-Za-z0-9_])P\.? ?O\.? ?Box \d{{1,6}}{_sep}{_town}(?:,? {_code})?(?![A-Za-z0-9_])"
-    rf"|(?<![A-Za-z0-9_]){_cap}(?:gasse|str(?:aße|asse|\.)|weg|platz|allee|ring|damm|ufer) \d{{1,4}} ?[a-z]?{_sep}\d{{4,5}} {_town}(?![A-Za-z0-9_])"
-    rf"|(?<![A-Za-z0-9_\-])\d{{1,3}}-\d{{1,3}}(?:-\d{{1,4}})? {_town}{_sep}{_town}(?:{_sep}{_town})?(?: \d{{3}}-\d{{4}})?(?![A-Za-z0-9_])"
-    rf"|(?<![A-Za-z0-9_])\d{{1,4}}(?: ?(?:bis|ter))?,? (?:rue|avenue|boulevard|place|chemin|impasse|allée|quai|route|cours) [{LETTER}'’\- ]{{2,40}}{_sep}\d{{5}} {_town}(?![A-Za-z0-9_])"
-    rf"|(?<![A-Za-z0-9_])(?:Calle|Avenida|Avda\.?|Plaza|Paseo|Camino|Via|Viale|Piazza|Corso|Rua|Travessa) [{LETTER}'’\- ]{{2,40}},? (?:n[.º°]? ?)?\d{{1,4}}{_sep}\d{{4,5}}(?:-\d{{3}})? {_town}(?![A-Za-z0-9_])"
-    r"|(?:〒 ?\d{3}-?\d{4}[ \n]?)?(?:[一-鿿]{2,3}[都道府県][一-鿿ヶノケ]{1,5}|(?<![一-鿿])[一-鿿ヶノケ]{1,4})[市区町村郡][一-鿿ヶノケのぁ-ん]{0,8}?\d{1,3}(?:-\d{1,4}){0,3}(?:丁目\d{1,3}(?:番地?|-)?(?:\d{1,3}号?)?)?(?: ?[一-鿿ァ-ヴーぁ-ん]{2,10}\d{1,4}(?:号室|号)?)?"
+#: Forms of addresses, each with a pattern of what a text must hold for it to match anywhere.
+ADDRESSES = tuple(
+    (re.compile(sign), re.compile(form))
+    for sign, form in (
+        (r"[0-9] ", rf"(?<![A-Za-z0-9_])(?:(?:Flat|Apt\.?|Apartment|Unit|Suite|Room) ?\w{{1,5}}{_sep})?\d{{1,5}}[A-Za-z]? {_cap}(?: {_cap}){{0,3}}{_sep}{_town}(?:,? ?\n?{_code})?(?![A-Za-z0-9_])"),
+        ("Box ", rf"(?<![A-Za-z0-9_])P\.? ?O\.? ?Box \d{{1,6}}{_sep}{_town}(?:,? {_code})?(?![A-Za-z0-9_])"),
+        ("gasse|str(?:aße|asse|[.])|weg|platz|allee|ring|damm|ufer", rf"(?<![A-Za-z0-9_]){_cap}(?:gasse|str(?:aße|asse|\.)|weg|platz|allee|ring|damm|ufer) \d{{1,4}} ?[a-z]?{_sep}\d{{4,5}} {_town}(?![A-Za-z0-9_])"),
+        (r"[0-9]-[0-9]", rf"(?<![A-Za-z0-9_\-])\d{{1,3}}-\d{{1,3}}(?:-\d{{1,4}})? {_town}{_sep}{_town}(?:{_sep}{_town})?(?: \d{{3}}-\d{{4}})?(?![A-Za-z0-9_])"),
+        ("rue|avenue|boulevard|place|chemin|impasse|allée|quai|route|cours", rf"(?<![A-Za-z0-9_])\d{{1,4}}(?: ?(?:bis|ter))?,? (?:rue|avenue|boulevard|place|chemin|impasse|allée|quai|route|cours) [{LETTER}'’\- ]{{2,40}}{_sep}\d{{5}} {_town}(?![A-Za-z0-9_])"),
+        ("Calle|Avenida|Avda|Plaza|Paseo|Camino|Via|Piazza|Corso|Rua|Travessa", rf"(?<![A-Za-z0-9_])(?:Calle|Avenida|Avda\.?|Plaza|Paseo|Camino|Via|Viale|Piazza|Corso|Rua|Travessa) [{LETTER}'’\- ]{{2,40}},? (?:n[.º°]? ?)?\d{{1,4}}{_sep}\d{{4,5}}(?:-\d{{3}})? {_town}(?![A-Za-z0-9_])"),
+        ("[市区町村郡]", r"(?:〒 ?\d{3}-?\d{4}[ \n]?)?(?:[一-鿿]{2,3}[都道府県][一-鿿ヶノケ]{1,5}|(?<![一-鿿])[一-鿿ヶノケ]{1,4})[市区町村郡][一-鿿ヶノケのぁ-ん]{0,8}?\d{1,3}(?:-\d{1,4}){0,3}(?:丁目\d{1,3}(?:番地?|-)?(?:\d{1,3}号?)?)?(?: ?[一-鿿ァ-ヴーぁ-ん]{2,10}\d{1,4}(?:号室|号)?)?"),
+    )
 )
 _w = rf"[{LETTER}][{LETTER}'’\-]*+(?![\u0300-\u036F])\.?"
 _word_cap = rf"(?:[A-ZÀ-ÖØ-Þ]\.|[A-ZÀ-ÖØ-Þ][{LETTER}'’\-]*+(?![\u0300-\u036F]))"
 PARTICLES = frozenset("de da di du del della der den van von la le bin al zu ter dos das".split())
 #: Runs of capitalised words and initials, particles between, on one line.
-CAPITALS = re.compile(rf"(?<![{LETTER}0-9_'’\-@#/.]){_word_cap}(?:,? (?:(?:{'|'.join(sorted(PARTICLES))}) ){{0,2}}{_word_cap})+(?![0-9_@])")
+CAPITALS = re.compile(rf"(?<![{LETTER}0-9_'’\-@#/.°]){_word_cap}(?:,? (?:(?:{'|'.join(sorted(PARTICLES))}) ){{0,2}}{_word_cap})+(?![0-9_@])")
 MOST_WORDS = 4
 AFTER = re.compile(  # words before a name
     r"(?i:\b(?:name is|name's|i am|i'm|this is|bought it from|got it from|it from|from|ask for|contact|the seller,|seller|the buyer,|buyer|owner|collector|mr\.?|mrs\.?|ms\.?|miss|dr\.?|prof\.?|dear|hi|hello|signed by|signed|sold by|written by|thanks to|thank you,|attn:?|c/o|sender:|recipient:|(?:signed|name|from|by|sender|seller|buyer|owner|author|attn|contact|recipient):|regards,|wishes,|sincerely,|cheers,|yours,|thanks,|greetings,|best,))[ \n]"
@@ -180,7 +184,7 @@ def _crossed(span: str, kind: str, left: list[str], right: list[str]) -> list[st
 
 def _features(text: str, start: int, end: int, kind: str) -> list[str]:
     left, right = ([], []) if kind == "email" else (_left(text, start), _right(text, end))
-    if kind == "address":
+    if kind in ("address", "name"):  # the words beside these count by their place only
         left, right = left[:3], right[:3]
     return _inner(text[start:end], kind) + [f"{kind}:{f}" for f in [*_near(text, start, end, kind), *left, *right, *_crossed(text[start:end], kind, left, right)]]
 
@@ -198,15 +202,18 @@ def _number_parts(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
                 yield start + first.start(), start + last.end()
 
 
+#: What a disguised at sign looks like, in lower case.
+_at_sign = re.compile("[(<{[] ?at|_at_")
 _japanese = re.compile("[぀-鿿]")
 
 
 def candidates(text: str) -> list[tuple[int, int, str]]:
     """Segments that may be mentions, by start."""
     found: set[tuple[int, int, str]] = set()
-    if "@" in text or "at" in text or "AT" in text or "At" in text:
-        for m in (m for pattern in EMAILS for m in pattern.finditer(text)):
-            found.add((m.start(), m.end(), "email"))
+    at, low = "@" in text, text.lower()
+    signs = at, _at_sign.search(low) is not None, " dot " in low, at
+    for m in (m for sign, pattern in zip(signs, EMAILS) if sign for m in pattern.finditer(text)):
+        found.add((m.start(), m.end(), "email"))
     for m in (m for pattern in NUMBERS for m in pattern.finditer(text)):
         size = sum(c.isdigit() for c in m[0])
         if size < 6:
@@ -222,7 +229,7 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
         for a, b in spans:
             found.add((a, b, "phone"))
             found.add((a, b, "id_number"))
-    for m in ADDRESS.finditer(text):
+    for m in (m for sign, form in ADDRESSES if sign.search(text) for m in form.finditer(text)):
         found.add((m.start(), m.end(), "address"))
         for cut in re.finditer(rf"{_code}|{_sep}| ", m[0]):  # shorter ones that end at a component
             if cut.start() > 8:
@@ -301,7 +308,7 @@ class Field:
                     key = words[: m.start()] if m else words
                     group = top[name + (" " if m else "")]
                     group[key[near : near + 1 or None]] = max(group[key[near : near + 1 or None]], w)
-            rest = 2.0 * max(top[f"{side}w"].values(), default=0.0)
+            rest = 2.0 * max(top[f"{side}w"].values(), default=0.0)  # the other words, wherever they stand
             chars = {c for group in top.values() for c in group}
             bound = {c: rest + sum(group.get(c, 0.0) for group in top.values()) for c in chars}
             bound[""] = rest
@@ -350,7 +357,7 @@ class Field:
                 if score + most <= LEAST:
                     continue
                 left, right = _left(text, a), _right(text, b)
-                few = 3 if kind == "address" else 6
+                few = 3 if kind in ("address", "name") else 6
                 score += sum(get(f"{kind}:{f}", 0.0) for f in left[:few]) + sum(get(f"{kind}:{f}", 0.0) for f in right[:few])
                 score += sum(get(f"{kind}:{f}", 0.0) for f in _crossed(span, kind, left, right))
             out.append((a, b, kind, score))

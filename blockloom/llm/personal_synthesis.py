@@ -193,7 +193,7 @@ _NUMBERS = (
 )
 _NONE = (
     "IBAN DE{a2} {a4} {a4} {a4} {a4} {a2} is on the bill.", "Pay to GB{a2} ABCD {a4} {a4} {a4} {a2}.", "ISBN 978-{d}-{a4}-{a4}-{d}.", "See pages {a2}-{a2} and {a3}-{a3}.", "{a4}/{a2}/{a2} {a2}:{a2} log entry {a5}.", "Lot {a4} {a4} sold out.", "Tracking {a4}-{a4}-{a4} shows no movement.", "追跡番号は{a4}-{a4}-{a4}です。",
-    "May Day is a holiday.", "Rose Gold suits the {t}.", "The Jack Frost card shines.", "Mark One and Mark Two differ.", "A Grace Period applies.", "Hill Top Park has a shop.", "The King Arthur set is rare.", "New York and San Marino sell it.", "Press Start Button twice.", "Keep Out Of Reach.", "The Green Long Cape fits.", "Christmas Eve sale.",
+    "It works from 5 °C to 35 °C. {h} waits.", "May Day is a holiday.", "Rose Gold suits the {t}.", "The Jack Frost card shines.", "Mark One and Mark Two differ.", "A Grace Period applies.", "Hill Top Park has a shop.", "The King Arthur set is rare.", "New York and San Marino sell it.", "Press Start Button twice.", "Keep Out Of Reach.", "The Green Long Cape fits.", "Christmas Eve sale.",
     "{jt}の{n}\n\n", "{n}\n", "■{n}\n", "{n}の{n}です。", "{n}：{n}\n", "1. {n}\n2. {n}\n", "{p}\n", "{h} {t}\n",
     "Übergrün Deluxe and Café Noir are colours.", "Drücken Sie die Taste. Entfernen Sie die Schrauben.", "Bewahren Sie Karton und Anleitung auf.", "Tirez le Levier Rouge. Conservez la Notice Jaune.", "第{d}市場で買いました。", "山下公園の前です。", "高橋の上で撮りました。", "中村座の公演です。", "石川県の名産です。", "青木ヶ原で撮影。", "Tokyo Station is near.",
 )
