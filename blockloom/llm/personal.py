@@ -36,7 +36,8 @@ SENTENCES = 7000
 #: Score a segment must reach to be chosen.
 LEAST = 0.0
 
-_fold = {**{c: c - 0xFEE0 for c in range(0xFF01, 0xFF5F)}, 0x3000: 0x20, 0xA0: 0x20, 0x2010: 0x2D, 0x2011: 0x2D, 0x2012: 0x2D, 0x2013: 0x2D, 0x2212: 0x2D, 0x30FC: 0x30FC}
+_fold = {**{chr(c): chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)}, "\u3000": " ", "\xa0": " ", **dict.fromkeys("\u2010\u2011\u2012\u2013\u2212", "-")}
+_folded = re.compile("[！-～\u3000\xa0\u2010-\u2013\u2212]")
 
 LETTER = r"A-Za-zÀ-ÖØ-öø-ɏ"
 _label = rf"[{LETTER}0-9](?:[{LETTER}0-9\-]*[{LETTER}0-9])?"
@@ -80,8 +81,9 @@ PARTICLES = frozenset("de da di du del della der den van von la le bin al zu ter
 CAPITALS = re.compile(rf"(?<![{LETTER}0-9_'’\-@#/.°]){_word_cap}(?:,? (?:(?:{'|'.join(sorted(PARTICLES))}) ){{0,2}}{_word_cap})+(?![0-9_@])")
 MOST_WORDS = 4
 AFTER = re.compile(  # words before a name
-    r"(?i:\b(?:name is|name's|i am|i'm|this is|bought it from|got it from|it from|from|ask for|contact|the seller,|seller|the buyer,|buyer|owner|collector|mr\.?|mrs\.?|ms\.?|miss|dr\.?|prof\.?|dear|hi|hello|signed by|signed|sold by|written by|thanks to|thank you,|attn:?|c/o|sender:|recipient:|(?:signed|name|from|by|sender|seller|buyer|owner|author|attn|contact|recipient):|regards,|wishes,|sincerely,|cheers,|yours,|thanks,|greetings,|best,))[ \n]"
+    r"(?:\b(?:name is|name's|i am|i'm|this is|bought it from|got it from|it from|from|ask for|contact|the seller,|seller|the buyer,|buyer|owner|collector|mr\.?|mrs\.?|ms\.?|miss|dr\.?|prof\.?|dear|hi|hello|signed by|signed|sold by|written by|thanks to|thank you,|attn:?|c/o|sender:|recipient:|(?:signed|name|from|by|sender|seller|buyer|owner|author|attn|contact|recipient):|regards,|wishes,|sincerely,|cheers,|yours,|thanks,|greetings,|best,))[ \n]"
 )
+AFTER_ANY = re.compile(f"(?i:{AFTER.pattern})")
 BEFORE = re.compile(r"(?= (?:translated|answered|packed|wrote|sent|sold|bought|signed|called|told|asked|collects|lives|repaired|shipped|gave|and I)\b|, (?:packed|wrote|sent|sold|who|my)\b)")
 NAME = re.compile(rf"{_w}(?:,? {_w}){{0,3}}")
 _kanji = r"一-鿿々〆ヶノケ"
@@ -94,7 +96,7 @@ JP_NAME = re.compile(rf"[{_kanji}]{{1,4}}[ ]?[{_kanji}ぁ-んァ-ヴー]{{0,5}}|
 
 def fold(text: str) -> str:
     """Width and hyphens unified, each character at its place."""
-    return text.translate(_fold)
+    return _folded.sub(lambda m: _fold[m[0]], text)
 
 
 def _shape(span: str) -> str:
@@ -242,7 +244,8 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
                 span = m[0][first.start() : last.end()]
                 if span.count(",") < 2 and first[0] not in PARTICLES and last[0] not in PARTICLES:
                     found.add((m.start() + first.start(), m.start() + last.end(), "name"))
-    for m in AFTER.finditer(text):
+    # capitals don't matter here: lower-case text is searched, unless lower case moves its characters
+    for m in AFTER.finditer(low) if len(low) == len(text) else AFTER_ANY.finditer(text):
         n = NAME.match(text, m.end())
         if n:
             for w in re.finditer(_w, n[0]):
