@@ -17,6 +17,7 @@ from blockloom.functions.geometry import NEW_BOX, clamp, is_box
 from blockloom.functions.text import strip
 from blockloom.operators.cleanup import rekey
 from blockloom.operators.events import before
+from blockloom.session import cut
 
 KEY = ["manual", "page_idx", "block_idx"]
 #: Source text of a block that is added; its translation is empty unless the edit has one.
@@ -59,7 +60,7 @@ def fold(blocks: DataFrame, edits: DataFrame) -> DataFrame:
     The log is small beside the blocks: what concerns adds (their page's last block, keys that are taken, operations
     after them) is found on the log's own keys and pages.
     """
-    kept = standing(edits)
+    kept = cut(standing(edits))  # read several times
     place = F.struct("seq", "edit_id")
     own = blocks.select(*KEY, "text", "translation", "bbox")
     changes = _folded(kept.where("op <> 'add'"))
@@ -67,7 +68,9 @@ def fold(blocks: DataFrame, edits: DataFrame) -> DataFrame:
     changed = met.select(*KEY, "text", F.coalesce("new_text", "translation").alias("translation"), F.coalesce("new_box", "bbox").alias("bbox"))
     # the first add of a free key has that key; operations after it are its own
     adds = kept.where("op = 'add' AND page_idx IS NOT NULL AND manual IS NOT NULL")
-    free = adds.where("block_idx IS NOT NULL").join(own.select(*KEY), KEY, "left_anti")
+    pages = ["manual", "page_idx"]
+    there = cut(own.select(*KEY).join(adds.select(*pages).distinct(), pages, "left_semi"))  # what stands on the pages that blocks are added to
+    free = adds.where("block_idx IS NOT NULL").join(there, KEY, "left_anti")
     named = free.groupBy(*KEY).agg(F.min(place).alias("_added"))
     later = kept.where("op IN ('update_text', 'update_bbox', 'delete')").join(named, KEY).where(place > F.col("_added"))
     edited = named.join(_folded(later), KEY, "left").select(F.col("_added.edit_id").alias("edit_id"), "new_text", "new_box", "gone")
@@ -82,8 +85,8 @@ def fold(blocks: DataFrame, edits: DataFrame) -> DataFrame:
         F.coalesce("new_box", box).alias("bbox"),
     )
     # added blocks stand after the others of their page, in the order of the log
-    last = own.join(new.select("manual", "page_idx").distinct(), ["manual", "page_idx"], "left_semi").groupBy("manual", "page_idx").agg(F.max("block_idx").alias("_top"))
-    placed = new.join(last, ["manual", "page_idx"], "left").withColumn("block_idx", (F.coalesce("_top", F.lit(-1)) + F.col("_n")).cast("int"))
+    last = there.groupBy(*pages).agg(F.max("block_idx").alias("_top"))
+    placed = new.join(last, pages, "left").withColumn("block_idx", (F.coalesce("_top", F.lit(-1)) + F.col("_n")).cast("int"))
     return rekey(changed.unionByName(placed.select(*KEY, "text", "translation", "bbox")))
 
 
