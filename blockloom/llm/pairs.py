@@ -48,7 +48,7 @@ COST = {"refusal": 60.0, "copied": 60.0, "other_language": 60.0, "truncated": 30
 #: Mean log ratio from which an answer is clearly English, and below which it isn't English.
 CLEAR, FOREIGN = 0.4, 0.15
 #: How far below its threshold an answer may lie that is plainly foreign.
-PLAINLY = 2.8
+PLAINLY = 4.0
 #: Least score at which a label may be calibrated.
 LEAST = {"refusal": 0.0, "copied": -1.5, "other_language": -1.0, "truncated": -1.5}
 EPOCHS, BATCH, RATE, DECAY = (2, 6), 256, 0.3, 1e-6
@@ -309,6 +309,10 @@ class Languages:
         """Mean log ratio of a row's n-grams; positive where English is likelier."""
         return side.once(f"english {id(self)}", lambda: self._english(side))
 
+    def without_names(self, side: Side) -> np.ndarray:
+        """The same of the words without a capital: names of things are no evidence of a language."""
+        return side.once(f"lower {id(self)}", lambda: self.english(Side(np.where(_capitalised(side), 0x20, side.points), side.offsets)))
+
     def _english(self, side: Side) -> np.ndarray:
         total, n = np.zeros(len(side.size)), np.zeros(len(side.size))
         for (rows, keys), table in zip(self._keys(side), self.tables):
@@ -317,6 +321,16 @@ class Languages:
         return total / np.maximum(n, 1)
 
 
+def _capitalised(side: Side) -> np.ndarray:
+    """Letters of words that begin with a capital."""
+    letter = TABLES["latin"][side.low]
+    start = letter.copy()
+    start[1:] &= ~letter[:-1] | (side.rows[1:] != side.rows[:-1])
+    word = np.cumsum(start)
+    capital = np.append(False, ((side.points >= 0x41) & (side.points <= 0x5A) | (side.points >= 0xC0) & (side.points < 0xDF))[start])
+    return letter & capital[word]
+
+
 class Classifier:
     """Weights for each label, what lengths and words are expected, and thresholds."""
 
@@ -543,6 +557,9 @@ def _plainly_foreign(model: Classifier, answer: Side) -> np.ndarray:
     letters = answer.share("letter")
     others = letters - latin - han - answer.share("kana")
     profile = model.languages.english(answer) < -FOREIGN if model.languages else np.zeros(len(latin), dtype=bool)
+    if model.languages:
+        small = row_sums((TABLES["latin"][answer.low] & ~_capitalised(answer)).astype(np.int64), answer.offsets)
+        profile |= (model.languages.without_names(answer) < -FOREIGN) & (small >= 7)
     chinese = (answer.share("kana") == 0) & (han >= 4) & (han > 0.25 * letters)
     return (profile & (latin >= 10)) | chinese | ((others >= 4) & (others > 0.25 * letters) & (answer.share("accent") + answer.share("sign") == 0))
 
@@ -551,7 +568,8 @@ def _other_script(answer: Side) -> np.ndarray:
     """Answers in a script that is neither Latin nor that of the source: no weights are needed to tell these."""
     letters = answer.share("letter")
     own = sum(answer.share(k) for k in ("latin", "kana", "han"))
-    return (letters >= 3) & (own < 0.2 * letters)
+    hangul = answer.share("hangul")
+    return (letters >= 3) & (own < 0.2 * letters) | (hangul >= 4) & (hangul > 0.25 * letters)
 
 
 def _cleaned(value: str | None) -> str:
