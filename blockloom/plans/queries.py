@@ -599,8 +599,8 @@ def job_progress(spark: SparkSession, d: str) -> DataFrame:
     return pages.select("manual", "done", "total", events.progress(F.lit("ocr"), F.col("done"), F.col("total")).alias("steps"), (F.col("done") > 0).alias("success"))
 
 
-def _written(spark: SparkSession, d: str) -> DataFrame:
-    """All manuals written as JSON into the shared folder, and read again."""
+def _written(spark: SparkSession, d: str) -> str:
+    """Where all manuals are written as JSON in the shared folder."""
     t = _blocks(spark, d, "text", "translation", "bbox")
     pages = t.select("manual", "page_idx").distinct().withColumn("image", catalog.image_paths(F.col("manual"), F.col("page_idx")))
     m = catalog.latest_meta(table(spark, d, "meta"))
@@ -608,25 +608,25 @@ def _written(spark: SparkSession, d: str) -> DataFrame:
     head = m.select("manual", F.struct(F.col("name").alias("manual_name"), "source", "source_lang", "target_lang", "source_url", "blog_url", "pages", "blocks", "thumbnail", "tags", none.alias("blog_links")).alias("meta"))
     where = f"{cuts_dir(spark)}/manuals-{uuid.uuid4().hex}"
     manuals.write_manuals(t, pages, head, where)
-    return manuals.read_manuals(spark, where)
+    return where
 
 
 @query
 def manual_documents(spark: SparkSession, d: str) -> DataFrame:
     """The corpus after a round trip through a folder a manual."""
-    blocks, _, _ = manuals.unnest(catalog.valid_manuals(_written(spark, d)))
+    blocks, _, _ = manuals.unnest(catalog.valid_manuals(manuals.read_manuals(spark, _written(spark, d))))
     return blocks.select("manual", F.col("page_idx").cast("long"), F.col("block_idx").cast("long"), "text", "translation", F.get("bbox", F.lit(0)).alias("x"), F.size("bbox").cast("long").alias("n"))
 
 
 @query
 def manual_headers(spark: SparkSession, d: str) -> DataFrame:
-    return _written(spark, d).select("manual", "meta.manual_name", "meta.source", "meta.blog_url", "meta.pages", "meta.blocks", F.size("meta.tags").cast("long").alias("n_tags"), "broken")
+    return manuals.read_summaries(spark, _written(spark, d)).select("manual", "meta.manual_name", "meta.source", "meta.blog_url", "meta.pages", "meta.blocks", F.size("meta.tags").cast("long").alias("n_tags"), "broken")
 
 
 @query
 def catalog_document(spark: SparkSession, d: str) -> DataFrame:
     """Entries of the catalog document made of a folder of manuals, read back from its lines."""
-    lines = manuals.catalog_lines(manuals.catalog_entries(_written(spark, d)), rules.TAGS).where("part = 1")
+    lines = manuals.catalog_lines(manuals.catalog_entries(manuals.read_manuals(spark, _written(spark, d))), rules.TAGS).where("part = 1")
     entry = F.from_json(F.regexp_replace("value", "^,", ""), "name string, source string, pages bigint, blocks bigint, thumbnail string, source_url string, blog_url string, tags array<string>")
     return lines.select(entry.alias("e")).select("e.name", "e.source", "e.pages", "e.blocks", "e.thumbnail", "e.source_url", "e.blog_url", F.array_join("e.tags", ",").alias("tags"))
 

@@ -2,16 +2,23 @@
 
 A manual is the folder ``<name>/translations.json``.  Writing streams: each manual is a sequence of lines (its header,
 then each page and block in order) that one task writes as they come from an external sort, so neither a manual nor a
-page is ever collected, however large.  What is written is what is read again.
+page is ever collected, however large.  What is written is what is read again: ``read_manuals`` gives a nested row a
+manual, ``read_summaries`` what a catalog needs of each, in streams too.
 """
 
 from __future__ import annotations
 
-from urllib.parse import unquote
+import uuid
+from functools import partial
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import from_arrow_schema
+
+from blockloom.session import cut
+from blockloom.sources import folders
 
 BLOCK = "struct<text:string,translation:string,bbox:array<double>>"
 PAGE = f"struct<image:string,blocks:array<{BLOCK}>>"
@@ -20,7 +27,7 @@ META = (
     "pages:bigint,blocks:bigint,thumbnail:string,tags:array<string>,blog_links:array<struct<title:string,url:string,translated_url:string>>>"
 )
 SCHEMA = f"meta {META}, pages array<{PAGE}>, _corrupt_record string"
-FILE = "translations.json"
+FILE = folders.FILE
 #: Thumbnail of a manual without pages.
 NO_THUMBNAIL = "pages/page-0.webp"
 KEEP_NULLS = {"ignoreNullFields": "false"}
@@ -43,6 +50,34 @@ def read_manuals(spark: SparkSession, root: str, strict: bool = False) -> DataFr
     return rows.select("manual", "meta", "pages", F.coalesce(broken, F.lit(False)).alias("broken"))
 
 
+def _uri(spark: SparkSession, path: str) -> str:
+    """The path with its file system."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString()
+
+
+def _each_folder(spark: SparkSession, root: str, read, schema: pa.Schema) -> DataFrame:
+    """What read gives of the folders under root, which are listed by one task and dealt to as many as a shuffle has."""
+    uri = _uri(spark, root)
+    names = spark.range(0, 1, 1, 1).mapInArrow(partial(folders.folders, uri=uri), "manual string")
+    names = names.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return names.mapInArrow(partial(read, uri=uri), from_arrow_schema(schema))
+
+
+def read_summaries(spark: SparkSession, root: str) -> DataFrame:
+    """(manual, meta, n_pages, n_blocks, image, broken) as summaries gives them of read_manuals, but no manual is ever a row."""
+    rows = _each_folder(spark, root, folders.heads, folders.HEADS)
+    odd = summaries(rows.where("raw IS NOT NULL").select("manual", F.from_json("raw", SCHEMA).alias("m")).select("manual", "m.meta", "m.pages", F.col("m._corrupt_record").isNotNull().alias("broken")))
+    sound = rows.where("raw IS NULL").select("manual", F.from_json("head", META).alias("meta"), "n_pages", "n_blocks", "image", "broken")
+    return sound.unionAll(odd)
+
+
+def summaries(manuals: DataFrame) -> DataFrame:
+    """(manual, meta, n_pages, n_blocks, image, broken) of nested manuals; counts are null without pages, the image is the first page's."""
+    blocks = F.aggregate("pages", F.lit(0).cast("long"), lambda acc, p: acc + F.coalesce(F.size(p["blocks"]), F.lit(0)))
+    return manuals.select("manual", "meta", F.size("pages").cast("long").alias("n_pages"), blocks.alias("n_blocks"), F.get("pages", F.lit(0))["image"].alias("image"), "broken")
+
+
 def unnest(manuals: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Blocks, pages and headers of nested manuals, as manual_lines takes them."""
     pages = manuals.select("manual", F.posexplode("pages").alias("page_idx", "page"))
@@ -61,17 +96,17 @@ def manual_lines(blocks: DataFrame, pages: DataFrame, meta: DataFrame) -> DataFr
 
     Manuals are those of meta; counts in their headers are those of the pages and blocks written.  Blocks of pages that
     are missing are left out; of pages that come twice one counts, repeated blocks stand each; null positions count as
-    the first.  Parts are 0 for the opening of a page, 1 for its blocks, 2 for its end; the header is page -1.
+    the first.  Parts are 0 for the opening of a page, 1 for its blocks, 2 for its end; -1 for the header, before all pages.
     """
     at = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
     nulls = lambda s: F.to_json(s, KEEP_NULLS)
     own = pages.select("manual", at("page_idx").alias("page"), "image").groupBy("manual", "page").agg(F.min("image").alias("image"))
     own = own.join(meta.select("manual").distinct(), "manual", "left_semi")
+    here = blocks.groupBy("manual", at("page_idx").alias("page")).agg(F.count("*").alias("n"))
+    own = cut(own.join(here, ["manual", "page"], "left"))
     body = blocks.select("manual", at("page_idx").alias("page"), at("block_idx").alias("block"), nulls(F.struct("text", "translation", F.col("bbox").cast("array<double>").alias("bbox"))).alias("value"))
-    body = body.join(own.select("manual", "page"), ["manual", "page"], "left_semi")
-    counted = own.select("manual", F.lit(1).alias("p"), F.lit(0).alias("b")).unionAll(body.select("manual", F.lit(0).alias("p"), F.lit(1).alias("b")))
-    totals = counted.groupBy("manual").agg(F.sum("p").alias("n_pages"), F.sum("b").alias("n_blocks"))
-    zero, last = F.lit(0).cast("long"), F.lit((1 << 63) - 1)
+    totals = own.groupBy("manual").agg(F.count("*").alias("n_pages"), F.sum("n").alias("n_blocks"))
+    zero, first, last = F.lit(0).cast("long"), F.lit(-(1 << 63)), F.lit((1 << 63) - 1)
     counts = F.col("meta").withField("pages", F.coalesce("n_pages", zero)).withField("blocks", F.coalesce("n_blocks", zero))
     head = meta.join(totals, "manual", "left").withColumn("meta", counts)
 
@@ -79,15 +114,18 @@ def manual_lines(blocks: DataFrame, pages: DataFrame, meta: DataFrame) -> DataFr
         return rows.select("manual", page.alias("page"), F.lit(part).alias("part"), block.alias("block"), F.concat(*value).alias("value"))
 
     rows = (
-        lines(head, zero - 1, 0, zero, F.lit('{"meta": '), nulls(F.col("meta")), F.lit(', "pages": ['))
+        lines(head, first, -1, zero, F.lit('{"meta": '), nulls(F.col("meta")), F.lit(', "pages": ['))
         .unionAll(lines(own, F.col("page"), 0, zero, F.lit('{"image": '), _json_string(F.col("image")), F.lit(', "blocks": [')))
         .unionAll(lines(body, F.col("page"), 1, F.col("block"), F.col("value")))
         .unionAll(lines(own, F.col("page"), 2, zero, F.lit("]}")))
         .unionAll(lines(head, last, 2, zero, F.lit("]}")))
     )
-    before, here = F.lag(F.struct("page", "part")).over(Window.partitionBy("manual").orderBy("page", "part", "block", "value")), F.col("part")
-    comma = ((here == 1) & (before["part"] == 1)) | ((here == 0) & (before["part"] == 2))
-    return rows.withColumn("line", F.concat(F.when(comma, F.lit(",")).otherwise(F.lit("")), F.col("value")))
+    order = Window.partitionBy("manual").orderBy("page", "part", "block", "value")
+    opened = F.max(F.when(F.col("part") == 0, F.col("page")))
+    rows = rows.withColumns({"_before": F.lag("part").over(order), "_open": opened.over(order.rowsBetween(Window.unboundedPreceding, 0)), "_earlier": opened.over(order.rowsBetween(Window.unboundedPreceding, -1))})
+    comma = ((F.col("part") == 1) & (F.col("_before") == 1)) | ((F.col("part") == 0) & F.col("_earlier").isNotNull())
+    whole = rows.where((F.col("part") != 1) | F.coalesce(F.col("_open") == F.col("page"), F.lit(False)))
+    return whole.select("manual", "page", "part", "block", "value", F.concat(F.when(comma, F.lit(",")).otherwise(F.lit("")), F.col("value")).alias("line"))
 
 
 def write_manuals(blocks: DataFrame, pages: DataFrame, meta: DataFrame, path: str) -> None:
@@ -106,32 +144,33 @@ def write_manuals(blocks: DataFrame, pages: DataFrame, meta: DataFrame, path: st
     if files.exists(root):
         raise FileExistsError(path)
     lines = manual_lines(blocks, pages, named).sortWithinPartitions("manual", "page", "part", "block", "value")
-    staged = jvm.org.apache.hadoop.fs.Path(root, "_staged")
-    lines.select("manual", "line").write.partitionBy("manual").text(staged.toString())
-    # as a committer does: one rename a file, no data is moved
-    for folder in files.listStatus(staged):
-        if folder.isDirectory():
-            own = jvm.org.apache.hadoop.fs.Path(root, unquote(folder.getPath().getName().partition("=")[2]))
-            files.mkdirs(own)
-            (part,) = (f for f in files.listStatus(folder.getPath()) if not f.getPath().getName().startswith((".", "_")))
-            files.rename(part.getPath(), jvm.org.apache.hadoop.fs.Path(own, FILE))
-    files.delete(staged, True)
+    staged = jvm.org.apache.hadoop.fs.Path(root.getParent(), f"_{root.getName()}-{uuid.uuid4().hex}")
+    files.mkdirs(staged)
+    try:
+        written = lines.select("manual", F.concat("line", F.lit("\n")).alias("line")).mapInArrow(partial(folders.write, uri=_uri(spark, staged.toString())), "n long")
+        written.write.format("noop").mode("overwrite").save()
+        files.rename(staged, root)  # as a committer does: no data is moved
+    finally:
+        files.delete(staged, True)
 
 
 def catalog_entries(manuals: DataFrame) -> DataFrame:
-    """(name, source, pages, blocks, thumbnail, source_url, blog_url, tags) of nested manuals, unreadable ones left out.
+    """As entries_of, of nested manuals."""
+    return entries_of(summaries(manuals))
+
+
+def entries_of(found: DataFrame) -> DataFrame:
+    """(name, source, pages, blocks, thumbnail, source_url, blog_url, tags) of summaries of manuals, unreadable ones left out.
 
     Name is that of the folder; tags are null where the header has none.
     """
-    has = manuals.where("NOT coalesce(broken, false)")
-    pages = F.coalesce("pages", F.array().cast(f"array<{PAGE}>"))
-    image = F.get(pages, F.lit(0))["image"]
+    has = found.where("NOT coalesce(broken, false)")
     return has.select(
         F.col("manual").alias("name"),
         F.coalesce("meta.source", "manual").alias("source"),
-        F.size(pages).cast("long").alias("pages"),
-        F.aggregate(pages, F.lit(0).cast("long"), lambda acc, p: acc + F.coalesce(F.size(p["blocks"]), F.lit(0))).alias("blocks"),
-        F.concat("manual", F.lit("/"), F.coalesce(image, F.lit(NO_THUMBNAIL))).alias("thumbnail"),
+        F.coalesce("n_pages", F.lit(0).cast("long")).alias("pages"),
+        F.coalesce("n_blocks", F.lit(0).cast("long")).alias("blocks"),
+        F.concat("manual", F.lit("/"), F.coalesce("image", F.lit(NO_THUMBNAIL))).alias("thumbnail"),
         F.coalesce("meta.source_url", F.lit("")).alias("source_url"),
         F.coalesce("meta.blog_url", F.lit("")).alias("blog_url"),
         F.col("meta.tags").alias("tags"),

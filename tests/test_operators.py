@@ -4,6 +4,7 @@ import json
 import os
 from datetime import datetime
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,7 +12,7 @@ from blockloom import session
 from blockloom.functions.fix import fix_text
 from blockloom.operators import blocks as B
 from blockloom.operators import catalog, cleanup, edits, events, nested, web
-from blockloom.sources import manuals, providers
+from blockloom.sources import folders, manuals, providers
 
 BLOCK = "manual string, page_idx int, block_idx int, text string, translation string, bbox array<double>"
 EDIT = "edit_id long, manual string, seq long, op string, page_idx int, block_idx int, translation string, bbox array<double>"
@@ -423,3 +424,47 @@ def test_providers(spark):
     pages = spark.createDataFrame([(1, True, None), (2, False, "x" * 300), (3, None, None)], "page_num int, success boolean, error string")
     good, bad = providers.split_results(pages)
     assert good.count() == 1 and max(len(r.error or "") for r in bad.collect()) == 100
+
+
+def _many(root, n):
+    """n sound manuals, and some that are not as they should be."""
+    block = {"text": "字\n\"", "translation": None, "bbox": [0, 0.5, "NaN", None], "more": [1]}
+    whole = {f"m {k}": json.dumps({"meta": {"manual_name": f"n{k}", "tags": ["a", None], "pages": 7}, "x": {}, "pages": [{"image": f"p{k}", "blocks": [block] * k}, None, {"blocks": [None]}]}, ensure_ascii=k % 2 > 0) for k in range(n)}
+    whole |= {"cut": '{"meta": {}, "pages": [', "number": '{"meta": {"source": 5}, "pages": [{"blocks": [{"text": 1.50}]}]}', "box": '{"meta": {}, "pages": [{"image": "i", "blocks": [{"text": "t", "bbox": ["x"]}]}]}'}
+    whole |= {"emoji": '{"meta": {}, "pages": [{"blocks": [{"text": "\\ud83d\\ude00"}]}]}', "none": '{"meta": null, "pages": [{"blocks": [{"text": "t"}]}]}', "bare": '{"meta": {}}', "late": ' {"pages": [{"blocks": [{"text": "t"}], "image": "i"}] , "meta": {"tags": []}}\n'}
+    for name, text in whole.items():
+        (root / name).mkdir()
+        (root / name / "translations.json").write_text(text, encoding="utf-8")
+    (root / "bytes").mkdir()
+    (root / "bytes" / "translations.json").write_bytes(b'{"meta": {}, "pages": [{"image": "\xff"}]}')
+    (root / "other").mkdir()
+
+
+@pytest.mark.parametrize("whole", [1 << 20, 8])
+def test_summaries_are_streamed(spark, tmp_path, monkeypatch, whole):
+    """As the nested rows give them, in no more tasks than a shuffle has, be files parsed at once or in pieces."""
+    _many(tmp_path, 30)
+    if whole == 8:  # the executors' Python has its own modules; so the reader is called here
+        monkeypatch.setattr(folders, "WHOLE", 8)
+        monkeypatch.setattr(folders, "CHUNK", 5)
+        names = pa.RecordBatch.from_pydict({"manual": sorted(p.name for p in tmp_path.iterdir())})
+        found = {r["manual"]: r for b in folders.heads(iter([names]), f"file://{tmp_path}") for r in b.to_pylist()}
+        assert [found[f"m {k}"]["n_blocks"] for k in range(30)] == [k + 1 for k in range(30)] and found["late"]["image"] == "i"
+        assert {k for k, r in found.items() if r["raw"]} == {"cut", "number", "box", "emoji"} and [k for k, r in found.items() if r["broken"]] == ["bytes"]
+        return
+    got = manuals.read_summaries(spark, str(tmp_path))
+    assert got.rdd.getNumPartitions() <= 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    flat = lambda df: sorted((r.manual, r.broken) if r.broken and r.manual == "bytes" else tuple(map(str, r)) for r in df.collect())
+    assert flat(got) == flat(manuals.summaries(manuals.read_manuals(spark, str(tmp_path))).select(*got.columns)) and got.count() == 38
+
+
+def test_negative_pages_and_orphans(spark, tmp_path):
+    """The header comes before any page; blocks of missing pages leave no comma."""
+    at = [(-3, 0), (-1, 0), (-1, 1), (0, 0), (1, 0), (1, 1), (2, 0)]
+    blocks = spark.createDataFrame([("m", p, b, f"{p}.{b}", None, None) for p, b in at], "manual string, page_idx int, block_idx int, text string, translation string, bbox array<double>")
+    pages = spark.createDataFrame([("m", p, None) for p in (-1, 2, 3)] + [("x", 0, None)], "manual string, page_idx int, image string")
+    meta = spark.createDataFrame([("m", ("M", 0, 0))], "manual string, meta struct<manual_name:string,pages:bigint,blocks:bigint>")
+    manuals.write_manuals(blocks, pages, meta, str(tmp_path / "v"))
+    whole = json.loads((tmp_path / "v" / "m" / "translations.json").read_text())
+    assert [[b["text"] for b in p["blocks"]] for p in whole["pages"]] == [["-1.0", "-1.1"], ["2.0"], []]
+    assert whole["meta"] == {"manual_name": "M", "pages": 3, "blocks": 3} and [p.name for p in tmp_path.iterdir()] == ["v"]
