@@ -3,7 +3,7 @@
 A manual is the folder ``<name>/translations.json``.  Writing streams: each manual is a sequence of lines (its header,
 then each page and block in order) that one task writes as they come from an external sort, so neither a manual nor a
 page is ever collected, however large.  What is written is what is read again: ``read_manuals`` gives a nested row a
-manual, ``read_summaries`` what a catalog needs of each, in streams too.
+manual, ``read_summaries`` what a catalog needs of each and ``read_blocks`` the blocks, in streams too.
 """
 
 from __future__ import annotations
@@ -72,6 +72,18 @@ def read_summaries(spark: SparkSession, root: str) -> DataFrame:
     return sound.unionAll(odd)
 
 
+def read_blocks(spark: SparkSession, root: str) -> DataFrame:
+    """Blocks, as unnest gives them, of the valid manuals under root; a manual comes in pieces, however large it is."""
+    rows = _each_folder(spark, root, folders.blocks, folders.BLOCKS)
+    read = F.from_json("raw", SCHEMA)
+    block = lambda p, b, v: F.struct(p.cast("long").alias("page_idx"), b.cast("long").alias("block_idx"), v["text"].alias("text"), v["translation"].alias("translation"), v["bbox"].alias("bbox"))
+    own = F.array(F.struct("page_idx", "block_idx", "text", "translation", "bbox"))
+    none = F.slice(own, 1, 0)
+    page = lambda v, p: F.coalesce(F.transform(v["blocks"], lambda x, b: block(p, b, x)), none)
+    odd = F.when(read["meta"].isNotNull(), F.flatten(F.transform(read["pages"], page)))
+    return rows.select("manual", F.inline(F.when(F.col("raw").isNull(), own).otherwise(odd)))
+
+
 def summaries(manuals: DataFrame) -> DataFrame:
     """(manual, meta, n_pages, n_blocks, image, broken) of nested manuals; counts are null without pages, the image is the first page's."""
     blocks = F.aggregate("pages", F.lit(0).cast("long"), lambda acc, p: acc + F.coalesce(F.size(p["blocks"]), F.lit(0)))

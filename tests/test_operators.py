@@ -450,7 +450,7 @@ def test_summaries_are_streamed(spark, tmp_path, monkeypatch, whole):
         names = pa.RecordBatch.from_pydict({"manual": sorted(p.name for p in tmp_path.iterdir())})
         found = {r["manual"]: r for b in folders.heads(iter([names]), f"file://{tmp_path}") for r in b.to_pylist()}
         assert [found[f"m {k}"]["n_blocks"] for k in range(30)] == [k + 1 for k in range(30)] and found["late"]["image"] == "i"
-        assert {k for k, r in found.items() if r["raw"]} == {"cut", "number", "box", "emoji"} and [k for k, r in found.items() if r["broken"]] == ["bytes"]
+        assert {k for k, r in found.items() if r["raw"]} == {"cut", "box", "emoji"} and [k for k, r in found.items() if r["broken"]] == ["bytes"]
         return
     got = manuals.read_summaries(spark, str(tmp_path))
     assert got.rdd.getNumPartitions() <= 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -468,3 +468,19 @@ def test_negative_pages_and_orphans(spark, tmp_path):
     whole = json.loads((tmp_path / "v" / "m" / "translations.json").read_text())
     assert [[b["text"] for b in p["blocks"]] for p in whole["pages"]] == [["-1.0", "-1.1"], ["2.0"], []]
     assert whole["meta"] == {"manual_name": "M", "pages": 3, "blocks": 3} and [p.name for p in tmp_path.iterdir()] == ["v"]
+
+
+@pytest.mark.parametrize("whole", [1 << 20, 8])
+def test_blocks_are_streamed(spark, tmp_path, monkeypatch, whole):
+    """As the nested rows give them; a manual comes in several batches."""
+    _many(tmp_path, 30)
+    nested = manuals.unnest(catalog.valid_manuals(manuals.read_manuals(spark, str(tmp_path))))[0]
+    if whole == 8:
+        for name, value in (("WHOLE", 8), ("CHUNK", 5), ("ROWS", 10)):
+            monkeypatch.setattr(folders, name, value)
+        names = pa.RecordBatch.from_pydict({"manual": sorted(p.name for p in tmp_path.iterdir())})
+        batches = list(folders.blocks(iter([names]), f"file://{tmp_path}"))
+        assert max(b.num_rows for b in batches) <= 10 and sum(b.num_rows for b in batches) == sum(range(30)) + 30 + 1 + 4
+        return
+    got = manuals.read_blocks(spark, str(tmp_path))
+    assert got.columns == nested.columns and rows(got.withColumn("bbox", F.col("bbox").cast("string")), *got.columns) == rows(nested.withColumn("bbox", F.col("bbox").cast("string")), *got.columns)
