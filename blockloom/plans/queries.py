@@ -626,7 +626,7 @@ def manual_headers(spark: SparkSession, d: str) -> DataFrame:
 @query
 def catalog_document(spark: SparkSession, d: str) -> DataFrame:
     """Entries of the catalog document made of a folder of manuals, read back from its lines."""
-    lines = manuals.catalog_lines(manuals.catalog_entries(manuals.read_manuals(spark, _written(spark, d))), rules.TAGS).where("part = 1")
+    lines = manuals.catalog_lines(manuals.entries_of(manuals.read_summaries(spark, _written(spark, d))), rules.TAGS).where("part = 1")
     entry = F.from_json(F.regexp_replace("value", "^,", ""), "name string, source string, pages bigint, blocks bigint, thumbnail string, source_url string, blog_url string, tags array<string>")
     return lines.select(entry.alias("e")).select("e.name", "e.source", "e.pages", "e.blocks", "e.thumbnail", "e.source_url", "e.blog_url", F.array_join("e.tags", ",").alias("tags"))
 

@@ -194,6 +194,7 @@ def catalog_lines(entries: DataFrame, tags: dict[str, tuple[str, str]]) -> DataF
 
     Entries are one line each and only their totals are aggregated, so the document isn't held anywhere as a whole.
     """
+    entries = cut(entries)  # one short row a manual; else all manuals would be read for the first name, the rows and the totals
     known = F.create_map(*(x for t, (color, label) in tags.items() for x in (F.lit(t), F.struct(F.lit(color).alias("color"), F.lit(label).alias("label")))))
     one = entries.select(F.lit(1).alias("part"), "name", F.to_json(F.struct(*entries.columns)).alias("value"))
     first = one.groupBy("part").agg(F.min("name").alias("first"))  # names are those of folders, so no two are equal

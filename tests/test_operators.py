@@ -484,3 +484,13 @@ def test_blocks_are_streamed(spark, tmp_path, monkeypatch, whole):
         return
     got = manuals.read_blocks(spark, str(tmp_path))
     assert got.columns == nested.columns and rows(got.withColumn("bbox", F.col("bbox").cast("string")), *got.columns) == rows(nested.withColumn("bbox", F.col("bbox").cast("string")), *got.columns)
+
+
+def test_catalog_reads_entries_once(spark, tmp_path):
+    """The first name, the rows and the totals come from entries made once."""
+    made = spark.sparkContext.accumulator(0)
+    seen = F.udf(lambda x: made.add(1) or x).asNondeterministic()
+    entries = spark.createDataFrame([(n, 1, 2) for n in "cab"], "name string, pages long, blocks long").withColumn("name", seen("name"))
+    manuals.write_catalog(entries, {"t": ("#1", "T")}, str(tmp_path / "c"))
+    whole = json.loads("".join(p.read_text() for p in (tmp_path / "c").glob("part*")))
+    assert [m["name"] for m in whole["manuals"]] == ["a", "b", "c"] and whole["stats"] == {"total_manuals": 3, "total_pages": 3, "total_blocks": 6} and made.value == 3
