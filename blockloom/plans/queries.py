@@ -601,7 +601,7 @@ def job_progress(spark: SparkSession, d: str) -> DataFrame:
 
 def _written(spark: SparkSession, d: str) -> str:
     """Where all manuals are written as JSON in the shared folder."""
-    t = _blocks(spark, d, "text", "translation", "bbox")
+    t = table(spark, d, "translations").withColumn("delivered", B.moment("loaded_at", "row_id"))
     pages = t.select("manual", "page_idx").distinct().withColumn("image", catalog.image_paths(F.col("manual"), F.col("page_idx")))
     m = catalog.latest_meta(table(spark, d, "meta"))
     none = F.lit(None).cast("array<struct<title:string,url:string,translated_url:string>>")

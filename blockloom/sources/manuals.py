@@ -103,27 +103,37 @@ def _json_string(c: Column) -> Column:
     return F.substring(listed, F.lit(2), F.length(listed) - 2)
 
 
+def _nil() -> Column:
+    """Which positions of a block are null."""
+    return F.when(F.col("page_idx").isNull(), F.lit(2)).otherwise(F.lit(0)) + F.when(F.col("block_idx").isNull(), F.lit(1)).otherwise(F.lit(0))
+
+
 def manual_lines(blocks: DataFrame, pages: DataFrame, meta: DataFrame) -> DataFrame:
     """(manual, page, part, block, value, line): the lines of each manual's JSON, to be put in the order of the first five.
 
     Manuals are those of meta; counts in their headers are those of the pages and blocks written.  Blocks of pages that
     are missing are left out; of pages that come twice one counts, repeated blocks stand each; null positions count as
     the first.  Parts are 0 for the opening of a page, 1 for its blocks, 2 for its end; -1 for the header, before all pages.
+    Text is shuffled once, by manual: whether its page is there is told by the lines before it.  Where blocks have a number
+    ``delivered``, only that with the highest stands of those at one place, so text isn't shuffled for that either.
     """
     at = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
     nulls = lambda s: F.to_json(s, KEEP_NULLS)
     own = pages.select("manual", at("page_idx").alias("page"), "image").groupBy("manual", "page").agg(F.min("image").alias("image"))
     own = own.join(meta.select("manual").distinct(), "manual", "left_semi")
-    here = blocks.groupBy("manual", at("page_idx").alias("page")).agg(F.count("*").alias("n"))
+    again = "delivered" in blocks.columns
+    once = blocks.select("manual", "page_idx", "block_idx").distinct() if again else blocks
+    here = once.groupBy("manual", at("page_idx").alias("page")).agg(F.count("*").alias("n"))
     own = cut(own.join(here, ["manual", "page"], "left"))
-    body = blocks.select("manual", at("page_idx").alias("page"), at("block_idx").alias("block"), nulls(F.struct("text", "translation", F.col("bbox").cast("array<double>").alias("bbox"))).alias("value"))
+    body = blocks.select("manual", at("page_idx").alias("page"), at("block_idx").alias("block"), nulls(F.struct("text", "translation", F.col("bbox").cast("array<double>").alias("bbox"))).alias("value"), *([_nil().alias("nil"), "delivered"] if again else []))
     totals = own.groupBy("manual").agg(F.count("*").alias("n_pages"), F.sum("n").alias("n_blocks"))
     zero, first, last = F.lit(0).cast("long"), F.lit(-(1 << 63)), F.lit((1 << 63) - 1)
     counts = F.col("meta").withField("pages", F.coalesce("n_pages", zero)).withField("blocks", F.coalesce("n_blocks", zero))
     head = meta.join(totals, "manual", "left").withColumn("meta", counts)
 
     def lines(rows: DataFrame, page: Column, part: int, block: Column, *value: Column) -> DataFrame:
-        return rows.select("manual", page.alias("page"), F.lit(part).alias("part"), block.alias("block"), F.concat(*value).alias("value"))
+        place = [F.col(c) if c in rows.columns else F.lit(None).cast(t).alias(c) for c, t in (("nil", "int"), ("delivered", "decimal(38,0)"))] if again else []
+        return rows.select("manual", page.alias("page"), F.lit(part).alias("part"), block.alias("block"), *place, F.concat(*value).alias("value"))
 
     rows = (
         lines(head, first, -1, zero, F.lit('{"meta": '), nulls(F.col("meta")), F.lit(', "pages": ['))
@@ -132,12 +142,16 @@ def manual_lines(blocks: DataFrame, pages: DataFrame, meta: DataFrame) -> DataFr
         .unionAll(lines(own, F.col("page"), 2, zero, F.lit("]}")))
         .unionAll(lines(head, last, 2, zero, F.lit("]}")))
     )
-    order = Window.partitionBy("manual").orderBy("page", "part", "block", "value")
+    order = Window.partitionBy("manual").orderBy("page", "part", "block", *(["nil", "delivered"] if again else []), "value")
+    if again:
+        place = ["page", "part", "block", "nil"]
+        after = F.lead(F.struct(*place)).over(order)
+        rows = rows.withColumn("_after", after).where((F.col("part") != 1) | F.coalesce(F.col("_after") != F.struct(*place), F.lit(True)))
     opened = F.max(F.when(F.col("part") == 0, F.col("page")))
     rows = rows.withColumns({"_before": F.lag("part").over(order), "_open": opened.over(order.rowsBetween(Window.unboundedPreceding, 0)), "_earlier": opened.over(order.rowsBetween(Window.unboundedPreceding, -1))})
     comma = ((F.col("part") == 1) & (F.col("_before") == 1)) | ((F.col("part") == 0) & F.col("_earlier").isNotNull())
     whole = rows.where((F.col("part") != 1) | F.coalesce(F.col("_open") == F.col("page"), F.lit(False)))
-    return whole.select("manual", "page", "part", "block", "value", F.concat(F.when(comma, F.lit(",")).otherwise(F.lit("")), F.col("value")).alias("line"))
+    return whole.select("manual", "page", "part", "block", *(["nil", "delivered"] if again else []), "value", F.concat(F.when(comma, F.lit(",")).otherwise(F.lit("")), F.col("value")).alias("line"))
 
 
 def write_manuals(blocks: DataFrame, pages: DataFrame, meta: DataFrame, path: str) -> None:
@@ -155,7 +169,8 @@ def write_manuals(blocks: DataFrame, pages: DataFrame, meta: DataFrame, path: st
     files = root.getFileSystem(conf)
     if files.exists(root):
         raise FileExistsError(path)
-    lines = manual_lines(blocks, pages, named).sortWithinPartitions("manual", "page", "part", "block", "value")
+    lines = manual_lines(blocks, pages, named)
+    lines = lines.sortWithinPartitions(*(c for c in lines.columns if c != "line"))
     staged = jvm.org.apache.hadoop.fs.Path(root.getParent(), f"_{root.getName()}-{uuid.uuid4().hex}")
     files.mkdirs(staged)
     try:

@@ -494,3 +494,14 @@ def test_catalog_reads_entries_once(spark, tmp_path):
     manuals.write_catalog(entries, {"t": ("#1", "T")}, str(tmp_path / "c"))
     whole = json.loads("".join(p.read_text() for p in (tmp_path / "c").glob("part*")))
     assert [m["name"] for m in whole["manuals"]] == ["a", "b", "c"] and whole["stats"] == {"total_manuals": 3, "total_pages": 3, "total_blocks": 6} and made.value == 3
+
+
+def test_written_blocks_are_the_last_delivered(spark, tmp_path):
+    """Of blocks at one place the last counts, null and first positions aside."""
+    at = [(0, 0, 2, "b"), (0, 0, 3, "c"), (0, 0, 1, "a"), (0, None, 9, "n"), (0, 1, 5, "e"), (1, 0, 8, "h"), (1, 0, 7, "g"), (None, 0, 6, "f")]
+    blocks = spark.createDataFrame([("m", p, b, t, None, None, d) for p, b, d, t in at], "manual string, page_idx int, block_idx int, text string, translation string, bbox array<double>, delivered long").withColumn("delivered", F.col("delivered").cast("decimal(38,0)"))
+    pages = blocks.select("manual", "page_idx").distinct().withColumn("image", F.lit(None).cast("string"))
+    meta = spark.createDataFrame([("m", ("M", 0, 0))], "manual string, meta struct<manual_name:string,pages:bigint,blocks:bigint>")
+    manuals.write_manuals(blocks, pages, meta, str(tmp_path / "v"))
+    whole = json.loads((tmp_path / "v" / "m" / "translations.json").read_text())
+    assert [[b["text"] for b in p["blocks"]] for p in whole["pages"]] == [["c", "n", "f", "e"], ["h"]] and whole["meta"]["blocks"] == 5
